@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, ngram_join
 
 
 def queries() -> dict:
     return {
+        "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_ngram_jaccard_join": ngram_join.ORACLE_SQL,
         "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     }
