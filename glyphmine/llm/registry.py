@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, ngram_join
+from . import exact_dedup, langid, ngram_join
 
 
 def queries() -> dict:
     return {
         "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_language_id": langid.op8_language_id,
     }
 
 
