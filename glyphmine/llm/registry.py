@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, ngram_join
+from . import decontaminate, exact_dedup, langid, ngram_join
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_language_id": langid.op8_language_id,
+        "op9_decontamination": decontaminate.op9_decontamination,
     }
 
 
@@ -17,4 +18,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_ngram_jaccard_join": ngram_join.ORACLE_SQL,
         "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op9_decontamination": decontaminate.ORACLE_SQL,
     }
