@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, ngram_join
+from . import decontaminate, exact_dedup, langid, ngram_join, packing
 
 
 def queries() -> dict:
     return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_language_id": langid.op8_language_id,
