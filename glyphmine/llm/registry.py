@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, ngram_join, packing
+from . import decontaminate, exact_dedup, langid, lm_scoring, ngram_join, packing, sharding
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
+        "op3_lm_scoring": lm_scoring.op3_lm_scoring,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_language_id": langid.op8_language_id,
         "op9_decontamination": decontaminate.op9_decontamination,
+        "op10_sharding": sharding.op10_sharding,
     }
 
 
