@@ -104,13 +104,13 @@ def capture_index(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """(global_no, urlkey, capture_no, timestamp, page_id, url, digest, n_bytes, revisit), numbers from 0; revisit: the digest is that of the key's capture before."""
     page = F.col(id_col).cast("long")
     when = F.col(time_col).cast("timestamp") if time_col else F.timestamp_seconds(page * 60 + EPOCH)
-    captures = pages.filter(F.col(url_col).isNotNull()).select(
+    captures = common.tuned(pages).filter(F.col(url_col).isNotNull()).select(
         url_key(F.col(url_col)).alias("urlkey"), F.date_format(when, "yyyyMMddHHmmss").alias("timestamp"), page.alias("page_id"), F.col(url_col).alias("url"),
         F.md5(F.col(html_col).cast("binary")).alias("digest"), F.coalesce(F.octet_length(html_col), F.lit(0)).cast("long").alias("n_bytes"),
     )
     order = ["urlkey", "timestamp", "page_id", "url", "digest"]
     runs = common.materialize(captures.sortWithinPartitions(*order), "runs")
-    merged = runs.repartitionByRange("urlkey").mapInArrow(_merge, "urlkey string, timestamp string, page_id long, url string, digest string, n_bytes long, local_no long, capture_no long, revisit boolean")
+    merged = runs.repartitionByRange("urlkey").mapInArrow(common.lean(_merge), "urlkey string, timestamp string, page_id long, url string, digest string, n_bytes long, local_no long, capture_no long, revisit boolean")
     merged = common.materialize(merged.withColumn("range", F.spark_partition_id()), "merged")
     ranges = merged.groupBy("range").agg(F.count("*").alias("n"), F.min("urlkey").alias("first"))
     starts = ranges.select("range", F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))

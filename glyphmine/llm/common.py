@@ -2,43 +2,51 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..stage import materialize, shared_path, shared_root
+
+__all__ = ["join_checked", "lean", "materialize", "shared_path", "shared_root", "small_enough", "tuned"]
+
 #: Largest table, in estimated bytes, that is broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of an Arrow batch between the JVM and Python, whatever the texts' lengths.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def tuned(df: DataFrame) -> DataFrame:
+    """df, after bounding its session's Arrow batches in bytes where that is as Spark sets it: many long texts in a batch wouldn't fit a task."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF) == _BATCH_DEFAULT:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df
+
+
+def _release() -> None:
+    gc.collect()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map function whose worker gives its memory back when the task ends; idle workers wait beside those of later stages."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from f(batches)
+        finally:
+            _release()
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        known = sc._jsc.sc().getCheckpointDir()
-        root = known.get() if known.isDefined() else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="glyphmine-")
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; it is removed when the application ends."""
-    sc = spark.sparkContext
-    path = f"{shared_root(spark)}/glyphmine-{sc.applicationId}/{label}-{uuid.uuid4().hex}"
-    jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return run
 
 
 def small_enough(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:

@@ -31,7 +31,7 @@ N, SLOP, NEAR_TERMS = 13, 4, 8
 #: Benchmark bytes that every task holds at once; a larger benchmark is matched in as many passes as it needs.
 BENCHMARK_BYTES = 1 << 20
 #: Tokens of a segment, and places between two documents in it.
-_SEGMENT_TOKENS, _GAP = 1 << 20, 1 << 10
+_SEGMENT_TOKENS, _GAP = 1 << 19, 1 << 10
 
 _SEGMENT = pa.schema([("segment", pa.string()), ("term", pa.int64()), ("places", pa.binary()), ("n", pa.int64())])
 
@@ -203,8 +203,8 @@ def _match(held, slop: int):
 
 def build_index(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id", text_col: str = "text", gap: int = _GAP) -> DataFrame:
     """The postings (segment, term, places, n) of docs for the given sorted term hashes, as a table in the shared folder."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    return common.materialize(source.mapInArrow(_index(terms, gap), "segment string, term long, places binary, n long"), "postings")
+    source = common.tuned(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
+    return common.materialize(source.mapInArrow(common.lean(_index(terms, gap)), "segment string, term long, places binary, n long"), "postings")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", n: int = N, slop: int = SLOP, near_terms: int = NEAR_TERMS, benchmark_bytes: int = BENCHMARK_BYTES) -> DataFrame:
@@ -222,7 +222,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         frequency = {r[0]: r[1] for r in index.filter("term is not null").groupBy("term").agg(F.sum("n")).collect()}
         held = spark.sparkContext.broadcast(_plan(windows, frequency, near_terms))
         by_segment = index.select("segment", "term", "places").repartition("segment").sortWithinPartitions("segment")
-        found = found.unionByName(by_segment.mapInArrow(_match(held, slop), schema))
+        found = found.unionByName(by_segment.mapInArrow(common.lean(_match(held, slop)), schema))
     # a repeated document row lies in several segments or places; the most matches of one row count
     return found.groupBy("doc_id", "item_id").agg(F.max("n_phrase").alias("n_phrase"), F.max("n_near").alias("n_near"))
 

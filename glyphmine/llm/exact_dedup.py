@@ -211,7 +211,7 @@ def _owned(out: list) -> list:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
-    return docs.select(F.octet_length(text).cast("long").alias("len"), F.xxhash64(text).alias("hash"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    return common.tuned(docs).select(F.octet_length(text).cast("long").alias("len"), F.xxhash64(text).alias("hash"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
 
 
 def _repeated(keyed: DataFrame) -> DataFrame:
@@ -224,8 +224,8 @@ def _settle(candidates: DataFrame, trie_bytes: int) -> DataFrame:
     """(len, hash, id, owner) of rows (len, hash, id, text) whose key is repeated."""
     spill = common.shared_path(candidates.sparkSession, "trie")
     rows = candidates.select("len", "hash", F.col("text").cast("binary").alias("text"), F.array("id").alias("ids"))
-    partial = rows.mapInArrow(_fold(spill, trie_bytes, _PARTIAL, _partial), "len long, hash long, text binary, ids array<long>")
-    return partial.repartition("len", "hash").mapInArrow(_fold(spill, trie_bytes, _OWNED, _owned), "len long, hash long, id long, owner long")
+    partial = rows.mapInArrow(common.lean(_fold(spill, trie_bytes, _PARTIAL, _partial)), "len long, hash long, text binary, ids array<long>")
+    return partial.repartition("len", "hash").mapInArrow(common.lean(_fold(spill, trie_bytes, _OWNED, _owned)), "len long, hash long, id long, owner long")
 
 
 def exact_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
@@ -244,7 +244,7 @@ def keep_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     names = docs.columns
     text = F.col(text_col).cast("string")
-    whole = docs.select(F.octet_length(text).cast("long").alias("len"), F.xxhash64(text).alias("hash"), F.col(id_col).cast("long").alias("id"), text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    whole = common.tuned(docs).select(F.octet_length(text).cast("long").alias("len"), F.xxhash64(text).alias("hash"), F.col(id_col).cast("long").alias("id"), text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
     repeated = _repeated(whole.select("len", "hash", "id", "text"))
     tagged = common.join_checked(whole, repeated, ["len", "hash"], "left", 17)
     alone = tagged.filter("repeated is null").select("row.*")

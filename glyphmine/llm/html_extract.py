@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import text
+from . import common, text
 
 MIN_PARAGRAPH, SIBLING_SHARE, SIBLING_LEAST, SIBLING_CHARS, SIBLING_LINKS = 25, 0.2, 10.0, 80, 0.25
 
@@ -202,8 +202,8 @@ def _run(min_paragraph: int):
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", min_paragraph: int = MIN_PARAGRAPH) -> DataFrame:
     """(page_id, title, text, container, score, link_density, n_paragraphs) of every row."""
-    source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
-    return source.mapInArrow(_run(min_paragraph), "page_id long, title string, text string, container string, score double, link_density double, n_paragraphs int")
+    source = common.tuned(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
+    return source.mapInArrow(common.lean(_run(min_paragraph)), "page_id long, title string, text string, container string, score double, link_density double, n_paragraphs int")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import text
+from . import common, text
 
 TRAIN_PER_LANGUAGE, LEXICON, BUCKETS, MIN_SHARE = 120, 200, 1 << 15, 0.35
 
@@ -239,27 +239,27 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     accepted: there are words and share reaches min_share.
     """
     model = train(docs, id_col, text_col, label_col, per_language)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = common.tuned(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text.slices(batches, 600):
             yield pa.record_batch([batch[0], *label_rows(held.value, batch[1], min_share)], names=["doc_id", *(n for n, _ in _RESULT)])
 
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return source.mapInArrow(run, f"doc_id long, {_FIELDS}")
+    return source.mapInArrow(common.lean(run), f"doc_id long, {_FIELDS}")
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = TRAIN_PER_LANGUAGE, min_share: float = MIN_SHARE) -> DataFrame:
     """docs without the rows whose language is not identified; all columns as they were, even if named alike."""
     model = train(docs, id_col, text_col, label_col, per_language)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    at = common.tuned(docs).columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text.slices(batches, 600):
             yield batch.filter(label_rows(held.value, batch[at], min_share)[-1])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.lean(run), docs.schema)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

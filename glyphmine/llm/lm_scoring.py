@@ -193,8 +193,8 @@ def _expect(path: str, zipf: float):
 
 def word_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n): every distinct word of the corpus and how often it occurs, as a table in the shared folder."""
-    source = docs.select(F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    return common.materialize(source.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    source = common.tuned(docs).select(F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    return common.materialize(source.mapInArrow(common.lean(_count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
 def corpus_scores(words: DataFrame, path: str, zipf: float = ZIPF, prior: float = PRIOR) -> np.ndarray:
@@ -202,7 +202,7 @@ def corpus_scores(words: DataFrame, path: str, zipf: float = ZIPF, prior: float
     _, p, byte_p = load(path, zipf)
     base = np.exp(np.concatenate([p, byte_p]))
     counts = np.zeros(len(base))
-    for r in words.mapInArrow(_expect(path, zipf), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+    for r in words.mapInArrow(common.lean(_expect(path, zipf)), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
         counts[r["piece"]] = r["n"]
     return np.log((counts + prior * base) / (counts.sum() + prior))
 
@@ -234,8 +234,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 names=["doc_id", "n_words", "n_bytes", "log_prob", "corpus_log_prob", "bits_per_byte"],
             )
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, _SCORED)
+    source = common.tuned(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(common.lean(run), _SCORED)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

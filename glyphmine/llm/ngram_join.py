@@ -221,8 +221,8 @@ def _verify(t: float):
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, groups: int = GROUPS) -> tuple[DataFrame, DataFrame]:
     """(classes, pairs): classes (x, y, ids) of rows with equal n-gram sets, and verified pairs (ax, ay, bx, by, shared, total) of them."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    sketches = source.mapInArrow(_sketch(n, bands, rows, groups), "id long, x long, y long, n int, bands array<long>, counts binary")
+    source = common.tuned(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
+    sketches = source.mapInArrow(common.lean(_sketch(n, bands, rows, groups)), "id long, x long, y long, n int, bands array<long>, counts binary")
     classes = common.materialize(
         sketches.groupBy("x", "y").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("counts").alias("counts")), "classes"
     )
@@ -231,16 +231,16 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = crowded.select("cell", "band", F.explode("who").alias("who")).select("cell", "band", "who.x", "who.y")
     points = members.join(classes.drop("ids"), ["x", "y"]).select("cell", "band", "x", "y", "n", "bands", "counts")
     candidates = common.materialize(
-        points.repartition("cell").sortWithinPartitions("cell").mapInArrow(_meet(bands, groups, threshold), "cell long, ax long, ay long, bx long, by long"), "candidates"
+        points.repartition("cell").sortWithinPartitions("cell").mapInArrow(common.lean(_meet(bands, groups, threshold)), "cell long, ax long, ay long, bx long, by long"), "candidates"
     )
     taking = candidates.select("cell", F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("who")).select("cell", "who.x", "who.y").distinct()
     taking = common.materialize(taking, "taking")
     readers = common.materialize(taking.select("x", "y").distinct().join(classes.select("x", "y", F.element_at("ids", 1).alias("id")), ["x", "y"]).select("id").distinct(), "readers")
-    sets = common.join_checked(source, readers, ["id"], "left_semi", 8).select("text").mapInArrow(_grams(n), "x long, y long, grams binary")
+    sets = common.join_checked(source, readers, ["id"], "left_semi", 8).select("text").mapInArrow(common.lean(_grams(n)), "x long, y long, grams binary")
     none = F.lit(None).cast("long")
     brought = taking.join(sets, ["x", "y"]).select("cell", F.lit(0).alias("kind"), F.col("x").alias("ax"), F.col("y").alias("ay"), none.alias("bx"), none.alias("by"), "grams")
     asked = candidates.select("cell", F.lit(1).alias("kind"), "ax", "ay", "bx", "by", F.lit(None).cast("binary").alias("grams"))
-    verified = brought.unionByName(asked).repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(_verify(threshold), "ax long, ay long, bx long, by long, shared long, total long")
+    verified = brought.unionByName(asked).repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(common.lean(_verify(threshold)), "ax long, ay long, bx long, by long, shared long, total long")
     return classes.select("x", "y", "ids", "n"), common.materialize(verified, "verified")
 
 

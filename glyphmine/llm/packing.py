@@ -127,8 +127,8 @@ def _counted(path: str):
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = vocabulary.BYTE_BPE) -> DataFrame:
     """(doc_id, n_tokens) of every row, by a public byte-level BPE vocabulary."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(_counted(tokenizer), "doc_id long, n_tokens long")
+    source = common.tuned(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(common.lean(_counted(tokenizer)), "doc_id long, n_tokens long")
 
 
 def pack(lengths: DataFrame, capacity: int = CAPACITY, bins: int = BINS, depth: int = DEPTH, group_docs: int = GROUP_DOCS) -> DataFrame:

@@ -106,18 +106,18 @@ def _merge(shards: int) -> Callable:
 
 def shard(docs: DataFrame, group: Column, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, part_groups: int = PART_GROUPS, fan: int = FAN) -> DataFrame:
     """(doc_id, shard, n_bytes) of every row; rows with one value of group share a shard."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(group.cast("string"), F.lit("")).alias("key"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("bytes"))
+    rows = common.tuned(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(group.cast("string"), F.lit("")).alias("key"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("bytes"))
     rows = common.materialize(rows, "weights")
     groups = common.materialize(rows.groupBy("key").agg(F.sum("bytes").alias("bytes")), "groups")
     parts = max(1, -(-groups.count() // part_groups))
     dealt = groups.select(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"), "key", "bytes").repartition("part").sortWithinPartitions("part", "key")
-    placed = common.materialize(dealt.mapInArrow(_weigh(shards), "part long, key string, bytes long, slot long"), "placed")
+    placed = common.materialize(dealt.mapInArrow(common.lean(_weigh(shards)), "part long, key string, bytes long, slot long"), "placed")
     to = placed.select("key", "part", "slot")
     sums = placed.groupBy("part", "slot").agg(F.sum("bytes").alias("bytes"))
     while parts > 1:
         parts = -(-parts // fan)
         ordered = sums.select(F.floor(F.col("part") / fan).alias("above"), "part", "slot", "bytes").repartition("above").sortWithinPartitions("above", "part", "slot")
-        moved = common.materialize(ordered.mapInArrow(_merge(shards), "above long, part long, slot long, bytes long, to long"), "moved")
+        moved = common.materialize(ordered.mapInArrow(common.lean(_merge(shards)), "above long, part long, slot long, bytes long, to long"), "moved")
         to = to.join(moved.select("part", "slot", "above", "to"), ["part", "slot"]).select("key", F.col("above").alias("part"), F.col("to").alias("slot"))
         sums = moved.groupBy(F.col("above").alias("part"), F.col("to").alias("slot")).agg(F.sum("bytes").alias("bytes"))
     return rows.join(to.select("key", F.col("slot").cast("int").alias("shard")), "key").select("doc_id", "shard", F.col("bytes").alias("n_bytes"))

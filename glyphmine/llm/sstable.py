@@ -249,12 +249,12 @@ def _build(block_bytes: int, restart: int):
 
 def tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, tokenizer: str = vocabulary.BYTE_BPE, block_bytes: int = BLOCK_BYTES, restart: int = RESTART) -> DataFrame:
     """Rows (shard, seq, kind, first_id, last_id, n_records, offset, payload) of all shards; a shard holds about shard_docs documents."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
+    source = common.tuned(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     shards = max(1, -(-source.count() // shard_docs))
     bounds = source.agg(F.percentile_approx("id", [k / shards for k in range(1, shards)], max(10_000, 4 * shards))).first()[0] if shards > 1 else []
     held = docs.sparkSession.sparkContext.broadcast(np.unique(np.array(bounds, np.int64)))
-    tokens = source.mapInArrow(_tokenise(tokenizer, held), "shard int, id long, value binary")
-    return tokens.repartition("shard").sortWithinPartitions("shard", "id", "value").mapInArrow(_build(block_bytes, restart), "shard int, seq long, kind string, first_id long, last_id long, n_records long, offset long, payload binary")
+    tokens = source.mapInArrow(common.lean(_tokenise(tokenizer, held)), "shard int, id long, value binary")
+    return tokens.repartition("shard").sortWithinPartitions("shard", "id", "value").mapInArrow(common.lean(_build(block_bytes, restart)), "shard int, seq long, kind string, first_id long, last_id long, n_records long, offset long, payload binary")
 
 
 def write_tables(rows: DataFrame, uri: str) -> DataFrame:
@@ -284,7 +284,7 @@ def write_tables(rows: DataFrame, uri: str) -> DataFrame:
             yield pa.record_batch([pa.array(list(c)) for c in zip(*done, strict=True)], names=["shard", "path", "n_bytes"])
 
     ordered = rows.select("shard", "payload", "seq").repartition("shard").sortWithinPartitions("shard", "seq").select("shard", "payload")
-    return common.materialize(ordered.mapInArrow(run, "shard int, path string, n_bytes long"), "manifest")
+    return common.materialize(ordered.mapInArrow(common.lean(run), "shard int, path string, n_bytes long"), "manifest")
 
 
 def op5_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 
 _NOT_WORD = r"[^\pL\pM\pN_]+"
 _NOT_LETTER = r"[^\pL\pM]+"
-_SLICE_ROWS = 1000
+_SLICE_ROWS = 500
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = _SLICE_ROWS) -> Iterator[pa.RecordBatch]:
