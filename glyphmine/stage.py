@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder of our own where that is unset."""
+    """spark.checkpoint.dir; where it is unset and Spark runs in this process alone, a temporary folder of our own."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir")
     if not root:
         known = sc._jsc.sc().getCheckpointDir()
         root = known.get() if known.isDefined() else None
     if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="glyphmine-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
