@@ -53,11 +53,13 @@ def encode(places: np.ndarray) -> bytes:
 
 
 def decode(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.int64)
     raw = np.frombuffer(data, np.uint8)
     last = np.flatnonzero(raw & 128)
     first = np.concatenate([[0], last[:-1] + 1])
     within = np.arange(len(raw)) - np.repeat(first, last - first + 1)
-    return np.cumsum(np.add.reduceat((raw & 127).astype(np.int64) << (7 * within), first)) if len(raw) else np.zeros(0, np.int64)
+    return np.cumsum(np.add.reduceat((raw & 127).astype(np.int64) << (7 * within), first))
 
 
 def _index(terms: np.ndarray, gap: int):
@@ -231,7 +233,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """docs without the documents that hold a benchmark window word for word or in proximity; rows with null id stay."""
     leaks = common.materialize(find_leaks(docs, benchmark, id_col, text_col, **how).select(F.col("doc_id").alias("__leaks")).distinct(), "leaks")
     small = F.broadcast(leaks) if common.small_enough(leaks, 8) else leaks
-    return docs.join(small, F.col(id_col).cast("long") == F.col("__leaks"), "left_anti")
+    return docs.join(small, docs[id_col].cast("long") == small["__leaks"], "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,7 +292,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     least = grouped.groupBy("root").agg(F.min("id").alias("kept"))
     gone = common.materialize(grouped.join(least, "root").filter("id != kept").select(F.col("id").alias("__gone")).distinct(), "gone")
     small = F.broadcast(gone) if common.small_enough(gone, 8) else gone
-    return docs.join(small, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(small, docs[id_col].cast("long") == small["__gone"], "left_anti")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

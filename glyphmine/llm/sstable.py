@@ -281,7 +281,7 @@ def write_tables(rows: DataFrame, uri: str) -> DataFrame:
                 sink.write(payload)
         close()
         if done:
-            yield pa.record_batch([pa.array(list(c)) for c in zip(*done, strict=True)], names=["shard", "path", "n_bytes"])
+            yield pa.record_batch([pa.array(list(c), kind) for c, kind in zip(zip(*done, strict=True), (pa.int32(), pa.string(), pa.int64()), strict=True)], names=["shard", "path", "n_bytes"])
 
     ordered = rows.select("shard", "payload", "seq").repartition("shard").sortWithinPartitions("shard", "seq").select("shard", "payload")
     return common.materialize(ordered.mapInArrow(common.lean(run), "shard int, path string, n_bytes long"), "manifest")
