@@ -18,6 +18,8 @@ _STATEMENTS = frozenset("if else while for foreach do switch case default return
 _NO_TYPE = _STATEMENTS | frozenset("new this base typeof sizeof nameof await stackalloc is as in out true false null delegate namespace class struct interface enum event operator where".split()) - {"default"}
 _ASSIGN = frozenset("= += -= *= /= %= &= |= ^= ??= <<=".split())
 _BINARY = frozenset("+ - * / % & | ^ && || == != < > <= >= << ?? ..".split())
+_VISIBLE = "public protected internal private".split()
+_PASSING = frozenset("ref in out params this scoped readonly".split())
 UNKNOWN = -1
 ERROR_CHARS = 200
 
@@ -34,7 +36,7 @@ class Parser:
     def __init__(self, code: str):
         self.source = Source(code)
         self.tokens, self.pos = self.source.tokens, 0
-        self.out: dict[str, list[dict[str, Any]]] = {k: [] for k in ("types", "methods", "fields", "properties", "strings", "inheritance", "nodes")}
+        self.out: dict[str, list[dict[str, Any]]] = {k: [] for k in "types methods fields properties strings inheritance nodes".split()}
         self.usings: list[str] = []
         self.errors: list[str] = list(self.source.errors)
         self.namespace, self.types = "", []
@@ -304,7 +306,11 @@ class Parser:
 
     @staticmethod
     def visibility(modifiers: set[str]) -> str:
-        return next((v for v in ("public", "protected", "internal", "private") if v in modifiers), "internal")
+        return next(filter(modifiers.__contains__, _VISIBLE), "internal")
+
+    @staticmethod
+    def flags(modifiers: set[str], *words: str) -> dict[str, int]:
+        return {"is_" + w: int(w in modifiers) for w in words}
 
     def type_declaration(self, start: int, modifiers: set[str]) -> bool:
         word = self.peek()
@@ -363,8 +369,7 @@ class Parser:
         outer = parent["full_name"] if parent else self.namespace
         record = {
             "ordinal": len(self.out["types"]), "parent": parent["ordinal"] if parent else None, "namespace": self.namespace, "name": name, "full_name": f"{outer}.{name}" if outer else name, "kind": kind,
-            "visibility": self.visibility(modifiers), "is_abstract": int("abstract" in modifiers), "is_static": int("static" in modifiers), "is_sealed": int("sealed" in modifiers),
-            "is_compiler_generated": int(generated), "start_line": self.line(start), "end_line": self.line(start),
+            "visibility": self.visibility(modifiers), **self.flags(modifiers, "abstract", "static", "sealed"), "is_compiler_generated": int(generated), "start_line": self.line(start), "end_line": self.line(start),
         }
         self.out["types"].append(record)
         self.types.append(record)
@@ -498,7 +503,7 @@ class Parser:
         found = []
         while not self.accept(closer):
             self.attributes()
-            while self.peek() in ("ref", "in", "out", "params", "this", "scoped", "readonly"):
+            while self.peek() in _PASSING:
                 self.pos += 1
             start = self.pos
             self.skip_type()
@@ -515,8 +520,8 @@ class Parser:
 
     def method_rest(self, start: int, modifiers: set[str], name: str, type_start: int | None, type_end: int | None) -> None:
         record = {
-            "ordinal": len(self.out["methods"]), "type": self.types[-1]["ordinal"], "name": name, "signature": "", "return_type": re.sub(r"\s+", " ", self.text(type_start, type_end)).strip() if type_start is not None else None,
-            "visibility": self.visibility(modifiers), "is_static": int("static" in modifiers), "is_virtual": int("virtual" in modifiers), "is_override": int("override" in modifiers), "is_abstract": int("abstract" in modifiers),
+            "ordinal": len(self.out["methods"]), "type": self.types[-1]["ordinal"], "name": name, "signature": "", "return_type": None if type_start is None else " ".join(self.text(type_start, type_end).split()),
+            "visibility": self.visibility(modifiers), **self.flags(modifiers, "static", "virtual", "override", "abstract"),
             "start_line": self.line(start), "end_line": self.line(start),
         }
         self.out["methods"].append(record)
@@ -564,7 +569,7 @@ class Parser:
                 self.expect(";")
         self.out["properties"].append({
             "type": self.types[-1]["ordinal"], "name": name, "property_type": _squeeze(self.text(type_start, type_end)), "visibility": self.visibility(modifiers), "has_getter": getter, "has_setter": setter,
-            "is_static": int("static" in modifiers), "start_line": self.line(start), "end_line": self.line(self.pos - 1),
+            **self.flags(modifiers, "static"), "start_line": self.line(start), "end_line": self.line(self.pos - 1),
         })
 
     def accessors(self) -> tuple[int, int]:
@@ -590,7 +595,7 @@ class Parser:
         while True:
             self.out["fields"].append({
                 "type": self.types[-1]["ordinal"], "name": name, "field_type": _squeeze(self.text(type_start, type_end)), "visibility": self.visibility(modifiers),
-                "is_static": int("static" in modifiers), "is_readonly": int("readonly" in modifiers), "is_const": int("const" in modifiers), "start_line": self.line(self.pos - 1),
+                **self.flags(modifiers, "static", "readonly", "const"), "start_line": self.line(self.pos - 1),
             })
             if self.peek() == "[":
                 self.pos += 1

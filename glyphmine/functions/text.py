@@ -23,7 +23,7 @@ def has_substring(c: Column, query: str) -> Column:
 
 def like_unescaped(c: Column, query: str) -> Column:
     """The parity form of has_substring: % and _ in the query were escaped, yet the escape is read as a plain backslash."""
-    pattern = query.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+    pattern = "".join("\\" + x if x in "\\%_" else x for x in query)
     lowered = "%" + pattern.translate(str.maketrans(_UPPER, _LOWER)) + "%"
     inert = next(x for x in "!~^`\x01" if x not in lowered)
     return F.call_function("like", ascii_lower(c), F.lit(lowered), F.lit(inert))
@@ -35,10 +35,10 @@ def matches(c: Column, query: str, exact: bool = False, parity: bool = False) ->
 
 def classify_string(c: Column) -> Column:
     """Kind of a literal: path_like, localization_like, possible_identifier, possible_asset_id or other; the first rule that holds."""
-    asset = c.rlike(r"^[A-Za-z0-9][A-Za-z0-9_.\-]*\z") & (c.contains("_") | c.contains("."))
+    asset = c.rlike(r"\A\p{Alnum}[-.\w]*\z") & (c.contains("_") | c.contains("."))
     return (
         F.when(c.isNull() | (c == ""), "other").when(c.contains("/") | c.contains("\\"), "path_like").when(c.rlike(r"(?U)\s"), "localization_like")
-        .when(c.rlike(r"^[A-Za-z_][A-Za-z0-9_]*\z"), "possible_identifier").when(asset, "possible_asset_id").otherwise("other")
+        .when(c.rlike(r"\A[\p{Alpha}_]\w*\z"), "possible_identifier").when(asset, "possible_asset_id").otherwise("other")
     )
 
 
@@ -69,7 +69,9 @@ def arity(signature: Column, parity: bool = False) -> Column:
     return F.when(F.trim(inner) == "", 0).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(","), F.lit(""))) + 1).cast("int")
 
 
-_VERSION = r"[_\-\s]?(?:v|beta|alpha|pre|rc)?[0-9]+(?:[._\-\s][0-9]+)*\+?(?:[_\-\s]?(?:new|final|stable|pre|beta|alpha|rc))?$"
+_GAP = r"[-_\s]"
+_STAGES, _ENDS = "beta alpha pre rc".split(), "new final stable pre beta alpha rc".split()
+_VERSION = rf"{_GAP}?(?:v|{'|'.join(_STAGES)})?\d+(?:(?:\.|{_GAP})\d+)*\+?(?:{_GAP}?(?:{'|'.join(_ENDS)}))?$"
 
 
 def normalize_name(c: Column, rounds: int = 6) -> Column:

@@ -11,6 +11,7 @@ from .quality import duplicates, missing_keys, outside_domain, symmetric_differe
 
 TIERS, CONFIDENCES, ROLES = ("A", "B", "C"), ("Verified", "Mostly Verified", "Partial"), ("primary", "secondary")
 PATTERN_TIERS, PATTERN_STATUSES = ("S", "A"), ("Inferred", "Mostly Verified", "Strong Verified", "Verified")
+FLAT = "name tier harmony ui assets persistence".split()
 
 
 def system_matrix(catalog: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def pattern_candidates(catalog: DataFrame) -> DataFrame:
 
 def flat_catalog(catalog: DataFrame) -> DataFrame:
     """The tabular form: lists joined by pipes."""
-    return catalog.select(F.col("source_id").alias("mod_id"), "name", "tier", "harmony", "ui", "assets", "persistence", F.concat_ws("|", "primary_systems").alias("primary_systems"), "confidence", "profile")
+    return catalog.select(F.col("source_id").alias("mod_id"), *FLAT, F.concat_ws("|", "primary_systems").alias("primary_systems"), "confidence", "profile")
 
 
 def roll_up(rows: DataFrame, by: str, member: str) -> DataFrame:

@@ -45,7 +45,7 @@ def subtype_edges(idx: CodeIndex) -> DataFrame:
     return idx.inheritance.filter("target_type_id is not null").select(F.col("target_type_id").alias("src"), F.col("type_id").alias("dst"))
 
 
-def derived(idx: CodeIndex, roots: DataFrame, recursive: bool = False, source: str | None = None) -> DataFrame:
+def derived(idx: CodeIndex, roots: DataFrame, source: str | None = None, *, recursive: bool = False) -> DataFrame:
     """(root, depth, pos, source_id, full_name): subtypes in breadth-first order, within a parent by source and name; a source hides others but they are still walked."""
     names = idx.types.select(F.col("id").alias("dst"), "full_name", F.col("source_id").alias("source_key")).join(idx.sources.select(F.col("id").alias("source_key"), "source_id"), "source_key")
     within = Window.partitionBy("src").orderBy("source_id", "full_name", "dst")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..model import CodeIndex
 from ..schemas import STATUSES, TABLES
 
-ENTITIES = ("files", "types", "methods", "fields", "properties", "strings")
+ENTITIES = tuple("files types methods fields properties strings".split())
 
 
 def row_counts(idx: CodeIndex) -> DataFrame:

@@ -15,14 +15,28 @@ class SymbolError(LookupError):
     """A symbol that isn't there, or a path that may not be shown."""
 
 
-def named_types(idx: CodeIndex, name: str, include_generated: bool = True, source: str | None = None) -> DataFrame:
-    """Types of a name or full name; source:: before the name overrides source."""
-    if "::" in name:
-        source, _, name = name.partition("::")
-    t = idx.types.filter((F.col("name") == name.strip()) | (F.col("full_name") == name.strip()))
-    t = t if include_generated else t.filter("is_compiler_generated = 0")
-    t = t.withColumnRenamed("source_id", "source_key").join(idx.sources.select(F.col("id").alias("source_key"), "source_id"), "source_key")
-    return (t.filter(F.col("source_id") == source.strip()) if source and source.strip() else t).orderBy("source_id", "full_name", "id")
+def split_source(spec: str, source: str | None = None) -> tuple[str | None, str]:
+    """(source, rest) of [source::]rest; what stands before :: overrides source."""
+    before, mark, rest = spec.strip().rpartition("::")
+    return (before.strip() or source if mark else source), rest.strip()
+
+
+def named_types(idx: CodeIndex, name: str, generated: bool = True, source: str | None = None) -> DataFrame:
+    """Types of a name or full name, which may begin with source::."""
+    source, name = split_source(name, source)
+    t = idx.types.filter((F.col("full_name") == name) | (F.col("name") == name))
+    t = t if generated else t.filter("is_compiler_generated = 0")
+    s = idx.sources.select(F.col("id").alias("source_key"), "source_id")
+    s = s.filter(F.col("source_id") == source) if source else s
+    return t.withColumnRenamed("source_id", "source_key").join(s, "source_key").orderBy("source_id", "full_name", "id")
+
+
+def _choices(names: list[str]) -> dict:
+    return {"kind": "ambiguous", "candidates": names}
+
+
+def _labels(rows: list[Row]) -> list[str]:
+    return ["[{}] {}".format(r.source_id, r.full_name) for r in rows]
 
 
 def lookup(idx: CodeIndex, spec: str, source: str | None = None, parity: bool = False) -> dict:
@@ -30,43 +44,43 @@ def lookup(idx: CodeIndex, spec: str, source: str | None = None, parity: bool =
 
     The longest type that is unique wins. Unless parity, a whole type of that name comes before a member, so nested types are found.
     """
-    spec = spec.strip()
-    if "::" in spec:
-        source, _, spec = spec.partition("::")
+    source, spec = split_source(spec, source)
     spec, bracket, tail = spec.partition("(")
     signature = bracket + tail
     parts = spec.split(".")
     for cut in ([] if parity or signature else [len(parts)]) + list(range(len(parts) - 1, 0, -1)) + ([len(parts)] if parity or signature else []):
         rows = named_types(idx, ".".join(parts[:cut]), source=source).take(100)
         member = ".".join(parts[cut:])
-        if len(rows) > 1:
-            return {"kind": "ambiguous", "candidates": [f"[{r.source_id}] {r.full_name}" for r in rows]}
-        if rows and not member:
-            return {"kind": "type", "row": rows[0]}
-        if rows:
-            return _member(idx, rows[0], member, signature)
+        match rows:
+            case []:
+                continue
+            case [_, _, *_]:
+                return _choices(_labels(rows))
+            case [only] if member:
+                return _member(idx, only, member, signature)
+            case [only]:
+                return dict(kind="type", row=only)
     return {"kind": "not_found"}
 
 
 def _member(idx: CodeIndex, owner: Row, member: str, signature: str) -> dict:
-    methods = idx.methods.filter((F.col("type_id") == owner.id) & (F.col("name") == member)).orderBy("signature", "id").take(100)
-    same = [m for m in methods if m.signature == member + signature] if signature else []
-    for rows in (same[:1], methods):
-        if len(rows) == 1:
-            return {"kind": "method", "row": rows[0], "owner": owner.full_name}
-        if len(rows) > 1:
-            return {"kind": "ambiguous", "candidates": [f"{owner.full_name}.{m.signature}" for m in rows]}
-    for kind, table in (("field", idx.fields), ("property", idx.properties)):
-        rows = table.filter((F.col("type_id") == owner.id) & (F.col("name") == member)).orderBy("id").take(1)
+    mine = (F.col("type_id") == owner.id) & (F.col("name") == member)
+    methods = idx.methods.filter(mine).orderBy("signature", "id").take(100)
+    same = [m for m in methods if m.signature == member + signature][:1] if signature else []
+    found = same or methods
+    if len(found) > 1:
+        return _choices([owner.full_name + "." + m.signature for m in found])
+    for kind, rows in (("method", found), ("field", None), ("property", None)):
+        table = idx.fields if kind == "field" else idx.properties
+        rows = table.filter(mine).orderBy("id").take(1) if rows is None else rows
         if rows:
-            return {"kind": kind, "row": rows[0], "owner": owner.full_name}
+            return dict(kind=kind, row=rows[0], owner=owner.full_name)
     return {"kind": "not_found"}
 
 
-def refs(idx: CodeIndex, spec: str, limit: int = 50, include_all: bool = False, from_source: str | None = None) -> DataFrame:
-    """(location, kind, status, from_source) of the uses of a symbol."""
+def refs(idx: CodeIndex, spec: str, **how) -> DataFrame:
+    """(location, kind, status, from_source) of the uses of a symbol; how: limit, include_all and from_source as in refs_type."""
     found = lookup(idx, spec)
-    how = dict(limit=limit, include_all=include_all, from_source=from_source)
     if found["kind"] == "type":
         return refs_type(idx, found["row"].id, name=found["row"].name, **how)
     if found["kind"] in ("field", "property"):
@@ -108,21 +122,20 @@ def symbol_cards(idx: CodeIndex, types: DataFrame) -> DataFrame:
     return card.drop("source_key")
 
 
-def symbol(idx: CodeIndex, name: str, include_generated: bool = False, source: str | None = None) -> dict:
+def symbol(idx: CodeIndex, name: str, generated: bool = False, source: str | None = None) -> dict:
     """found, and the card of a type or the candidates where the name is ambiguous."""
-    rows = named_types(idx, name, include_generated, source)
+    rows = named_types(idx, name, generated, source)
     heads = rows.take(100)
-    if not heads:
-        return {"found": False}
-    if len(heads) > 1:
-        return {"found": True, "ambiguous": True, "candidates": [f"[{r.source_id}] {r.full_name}" for r in heads]}
-    return {"found": True, "ambiguous": False, "card": symbol_cards(idx, rows)}
+    out: dict = {"found": bool(heads)}
+    if heads:
+        out |= {"ambiguous": True, "candidates": _labels(heads)} if heads[1:] else {"ambiguous": False, "card": symbol_cards(idx, rows)}
+    return out
 
 
 def string_search(idx: CodeIndex, value: str, limit: int = 20, exact: bool = False) -> DataFrame:
     from .search import search_strings
 
-    return search_strings(idx, value, limit, exact).select("value", "classification", "relative_path", "start_line")
+    return search_strings(idx, value, limit, exact=exact).select("value", "classification", "relative_path", "start_line")
 
 
 def window(files: DataFrame, places: DataFrame, context: int = 5) -> DataFrame:

@@ -98,7 +98,7 @@ def declarations(spark: SparkSession, specs: list[SourceSpec], files: DataFrame,
         _id(F.lit("node"), "source_id", "relative_path", "node").alias("nid"), F.when(F.col("recv") >= 0, _id(F.lit("node"), "source_id", "relative_path", "recv")).alias("recv_nid"), "op", "name", "recv", "level", "kind", "argc", "hint", "namespace", "usings",
         F.col("source_id").alias("source"), source_key.alias("source_key"), file_id.alias("file_id"), "type_id", F.when(F.col("method").isNotNull() & F.col("type_id").isNotNull(), _id(F.lit("methods"), "source_id", "relative_path", "method")).alias("method_id"), "line", "column", "end_line", "end_column",
     )
-    return {"sources": sources, "files": file_table, "types": type_table, "methods": methods, "fields": fields, "properties": properties, "strings": strings, "inheritance": inheritance}, nodes
+    return dict(sources=sources, files=file_table, types=type_table, methods=methods, fields=fields, properties=properties, strings=strings, inheritance=inheritance), nodes
 
 
 def index_sources(spark: SparkSession, specs: list[SourceSpec], rules: Rules) -> CodeIndex:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog, graph, nav, quality, registry, resolve, search, stats, symbol
+from ..schemas import TABLES
 from ..views import index, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,25 +35,25 @@ def query(name: str, sql: str | None, plain: bool = False) -> Callable:
     return add
 
 
-@query("search_types_substring", f"SELECT s.source_id, t.full_name, t.kind, f.relative_path, t.start_line FROM {_TYPES} WHERE ({_has('t.name', 'bolt')} OR {_has('t.full_name', 'bolt')}) AND t.is_compiler_generated = 0 ORDER BY t.is_compiler_generated, t.full_name, s.source_id, t.id LIMIT 20")
+@query("search_types_substring", f"SELECT full_name, kind, t.start_line, relative_path, s.source_id FROM {_TYPES} WHERE ({_has('t.name', 'bolt')} OR {_has('t.full_name', 'bolt')}) AND t.is_compiler_generated = 0 ORDER BY t.is_compiler_generated, t.full_name, s.source_id, t.id LIMIT 20")
 def _(spark, d):
     return search.search_types(index(spark, d), "Bolt")
 
 
-@query("search_types_exact", f"SELECT s.source_id, t.full_name, t.kind, f.relative_path, t.start_line FROM {_TYPES} WHERE (t.name = 'red widget' OR t.full_name = 'red widget') ORDER BY t.full_name, s.source_id, t.id LIMIT 50")
+@query("search_types_exact", f"SELECT full_name, kind, t.start_line, relative_path, s.source_id FROM {_TYPES} WHERE (t.name = 'red widget' OR t.full_name = 'red widget') ORDER BY t.full_name, s.source_id, t.id LIMIT 50")
 def _(spark, d):
-    return search.search_types(index(spark, d), "red widget", 50, exact=True, include_generated=True)
+    return search.search_types(index(spark, d), "red widget", 50, exact=True, generated=True)
 
 
-@query("search_types_source", f"SELECT s.source_id, t.full_name, t.kind, f.relative_path, t.start_line FROM {_TYPES} WHERE ({_has('t.name', 'brand#1')} OR {_has('t.full_name', 'brand#1')}) AND s.source_id = 'ASIA' ORDER BY t.is_compiler_generated, t.full_name, s.source_id, t.id LIMIT 40")
+@query("search_types_source", f"SELECT full_name, kind, t.start_line, relative_path, s.source_id FROM {_TYPES} WHERE ({_has('t.name', 'brand#1')} OR {_has('t.full_name', 'brand#1')}) AND s.source_id = 'ASIA' ORDER BY t.is_compiler_generated, t.full_name, s.source_id, t.id LIMIT 40")
 def _(spark, d):
-    return search.search_types(index(spark, d), "brand#1", 40, include_generated=True, source="ASIA")
+    return search.search_types(index(spark, d), "brand#1", 40, generated=True, source="ASIA")
 
 
 _MEMBER = "m_{0} m JOIN m_types t ON t.id = m.type_id JOIN m_files f ON f.id = m.file_id JOIN m_sources s ON s.id = t.source_id WHERE t.is_compiler_generated = 0"
 
 
-@query("search_methods", f"SELECT s.source_id, m.signature, t.full_name AS type_full, f.relative_path, m.start_line FROM {_MEMBER.format('methods')} AND {_has('m.name', 'do_mach')} ORDER BY t.full_name, m.signature, s.source_id, m.id LIMIT 20")
+@query("search_methods", f"SELECT t.full_name AS type_full, signature, m.start_line, relative_path, s.source_id FROM {_MEMBER.format('methods')} AND {_has('m.name', 'do_mach')} ORDER BY t.full_name, m.signature, s.source_id, m.id LIMIT 20")
 def _(spark, d):
     return search.search_methods(index(spark, d), "do_MACH")
 
@@ -67,12 +68,12 @@ def _(spark, d):
     return search.search_properties(index(spark, d), "F_", 25)
 
 
-@query("like_parity_underscore", f"SELECT s.source_id, m.signature, t.full_name AS type_full, f.relative_path, m.start_line FROM {_MEMBER.format('methods')} AND {_LOW.format('m.name')} LIKE '%do\\_mach%' ORDER BY t.full_name, m.signature, s.source_id, m.id LIMIT 20")
+@query("like_parity_underscore", f"SELECT t.full_name AS type_full, signature, m.start_line, relative_path, s.source_id FROM {_MEMBER.format('methods')} AND {_LOW.format('m.name')} LIKE '%do\\_mach%' ORDER BY t.full_name, m.signature, s.source_id, m.id LIMIT 20")
 def _(spark, d):
     return search.search_methods(index(spark, d), "Do_MACH", parity=True)
 
 
-_CLASS = r"CASE WHEN value = '' THEN 'other' WHEN contains(value, '/') OR contains(value, '\') THEN 'path_like' WHEN regexp_matches(value, '\s') THEN 'localization_like' WHEN regexp_full_match(value, '[A-Za-z_][A-Za-z0-9_]*') THEN 'possible_identifier' WHEN regexp_full_match(value, '[A-Za-z0-9][A-Za-z0-9_.\-]*') AND (contains(value, '_') OR contains(value, '.')) THEN 'possible_asset_id' ELSE 'other' END"
+_CLASS = r"CASE WHEN value = '' THEN 'other' WHEN contains(value, '/') OR contains(value, '\') THEN 'path_like' WHEN regexp_matches(value, '\s') THEN 'localization_like' WHEN regexp_full_match(value, '[a-zA-Z_]\w*') THEN 'possible_identifier' WHEN regexp_full_match(value, '[a-zA-Z0-9][-.\w]*') AND (contains(value, '_') OR contains(value, '.')) THEN 'possible_asset_id' ELSE 'other' END"
 
 
 @query("search_strings", f"SELECT s.source_id, str.value, {_CLASS} AS classification, f.relative_path, str.start_line FROM m_strings str JOIN m_files f ON f.id = str.file_id JOIN m_sources s ON s.id = f.source_id WHERE {_has('str.value', 'spam-farm')} ORDER BY str.value, f.relative_path, str.start_line, str.id LIMIT 30")
@@ -193,13 +194,13 @@ _OUTSIDE = "outside AS (SELECT DISTINCT type_id FROM m_inheritance WHERE target_
 
 @query(
     "resolve_member",
-    f"{_CHAIN}, {_OUTSIDE}, own AS (SELECT type_id, name, 'field' AS kind, max(id) AS id FROM m_fields GROUP BY ALL UNION ALL SELECT type_id, name, 'property', max(id) FROM m_properties GROUP BY ALL), req AS (SELECT t.id AS type_id, n.name FROM m_types t CROSS JOIN (SELECT DISTINCT name FROM m_fields) n WHERE t.id < 400), "
+    f"{_CHAIN}, {_OUTSIDE}, own AS (SELECT type_id, name, 'field' AS kind, max(id) AS id FROM m_fields GROUP BY ALL UNION ALL SELECT type_id, name, 'property', max(id) FROM m_properties GROUP BY ALL), req AS (SELECT t.id AS type_id, n.name FROM m_types t CROSS JOIN (SELECT DISTINCT name FROM m_fields) n), "
     "hit AS (SELECT req.type_id, req.name, pos, count(*) AS n, min(kind) AS kind, min(own.id) AS id FROM req JOIN chain ON root = req.type_id JOIN own ON own.type_id = node AND own.name = req.name GROUP BY 1, 2, 3), best AS (SELECT type_id, name, arg_min(n, pos) AS n, arg_min(kind, pos) AS kind, arg_min(id, pos) AS id FROM hit GROUP BY 1, 2) "
     "SELECT req.type_id, req.name, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' WHEN outside.type_id IS NOT NULL THEN 'external' ELSE 'unresolved' END AS status, CASE WHEN n = 1 THEN kind END AS kind, CASE WHEN n = 1 THEN id END AS member_id FROM req LEFT JOIN best ON best.type_id = req.type_id AND best.name = req.name LEFT JOIN outside ON outside.type_id = req.type_id",
 )
 def _(spark, d):
     idx = index(spark, d)
-    asked = idx.types.filter("id < 400").select(F.col("id").alias("type_id")).crossJoin(idx.fields.select("name").distinct())
+    asked = idx.types.select(F.col("id").alias("type_id")).crossJoin(idx.fields.select("name").distinct())
     rules = resolve.Rules()
     return resolve.resolve_members(asked, idx, resolve.scope(idx, rules)).select("type_id", "name", "status", "kind", "member_id")
 
@@ -209,7 +210,7 @@ def _methods_sql(parity: bool) -> str:
     arity = f"length({inner}) // 2" if parity else f"CASE WHEN {inner} = '' THEN 0 ELSE length(regexp_replace({inner}, '<[^<>]*>', '', 'g')) - length(replace(regexp_replace({inner}, '<[^<>]*>', '', 'g'), ',', '')) + 1 END"
     near = "" if parity else "WHERE nth = 1"
     return (
-        f"{_CHAIN}, {_OUTSIDE}, req AS (SELECT t.id AS type_id, n.name, a.argc FROM m_types t CROSS JOIN (SELECT DISTINCT name FROM m_methods) n CROSS JOIN (SELECT 0 AS argc UNION ALL SELECT 1 UNION ALL SELECT 2) a WHERE t.id < 300), "
+        f"{_CHAIN}, {_OUTSIDE}, req AS (SELECT t.id AS type_id, n.name, a.argc FROM m_types t CROSS JOIN (SELECT DISTINCT name FROM m_methods) n CROSS JOIN (SELECT 0 AS argc UNION ALL SELECT 1 UNION ALL SELECT 2) a), "
         f"hit AS (SELECT * FROM (SELECT req.*, pos, m.id, signature, {arity} AS arity, row_number() OVER (PARTITION BY req.type_id, req.name, req.argc, signature ORDER BY pos, m.id) AS nth FROM req JOIN chain ON root = req.type_id JOIN m_methods m ON m.type_id = node AND m.name = req.name) {near}), "
         "fit AS (SELECT *, count(*) OVER w AS n_all, sum(CASE WHEN arity = argc THEN 1 ELSE 0 END) OVER w AS n_fit FROM hit WINDOW w AS (PARTITION BY type_id, name, argc)), best AS (SELECT type_id, name, argc, count(*) AS n, min(id) AS id FROM fit WHERE n_all = 1 OR n_fit = 0 OR arity = argc GROUP BY 1, 2, 3) "
         "SELECT req.type_id, req.name, req.argc, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' WHEN outside.type_id IS NOT NULL THEN 'external' ELSE 'unresolved' END AS status, CASE WHEN n = 1 THEN id END AS method_id FROM req LEFT JOIN best ON best.type_id = req.type_id AND best.name = req.name AND best.argc = req.argc LEFT JOIN outside ON outside.type_id = req.type_id"
@@ -222,7 +223,7 @@ for _parity in (False, True):
     def _(spark, d, parity=_parity):
         idx = index(spark, d)
         counts = spark.range(3).select(F.col("id").cast("int").alias("argc"))
-        asked = idx.types.filter("id < 300").select(F.col("id").alias("type_id")).crossJoin(idx.methods.select("name").distinct()).crossJoin(counts)
+        asked = idx.types.select(F.col("id").alias("type_id")).crossJoin(idx.methods.select("name").distinct()).crossJoin(counts)
         rules = resolve.Rules(parity=parity)
         return resolve.resolve_methods(asked, idx, resolve.scope(idx, rules), rules).select("type_id", "name", "argc", "status", "method_id")
 
@@ -280,7 +281,7 @@ def _(spark, d):
     return resolve.resolve_inheritance(edges, types, resolve.Rules(primary="main"))
 
 
-_COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n FROM m_{t}" for t in ("sources", "files", "types", "methods", "fields", "properties", "inheritance", "strings", "symbol_references", "method_calls", "type_references"))
+_COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n FROM m_{t}" for t in TABLES if t != "meta")
 
 
 @query("stats_row_counts", _COUNTS)
@@ -316,14 +317,14 @@ def _(spark, d):
     return stats.cross_source(index(spark, d))
 
 
-_OLD, _NEW = "o_orderkey % 11 <> 3", "o_orderkey % 13 <> 5"
+_OLD, _NEW = "o_orderpriority <> '1-URGENT'", "o_orderpriority <> '5-LOW'"
 
 
 @query("registry_diff", f"WITH a AS (SELECT o_orderkey AS key, o_orderstatus AS v FROM orders WHERE {_OLD}), b AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS v FROM orders WHERE {_NEW}) SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'NEW' WHEN b.key IS NULL THEN 'MISSING' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'UNCHANGED' ELSE 'CHANGED' END AS status FROM a FULL JOIN b ON a.key = b.key", plain=True)
 def _(spark, d):
-    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("v"))
-    old = rows.filter(_OLD.replace("o_orderkey", "key"))
-    new = rows.filter(_NEW.replace("o_orderkey", "key")).withColumn("v", F.when(F.col("key") % 7 != 0, F.col("v")))
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("v"), "o_orderpriority")
+    old = rows.filter(_OLD)
+    new = rows.filter(_NEW).withColumn("v", F.when(F.col("key") % 7 != 0, F.col("v")))
     return registry.diff(old, new, "key", F.col("v"))
 
 
@@ -352,19 +353,19 @@ def _(spark, d):
     return registry.snapshot_state(rows)
 
 
-@query("index_states", "WITH a AS (SELECT c_custkey AS source_id, c_mktsegment AS was, CASE WHEN c_custkey % 9 = 4 THEN 1 ELSE 2 END AS schema_version FROM customer WHERE c_custkey % 5 <> 0), b AS (SELECT c_custkey AS source_id, CASE WHEN c_custkey % 4 = 0 THEN 'x' ELSE c_mktsegment END AS now FROM customer WHERE c_custkey % 7 <> 0), r AS (SELECT coalesce(a.source_id, b.source_id) AS source_id, CASE WHEN a.source_id IS NULL THEN 'source added' WHEN b.source_id IS NULL THEN 'source removed' WHEN schema_version <> 2 THEN 'schema version' WHEN was <> now THEN 'snapshot changed' END AS reason FROM a FULL JOIN b ON a.source_id = b.source_id) SELECT source_id, CASE WHEN reason IS NULL THEN 'OK' ELSE 'STALE' END AS state, reason FROM r", plain=True)
+@query("index_states", "WITH a AS (SELECT c_custkey AS source_id, c_mktsegment AS was, CASE WHEN c_custkey % 9 = 4 THEN 1 ELSE 2 END AS schema_version FROM customer WHERE c_nationkey <> 3), b AS (SELECT c_custkey AS source_id, CASE WHEN c_custkey % 4 = 0 THEN 'x' ELSE c_mktsegment END AS now FROM customer WHERE c_nationkey <> 7), r AS (SELECT coalesce(a.source_id, b.source_id) AS source_id, CASE WHEN a.source_id IS NULL THEN 'source added' WHEN b.source_id IS NULL THEN 'source removed' WHEN schema_version <> 2 THEN 'schema version' WHEN was <> now THEN 'snapshot changed' END AS reason FROM a FULL JOIN b ON a.source_id = b.source_id) SELECT source_id, CASE WHEN reason IS NULL THEN 'OK' ELSE 'STALE' END AS state, reason FROM r", plain=True)
 def _(spark, d):
     k = F.col("c_custkey")
     c = spark.read.parquet(f"{d}/customer.parquet")
-    was = c.filter(k % 5 != 0).select(k.alias("source_id"), F.col("c_mktsegment").alias("snapshot_id"), F.when(k % 9 == 4, 1).otherwise(2).alias("schema_version"))
-    now = c.filter(k % 7 != 0).select(k.alias("source_id"), F.when(k % 4 == 0, "x").otherwise(F.col("c_mktsegment")).alias("snapshot_id"))
+    was = c.filter("c_nationkey <> 3").select(k.alias("source_id"), F.col("c_mktsegment").alias("snapshot_id"), F.when(k % 9 == 4, 1).otherwise(2).alias("schema_version"))
+    now = c.filter("c_nationkey <> 7").select(k.alias("source_id"), F.when(k % 4 == 0, "x").otherwise(F.col("c_mktsegment")).alias("snapshot_id"))
     return registry.index_state(was, now, 2)
 
 
 @query(
     "validation_report",
     "f AS (SELECT source_id, count(*) AS n, count(*) FILTER (parse_status = 'FAILED') AS failed FROM m_files GROUP BY 1) SELECT 'failed_share' AS rule, s.source_id AS subject, failed * 100 <= n * 3 AS ok, failed || '/' || n AS detail FROM m_sources s JOIN f ON f.source_id = s.id "
-    + "".join(f"UNION ALL SELECT 'not_empty', '{t}', true, '1' " for t in ("types", "methods", "fields", "properties", "strings", "inheritance", "symbol_references", "method_calls", "type_references"))
+    + "".join(f"UNION ALL SELECT 'not_empty', '{t}', true, '1' " for t in TABLES if t not in ("meta", "sources", "files"))
     + "UNION ALL SELECT 'resolved_calls', 'method_calls', true, '1' UNION ALL SELECT 'core_type', x, count(t.id) > 0, CAST(count(t.id) AS VARCHAR) FROM (SELECT unnest(['red bolt', 'no such']) AS x) LEFT JOIN (SELECT * FROM m_types WHERE is_compiler_generated = 0 AND source_id = 0) t ON t.name = x GROUP BY x "
     "UNION ALL SELECT 'literal', 'Brand.7', count(*) > 0, CAST(least(count(*), 1) AS VARCHAR) FROM m_strings WHERE value = 'Brand.7' UNION ALL SELECT 'namespace', 'ASIA', count(*) > 0, CAST(least(count(*), 1) AS VARCHAR) FROM m_types WHERE source_id = 2 AND starts_with(namespace, 'Brand#')",
 )
@@ -409,12 +410,12 @@ def _(spark, d):
     return catalog.flat_catalog(_mods(spark, d))
 
 
-@query("catalog_problems", f"WITH {_MODS}, {_MATRIX}, less AS (SELECT * FROM matrix WHERE mod_id % 50 <> 9 OR role <> 'primary') SELECT 'flat ids' AS rule, CAST(source_id AS VARCHAR) AS subject FROM mods WHERE source_id % 40 = 1 UNION ALL SELECT 'tier', CAST(source_id AS VARCHAR) FROM mods WHERE source_id % 90 = 2 UNION ALL SELECT 'matrix primaries', CAST(source_id AS VARCHAR) FROM (SELECT DISTINCT source_id, unnest(primary_systems) AS system FROM mods WHERE source_id % 50 = 9)", plain=True)
+@query("catalog_problems", f"WITH {_MODS}, {_MATRIX}, SELECT 'flat ids' AS rule, CAST(source_id AS VARCHAR) AS subject FROM mods JOIN part ON p_partkey = source_id WHERE p_brand = 'Brand#7' UNION ALL SELECT 'tier', CAST(source_id AS VARCHAR) FROM mods WHERE source_id % 90 = 2 UNION ALL SELECT 'matrix primaries', CAST(source_id AS VARCHAR) FROM (SELECT DISTINCT source_id, unnest(primary_systems) AS system FROM mods) WHERE system = 'bolt'", plain=True)
 def _(spark, d):
     mods = _mods(spark, d)
     wrong = mods.withColumn("tier", F.when(F.col("source_id") % 90 == 2, "Z").otherwise(F.col("tier")))
-    matrix = catalog.system_matrix(mods).filter("mod_id % 50 <> 9 or role <> 'primary'")
-    return catalog.catalog_problems(wrong, catalog.flat_catalog(mods).filter("mod_id % 40 <> 1"), matrix)
+    matrix = catalog.system_matrix(mods).filter("system <> 'bolt' or role <> 'primary'")
+    return catalog.catalog_problems(wrong, catalog.flat_catalog(mods).filter("profile <> 'Brand#7'"), matrix)
 
 
 @query("integrity_anti_join", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT s_suppkey FROM supplier)", plain=True)

@@ -10,17 +10,18 @@ from collections.abc import Callable, Iterable
 from pathlib import Path
 from typing import Any
 
-COMMIT = re.compile(r"[0-9a-f]{7,40}")
+COMMIT = re.compile("[a-f0-9]{7,40}")
 LONGEST_VERSION = 32
 
 
 def walk(root: Path, pattern: str, max_depth: int) -> list[Path]:
     """Files that match a pattern at most max_depth folders down; folders that begin with a dot are skipped."""
     found = []
-    for folder, below, files in os.walk(root):
-        depth = len(Path(folder).relative_to(root).parts)
-        below[:] = sorted(d for d in below if not d.startswith(".")) if depth < max_depth else []
-        found += [Path(folder, f) for f in files if fnmatch.fnmatch(f, pattern)]
+    for folder, below, names in os.walk(root):
+        here = Path(folder)
+        deeper = len(here.relative_to(root).parts) < max_depth
+        below[:] = sorted(d for d in below if deeper and d[:1] != ".")
+        found += map(here.joinpath, fnmatch.filter(names, pattern))
     return sorted(found)
 
 
@@ -34,22 +35,21 @@ def library_folders(vdf: str) -> list[str]:
 
 
 def build_id(acf: str) -> str | None:
-    found = re.search(r'"buildid"\s+"(\d+)"', acf)
-    return found.group(1) if found else None
+    return next((v for v in vdf_values(acf, "buildid") if v.isdigit()), None)
 
 
 def read_json(path: Path, required: Iterable[str] = ()) -> dict | None:
     """A JSON object with the required keys, else None."""
     try:
-        found = json.loads(path.read_text(encoding="utf-8"))
-    except (OSError, ValueError):
+        found = json.loads(path.read_bytes())
+    except (ValueError, OSError):
         return None
     return found if isinstance(found, dict) and all(k in found for k in required) else None
 
 
 def version_for_path(document: Any, path: str, path_key: str = "path", version_key: str = "version") -> str | None:
     """The version beside a path equal to the given one, anywhere in a nested document."""
-    plain = lambda p: p.replace("\\", "/").strip("/").lower()
+    plain = lambda p: p.translate({92: 47}).lower().strip("/")
     stack = [document]
     while stack:
         x = stack.pop(0)
@@ -100,13 +100,13 @@ def first_source(candidates: Iterable[Callable[[], str | None]]) -> str | None:
     return None
 
 
-def write_if_changed(path: Path, document: dict, volatile: tuple[str, ...] = ("generated_at",)) -> bool:
+def write_if_changed(path: Path, document: dict, volatile: frozenset[str] = frozenset({"generated_at"})) -> bool:
     """Write sorted JSON unless it only differs in volatile keys; whether it was written."""
     plain = lambda d: {k: v for k, v in d.items() if k not in volatile}
     old = read_json(path)
     if old is not None and plain(old) == plain(document):
         return False
-    path.parent.mkdir(parents=True, exist_ok=True)
+    os.makedirs(path.parent, exist_ok=True)
     held = path.with_suffix(path.suffix + ".new")
     held.write_text(json.dumps(document, indent=2, sort_keys=True, ensure_ascii=False) + "\n", encoding="utf-8")
     os.replace(held, path)
@@ -115,14 +115,15 @@ def write_if_changed(path: Path, document: dict, volatile: tuple[str, ...] = ("g
 
 def public_manifest(registry: dict[str, Any]) -> dict[str, Any]:
     """Identities alone, no place on this machine: hashes, versions, and mods by id."""
-    sources = registry.get("sources", {})
+    sources = registry.get("sources") or {}
     out: dict[str, Any] = {"assemblies": [], "mods": []}
     for name, r in sorted(sources.items()):
         if r.get("kind") == "game":
             out["game"] = {"version": r.get("game_version"), "build_id": r.get("steam_buildid"), "sha256": (r.get("assembly") or {}).get("sha256")}
         elif r.get("kind") == "loader":
             out["loader"] = {"version": r.get("version"), "commit": r.get("commit")}
-            out["assemblies"] = [{"filename": a["filename"], "sha256": a["sha256"]} for a in r.get("assemblies", []) if a.get("filename") and a.get("sha256")]
+            known = ({k: a.get(k) for k in ("filename", "sha256")} for a in r.get("assemblies") or [])
+            out["assemblies"] = [a for a in known if all(a.values())]
         elif r.get("kind") == "reference-mod":
             out["mods"].append({"id": name, "name": r.get("name"), "git_commit": r.get("commit"), "csharp_file_count": (r.get("fingerprint") or {}).get("csharp_file_count")})
     return out
