@@ -20,7 +20,8 @@ def grams(text: str, n: int = ngram_join.N) -> set:
 
 def brute(rows, t: float = ngram_join.THRESHOLD) -> dict:
     sets = {i: g for i, x, *_ in rows if i is not None and x is not None and (g := grams(x))}
-    return {(a, b): j for a, b in combinations(sorted(sets), 2) if (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= t - 1e-12}
+    may = lambda a, b: min(len(a), len(b)) >= t * max(len(a), len(b)) - 1e-9
+    return {(a, b): j for a, b in combinations(sorted(sets), 2) if may(sets[a], sets[b]) and (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= t - 1e-12}
 
 
 def pairs(df) -> dict:
