@@ -28,15 +28,13 @@ class References:
     type_references: DataFrame
 
 
-_NONE = F.lit(None)
-
-
 def _results(df: DataFrame) -> DataFrame:
     return df.select("nid", F.col("type_id").cast("long").alias("res_type"), F.col("ext").cast("string").alias("res_ext"))
 
 
 def build_references(idx: CodeIndex, nodes: DataFrame, rules: Rules) -> References:
     """References of nodes: the columns of NODE with nid, recv_nid, source (name), source_key, file_id, usings, type_id and method_id."""
+    none = F.lit(None)
     types = type_names(idx)
     names = types.select(F.col("type_id").alias("owner_id"), F.col("full_name").alias("owner_full"), F.col("source").alias("owner_source"))
     looked = scope(idx, rules)
@@ -61,12 +59,12 @@ def build_references(idx: CodeIndex, nodes: DataFrame, rules: Rules) -> Referenc
     declared = declared_types(implicit.filter("member_id is not null").select("owner_id", F.col("member_type").alias("text")), types, rules)
     typed = implicit.join(declared.withColumnRenamed("text", "member_type").withColumnRenamed("type_id", "d_id").withColumnRenamed("external", "d_ext"), ["owner_id", "member_type"], "left")
     outside = F.when(F.col("member_id").isNotNull(), F.col("d_ext")).when((F.col("t_status") == "external") | used, F.col("name"))
-    own = nodes.filter("op = 'this'").select("nid", "type_id", _NONE.alias("ext"))
+    own = nodes.filter("op = 'this'").select("nid", "type_id", none.alias("ext"))
     parents = looked.chain.filter("pos = 1").select(F.col("root").alias("type_id"), F.col("node").alias("parent"))
-    above = nodes.filter("op = 'base'").join(parents, "type_id", "left").select("nid", F.col("parent").alias("type_id"), _NONE.alias("ext"))
-    foreign = nodes.filter("op = 'external'").select("nid", _NONE.alias("type_id"), F.col("name").alias("ext"))
+    above = nodes.filter("op = 'base'").join(parents, "type_id", "left").select("nid", F.col("parent").alias("type_id"), none.alias("ext"))
+    foreign = nodes.filter("op = 'external'").select("nid", none.alias("type_id"), F.col("name").alias("ext"))
     first = [
-        direct.select("nid", F.col("t_id").alias("type_id"), F.when(F.col("t_status") == "external", base).alias("ext")), as_type.select("nid", F.col("t_id").alias("type_id"), _NONE.alias("ext")),
+        direct.select("nid", F.col("t_id").alias("type_id"), F.when(F.col("t_status") == "external", base).alias("ext")), as_type.select("nid", F.col("t_id").alias("type_id"), none.alias("ext")),
         typed.select("nid", F.col("d_id").alias("type_id"), outside.alias("ext")), own, above, foreign,
     ]
     results = materialize(reduce(DataFrame.unionByName, map(_results, first)), "results")
@@ -111,7 +109,7 @@ def build_references(idx: CodeIndex, nodes: DataFrame, rules: Rules) -> Referenc
             F.coalesce("owner_full", receiver).alias("declaring_type_hint"), "file_id", "line", "column", F.col("status").alias("resolution_status"),
         ))
     confidence = F.when(F.col("resolution_status") == "resolved", 1.0).when(F.col("resolution_status") == "external", 0.5).otherwise(0.0)
-    key = logical_key(F.col("resolution_status"), F.col("target_kind"), F.col("owner_source"), F.col("owner_full"), _NONE.cast("string"), F.col("name"))
+    key = logical_key(F.col("resolution_status"), F.col("target_kind"), F.col("owner_source"), F.col("owner_full"), none.cast("string"), F.col("name"))
     symbol_table = reduce(DataFrame.unionByName, symbols).select(
         F.col("nid").alias("id"), F.col("source_key").alias("source_id"), "from_file_id", "from_type_id", "from_method_id", "target_kind", "target_name", key.alias("target_logical_key"), "target_id", "reference_kind",
         "start_line", "start_column", "end_line", "end_column", "resolution_status", confidence.alias("resolution_confidence"),

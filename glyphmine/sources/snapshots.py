@@ -36,7 +36,7 @@ def scan(spark: SparkSession, spec: SourceSpec, pattern: str = "*.cs") -> DataFr
     name = F.element_at(F.split(path, "/"), -1)
     return raw.select(
         F.lit(spec.source_id).alias("source_id"), path.alias("relative_path"), name.alias("filename"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("extension"),
-        F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), line_count(F.decode("content", F.lit("ISO-8859-1"))).alias("line_count"), "content",
+        F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), line_count(F.decode("content", "ISO-8859-1")).alias("line_count"), "content",
     )
 
 
@@ -62,7 +62,7 @@ def fingerprint(spark: SparkSession, path: str) -> DataFrame:
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """(file, text) of all .md files below a folder."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(path)
-    return raw.select(relative_path("path", path).alias("file"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return raw.select(relative_path("path", path).alias("file"), F.decode("content", "UTF-8").alias("text"))
 
 
 def json_documents(spark: SparkSession, path: str, required: tuple[str, ...] = (), schema: str | None = None) -> DataFrame:
