@@ -1,15 +1,16 @@
 """Capture index of web pages by external merge.
 
-Each input partition sorts its captures by URL key, timestamp and id and writes them as a run to the shared folder. The runs are cut into ranges of the
-URL key; every range task finds the ascending runs in what it receives and merges them with a loser tree, so the
-partitions together are one globally ordered index. A capture gets its place in that order and in the history of its key.
+Each input partition sorts its captures by URL key, timestamp and id and writes them as a run to the shared folder. The runs are cut into ranges of
+that order; every range task finds the ascending runs in what it receives and merges them with a loser tree, so the
+partitions together are one globally ordered index. A capture gets its place in that order and in the history of its key; the history of a
+hot key may cross many ranges, and goes on from one to the next by sums over a table with a row for each range.
 
 The URL key has the host's labels reversed, without scheme, user, port, leading www and fragment, all in lower case, a path without
 closing slashes and the query's parts sorted. The table of pages has no times: unless a column is named, a capture's
 time is EPOCH plus a minute for each id.
 
 Defined results: rows with null url have no key and are left out; a null id gives a null time and sorts first; null html has null digest and 0
-bytes; repeated rows are captures of their own, in an order that can't be told apart; all captures of a key lie in one range;
+bytes; repeated rows are captures of their own, in an order that can't be told apart;
 columns other than those named are ignored.
 """
 
@@ -110,13 +111,28 @@ def capture_index(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     )
     order = ["urlkey", "timestamp", "page_id", "url", "digest"]
     runs = common.materialize(captures.sortWithinPartitions(*order), "runs")
-    merged = runs.repartitionByRange("urlkey").mapInArrow(common.lean(_merge), "urlkey string, timestamp string, page_id long, url string, digest string, n_bytes long, local_no long, capture_no long, revisit boolean")
+    merged = runs.repartitionByRange(*order).mapInArrow(common.lean(_merge), "urlkey string, timestamp string, page_id long, url string, digest string, n_bytes long, local_no long, capture_no long, revisit boolean")
     merged = common.materialize(merged.withColumn("range", F.spark_partition_id()), "merged")
-    ranges = merged.groupBy("range").agg(F.count("*").alias("n"), F.min("urlkey").alias("first"))
-    starts = ranges.select("range", F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    starts = common.materialize(starts, "starts")
-    numbered = common.join_checked(merged, starts, ["range"], "inner", 12)
-    return numbered.select((F.col("start") + F.col("local_no")).alias("global_no"), "urlkey", "capture_no", "timestamp", "page_id", "url", "digest", "n_bytes", "revisit")
+    starts = common.materialize(_starts(merged), "starts")
+    numbered = common.join_checked(merged, starts, ["range"], "inner", 400)
+    goes_on = (F.col("urlkey") == F.col("first_key")) & F.col("earlier").isNotNull()
+    return numbered.select(
+        (F.col("start") + F.col("local_no")).alias("global_no"), "urlkey", (F.col("capture_no") + F.when(goes_on, F.col("earlier")).otherwise(0)).alias("capture_no"), "timestamp", "page_id", "url", "digest", "n_bytes",
+        F.when(goes_on & (F.col("local_no") == 0), F.coalesce(F.col("digest") == F.col("digest_before"), F.lit(False))).otherwise(F.col("revisit")).alias("revisit"),
+    )
+
+
+def _starts(merged: DataFrame) -> DataFrame:
+    """(range, start, first_key, earlier, digest_before): how many captures lie before each range, and what earlier ranges hold of its first key."""
+    at = F.col("local_no")
+    ends = merged.groupBy("range").agg(
+        F.count("*").alias("n"), F.min_by("urlkey", at).alias("first_key"), F.max_by("urlkey", at).alias("last_key"), (F.max_by("capture_no", at) + 1).alias("tail"), F.max_by(F.struct("digest"), at).alias("last_digest"),
+    )
+    ends = ends.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before, here = ends.alias("p"), ends.alias("r")
+    begun = before.join(here, (F.col("p.last_key") == F.col("r.first_key")) & (F.col("p.range") < F.col("r.range")))
+    begun = begun.groupBy(F.col("r.range").alias("range")).agg(F.sum("p.tail").alias("earlier"), F.max_by("p.last_digest", "p.range").alias("last"))
+    return ends.join(begun, "range", "left").select("range", "start", "first_key", "earlier", F.col("last.digest").alias("digest_before"))
 
 
 def op6_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,22 @@ def test_histories_with_a_hot_key(spark):
         before[r.urlkey] = (r.capture_no, r.digest)
 
 
+def test_history_crosses_ranges(spark):
+    """Ranges are forced small, so that the hot key fills several."""
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = [(k, "http://hot.example/", "<p>same" if k % 50 else f"<p>{k}") for k in range(900)] + [(k, f"http://a{k}.example/", "x") for k in range(900, 1000)]
+        df = capture_index.capture_index(cases.table(spark, rows, PAGES).repartition(5))
+        found = sorted(df.collect(), key=lambda r: r.global_no)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    hot = [r for r in found if r.urlkey == "example,hot)/"]
+    assert [r.capture_no for r in hot] == list(range(900)) == [r.page_id for r in hot]
+    assert [r.revisit for r in hot] == [k > 0 and a.digest == r.digest for k, (a, r) in enumerate(zip([hot[0], *hot], hot, strict=False))]
+    assert [r.global_no for r in found] == list(range(1000))
+
+
 def test_awkward_rows(spark):
     rows = [(None, "http://a.b/", "x"), (1, None, "x"), (2, "http://a.b/", None), (3, "http://a.b/", "x"), (3, "http://a.b/", "x"), (4, "", ""), (5, "http://a.b/", "y" * 2_000_000)]
     df = cases.table(spark, rows, PAGES).withColumns({c: F.lit("!") for c in ("urlkey", "timestamp", "digest", "n_bytes", "range", "start", "n", "first")})
