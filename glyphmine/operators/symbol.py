@@ -122,7 +122,7 @@ def symbol_cards(idx: CodeIndex, types: DataFrame) -> DataFrame:
     return card.drop("source_key")
 
 
-def symbol(idx: CodeIndex, name: str, generated: bool = False, source: str | None = None) -> dict:
+def symbol(idx: CodeIndex, name: str, source: str | None = None, generated: bool = False) -> dict:
     """found, and the card of a type or the candidates where the name is ambiguous."""
     rows = named_types(idx, name, generated, source)
     heads = rows.take(100)

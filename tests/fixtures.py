@@ -105,7 +105,6 @@ NOTHING = "%%% this is no source at all {{{"
 
 def write(root, files: dict[str, str]):
     for name, text in files.items():
-        path = root / name
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(text)
+        (root / name).parent.mkdir(exist_ok=True, parents=True)
+        (root / name).write_bytes(text.encode())
     return str(root)
