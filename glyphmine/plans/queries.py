@@ -91,7 +91,19 @@ def _(spark, d):
     return search.search_files(index(spark, d), "DE/src1")
 
 
-@query("search_all", None)
+def _listed_as(category: str, symbol: str, owner: str, line: str, body: str, order: str) -> str:
+    return f"(SELECT '{category}' AS category, s.source_id, {symbol} AS symbol, {owner} AS owner, f.relative_path, CAST({line} AS INT) AS start_line FROM {body} ORDER BY {order} LIMIT 20)"
+
+
+_SIX = [
+    _listed_as("types", "t.full_name", "NULL", "t.start_line", f"{_TYPES} WHERE ({_has('t.name', 'gear')} OR {_has('t.full_name', 'gear')}) AND t.is_compiler_generated = 0", "t.full_name, s.source_id, t.id"),
+    *(_listed_as(c, f"m.{k}", "t.full_name", "m.start_line", f"{_MEMBER.format(c)} AND {_has('m.name', 'gear')}", f"t.full_name, m.{k}, s.source_id, m.id") for c, k in (("methods", "signature"), ("fields", "name"), ("properties", "name"))),
+    _listed_as("strings", "m.value", "NULL", "m.start_line", f"m_strings m JOIN m_files f ON f.id = m.file_id JOIN m_sources s ON s.id = f.source_id WHERE {_has('m.value', 'gear')}", "m.value, f.relative_path, m.start_line, m.id"),
+    _listed_as("files", "f.relative_path", "NULL", "NULL", f"m_files f JOIN m_sources s ON s.id = f.source_id WHERE {_has('f.relative_path', 'gear')}", "f.relative_path, s.source_id"),
+]
+
+
+@query("search_all", " UNION ALL ".join(_SIX))
 def _(spark, d):
     return search.search_all(index(spark, d), "gear")
 
