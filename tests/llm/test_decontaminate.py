@@ -25,11 +25,14 @@ def brute(docs, items, n=decontaminate.N, slop=decontaminate.SLOP, near_terms=de
     found = {}
     for i, body, *_ in docs:
         words = tokens(body or "")
+        have = set(words)
         for k, text, *_ in items:
             w = tokens(text or "")
             phrases, near = 0, False
             for at in range(max(1, len(w) - n + 1)) if w else ():
                 window = w[at : at + n]
+                if not have.issuperset(window):
+                    continue
                 phrases += sum(words[p : p + len(window)] == window for p in range(len(words) - len(window) + 1))
                 terms = set(window)
                 if len(terms) >= near_terms:
