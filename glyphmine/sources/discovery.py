@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import json
 import os
 import re
 from collections.abc import Callable, Iterable
+from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
 
 COMMIT = re.compile("[a-f0-9]{7,40}")
 LONGEST_VERSION = 32
+LOADER_ASSEMBLIES = ("NeoModLoader.dll", "NeoModLoader.AutoUpdate_memload.dll")
+DEFAULT_LOADER = "NeoModLoader"
+LOADER_KEYS = ("ModLoader", "mod_loader", "loader")
+GAME_MODS = "worldbox_Data/StreamingAssets/mods"
+VERSION_KEYS = ("GameVersion", "game_version", "version")
+GAME_VERSION = re.compile(r"\d+(?:\.\d+)*")
+VERSIONS_DEPTH = 3
 
 
 def walk(root: Path, pattern: str, max_depth: int) -> list[Path]:
@@ -47,21 +56,34 @@ def read_json(path: Path, required: Iterable[str] = ()) -> dict | None:
     return found if isinstance(found, dict) and all(k in found for k in required) else None
 
 
-def version_for_path(document: Any, path: str, path_key: str = "path", version_key: str = "version") -> str | None:
-    """The version beside a path equal to the given one, anywhere in a nested document."""
-    plain = lambda p: p.translate({92: 47}).lower().strip("/")
+def version_for_path(document: Any, path: str) -> str | None:
+    """The version of the first object, anywhere in a nested document, that has a game version and, in a key with "path" in its name, the given path."""
+    plain = lambda p: p.translate({92: 47}).lower().rstrip("/")
     stack = [document]
     while stack:
-        x = stack.pop(0)
+        x = stack.pop()
         if isinstance(x, dict):
-            if isinstance(x.get(path_key), str) and isinstance(x.get(version_key), str) and plain(x[path_key]) == plain(path):
-                return x[version_key]
-            stack += x.values()
+            version = next((v for v in map(x.get, VERSION_KEYS) if isinstance(v, str) and GAME_VERSION.fullmatch(v)), None)
+            if version and any(isinstance(v, str) and "path" in k.lower() and plain(v) == plain(path) for k, v in x.items()):
+                return version
+            stack += reversed(x.values())
         elif isinstance(x, list):
-            stack += x
+            stack += reversed(x)
     return None
 
 
+def game_version(near: Path, path: str) -> tuple[str | None, str]:
+    """(version, status) of a game's folder by the versions.json files below a folder."""
+    for found in sorted(walk(near, "versions.json", VERSIONS_DEPTH), key=str):
+        try:
+            version = version_for_path(json.loads(found.read_bytes()), path)
+        except (ValueError, OSError):
+            continue
+        if version:
+            return version, "verified:local-metadata"
+    return None, "unknown"
+
+
 def git_info(folder: Path) -> dict[str, str | None]:
     """remote and commit of a working copy, from its files alone."""
     git = folder / ".git"
@@ -82,12 +104,62 @@ def loader_identity(commit: str | None, version: str | None) -> dict[str, str |
     return {"commit": commit if commit and COMMIT.fullmatch(commit) else None, "version": version if version and len(version) <= LONGEST_VERSION else None}
 
 
+def assembly_record(path: Path) -> dict[str, Any]:
+    with path.open("rb") as f:
+        return {"filename": path.name, "sha256": hashlib.file_digest(f, "sha256").hexdigest(), "size": path.stat().st_size}
+
+
+def scan_loader(folder: Path | None, game: Path | None = None) -> dict[str, Any] | None:
+    """The loader's record: commit and version from the files of these names in its folder, the known assemblies beside the folder.
+
+    Without the folder, the bare assembly among the game's mods; None where there is neither.
+    """
+    text = lambda p: p.read_text(encoding="utf-8", errors="replace").strip() if p.is_file() else None
+    if folder and folder.is_dir():
+        known = [p for n in LOADER_ASSEMBLIES if (p := folder.parent / n).is_file()]
+        return {"kind": "loader", "path": str(folder), **loader_identity(text(folder / "commit"), text(folder / "version")), "assemblies": [assembly_record(p) for p in known]}
+    bare = game / GAME_MODS / LOADER_ASSEMBLIES[0] if game else None
+    if bare and bare.is_file():
+        return {"kind": "loader", "path": None, "commit": None, "version": None, "assemblies": [assembly_record(bare)]}
+    return None
+
+
+def folder_stats(folder: Path) -> dict[str, Any]:
+    """file_count, total_size, latest_mtime, csharp_file_count, project_files and assembly_files of a folder, .git aside, hidden files included."""
+    extensions, size, latest = [], 0, 0.0
+    for here, below, names in os.walk(folder):
+        below[:] = [d for d in below if d != ".git"]
+        for name in names:
+            try:
+                about = os.stat(os.path.join(here, name))
+            except OSError:
+                continue
+            extensions.append(os.path.splitext(name)[1].lower())
+            size, latest = size + about.st_size, max(latest, about.st_mtime)
+    count = lambda *ends: sum(e in ends for e in extensions)
+    return {
+        "file_count": len(extensions), "total_size": size, "latest_mtime": datetime.fromtimestamp(latest, UTC).isoformat(timespec="seconds") if latest else None,
+        "csharp_file_count": count(".cs"), "project_files": count(".csproj", ".sln"), "assembly_files": count(".dll"),
+    }
+
+
+def mod_loader(info: dict | None) -> tuple[str | None, str | None]:
+    """(loader, status): the loader that a mod.json names; one that names none is taken for the default's, no mod.json for nobody's."""
+    named = next((v.strip() for v in map((info or {}).get, LOADER_KEYS) if isinstance(v, str) and v.strip()), None)
+    return (named, "verified:mod.json") if named else (None, None) if info is None else (DEFAULT_LOADER, "inferred:mod.json")
+
+
 def scan_mods(folder: Path, normalize: Callable[[str], str]) -> list[dict[str, Any]]:
-    """A record for each child folder, by id: name from its mod.json, whether that verifies it, git remote and commit."""
+    """A record for each child folder that doesn't begin with a dot, by id: name and loader from its mod.json, whether there is one, git remote and commit, file counts."""
     rows = []
-    for child in sorted(p for p in folder.iterdir() if p.is_dir()) if folder.is_dir() else []:
-        info = read_json(child / "mod.json") or {}
-        rows.append({"id": "ref:" + normalize(child.name), "kind": "reference-mod", "name": info.get("name") or child.name, "loader": "verified" if info else "inferred", "path": str(child), **git_info(child)})
+    for child in sorted(p for p in folder.iterdir() if p.is_dir() and p.name[:1] != ".") if folder.is_dir() else []:
+        info = read_json(child / "mod.json")
+        name = (info or {}).get("name")
+        detected, status = mod_loader(info)
+        rows.append({
+            "id": "ref:" + normalize(child.name), "kind": "reference-mod", "name": name.strip() if isinstance(name, str) and name.strip() else child.name, "loader": "verified" if info else "inferred",
+            "detected_mod_loader": detected, "detected_mod_loader_status": status, "path": str(child), **git_info(child), **folder_stats(child),
+        })
     return sorted(rows, key=lambda r: r["id"])
 
 
@@ -125,5 +197,5 @@ def public_manifest(registry: dict[str, Any]) -> dict[str, Any]:
             known = ({k: a.get(k) for k in ("filename", "sha256")} for a in r.get("assemblies") or [])
             out["assemblies"] = [a for a in known if all(a.values())]
         elif r.get("kind") == "reference-mod":
-            out["mods"].append({"id": name, "name": r.get("name"), "git_commit": r.get("commit"), "csharp_file_count": (r.get("fingerprint") or {}).get("csharp_file_count")})
+            out["mods"].append({"id": name, "name": r.get("name"), "git_commit": r.get("commit"), "csharp_file_count": r.get("csharp_file_count", 0)})
     return out

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
+from pyspark.sql import functions as F
+
+from glyphmine.operators import registry
 from glyphmine.sources import discovery
 
 
@@ -70,3 +74,62 @@ def test_public_manifest_names_no_place():
     found = discovery.public_manifest(registry)
     assert "/secret" not in json.dumps(found)
     assert found["assemblies"] == [{"filename": "a.dll", "sha256": "x"}] and found["game"]["sha256"] == "h" and [m["id"] for m in found["mods"]] == ["ref:m"]
+
+
+def test_version_by_the_keys_of_the_reference(tmp_path):
+    doc = [{"GameVersion": "n/a", "path": "/x"}, {"a": {"InstallPath": "C:\\Games\\X\\", "GameVersion": "0.51.2"}}, {"path": "c:/games/x", "version": "9"}]
+    assert discovery.version_for_path(doc, "C:/Games/X") == "0.51.2" and discovery.version_for_path(doc, "/x") is None
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/versions.json").write_text("{")
+    assert discovery.game_version(tmp_path, "c:/games/x") == (None, "unknown")
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b/versions.json").write_text(json.dumps(doc))
+    assert discovery.game_version(tmp_path, "c:/games/x") == ("0.51.2", "verified:local-metadata")
+
+
+def test_loader_folder(tmp_path):
+    mods = tmp_path / discovery.GAME_MODS
+    mods.mkdir(parents=True)
+    assert discovery.scan_loader(mods / "NML", tmp_path) is None
+    for name in (*discovery.LOADER_ASSEMBLIES, "Other.dll"):
+        (mods / name).write_bytes(name.encode())
+    records = [{"filename": n, "sha256": hashlib.sha256(n.encode()).hexdigest(), "size": len(n)} for n in discovery.LOADER_ASSEMBLIES]
+    assert discovery.scan_loader(None, tmp_path) == {"kind": "loader", "path": None, "commit": None, "version": None, "assemblies": records[:1]}
+    nml = mods / "NML"
+    nml.mkdir()
+    (nml / "commit").write_text("abcdef1\n")
+    (nml / "version").write_text(" 1.2 \n")
+    found = discovery.scan_loader(nml, tmp_path)
+    assert found == {"kind": "loader", "path": str(nml), "commit": "abcdef1", "version": "1.2", "assemblies": records}
+    public = discovery.public_manifest({"sources": {"l": found}})
+    assert public["loader"] == {"version": "1.2", "commit": "abcdef1"} and [a["filename"] for a in public["assemblies"]] == list(discovery.LOADER_ASSEMBLIES)
+
+
+def test_loaders_that_mods_name(tmp_path):
+    for name, text in (("a", '{"ModLoader": " Other "}'), ("b", "{}"), ("c", "{"), (".d", "{}")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "mod.json").write_text(text)
+    rows = discovery.scan_mods(tmp_path, str)
+    assert [(r["id"], r["detected_mod_loader"], r["detected_mod_loader_status"]) for r in rows] == [("ref:a", "Other", "verified:mod.json"), ("ref:b", "NeoModLoader", "inferred:mod.json"), ("ref:c", None, None)]
+
+
+def test_scanned_sources_show_their_changes(spark, tmp_path):
+    mods = tmp_path / discovery.GAME_MODS
+    for name in ("NML", "a/.git", "b"):
+        (mods / name).mkdir(parents=True)
+    for name in ("a/X.cs", "a/.hidden", "a/.git/y.cs", "a/a.csproj", "b/Y.cs", discovery.LOADER_ASSEMBLIES[0]):
+        (mods / name).write_text("one")
+
+    def registered():
+        rows = [*discovery.scan_mods(mods, str), {"id": "loader", **discovery.scan_loader(mods / "NML")}]
+        schema = "id string, kind string, sha256 string, build_id string, version string, commit string, assemblies array<struct<filename: string, sha256: string>>, file_count long, total_size long, latest_mtime string"
+        return rows, spark.createDataFrame([{c: r.get(c) for c in "id kind sha256 build_id version commit assemblies file_count total_size latest_mtime".split()} for r in rows], schema)
+
+    rows, old = registered()
+    by = {r["id"]: r for r in rows}
+    assert [by["ref:a"][c] for c in ("file_count", "total_size", "csharp_file_count", "project_files", "assembly_files")] == [3, 9, 1, 1, 0]
+    assert [m["csharp_file_count"] for m in discovery.public_manifest({"sources": by})["mods"]] == [0, 1, 1]
+    (mods / "a/Z.cs").write_text("more")
+    (mods / discovery.LOADER_ASSEMBLIES[0]).write_text("two")
+    found = registry.diff(old, registered()[1], "id", registry.identity(F.col("kind")))
+    assert {r.id: r.status for r in found.collect()} == {"loader": "CHANGED", "ref:NML": "UNCHANGED", "ref:a": "CHANGED", "ref:b": "UNCHANGED"}
