@@ -9,9 +9,9 @@ a document takes the language with the largest mean marginal.
 The model is fitted on train_per_language rows of each language, those with the least hash of id: a documented bound, the
 same at every size. Everything else covers all rows and whole texts.
 
-Defined results: a null text, or one without letters, has n_words 0, null language and share, and is rejected; rows with null
+Defined results: a null text, or one without letters, has n_words 0, null language and share, no spans, and is rejected; rows with null
 id are labelled like others; rows with a null label are not trained on; without any labelled row nothing can be
-labelled and every row with letters is accepted, with null language; other columns pass through keep_identified untouched.
+labelled and every row with letters is accepted, with null language and spans; other columns pass through keep_identified untouched.
 """
 
 from __future__ import annotations
@@ -192,14 +192,33 @@ def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarr
 _RESULT = [("language", pa.string()), ("share", pa.float64()), ("n_words", pa.int64()), ("n_switches", pa.int64()), ("accepted", pa.bool_())]
 
 
+_SPAN = pa.struct([("language", pa.string()), ("first", pa.int64()), ("n", pa.int64())])
+
+
 def label_rows(model: Crf | None, column: pa.Array, min_share: float) -> list[pa.Array]:
-    """Result columns for a column of texts."""
+    """Result columns for a column of texts, without spans."""
+    return _labelled(model, column, min_share)[0]
+
+
+def _spans(label: np.ndarray, first: np.ndarray, labels: list[str]) -> pa.Array:
+    """Runs of words with one label in each row that first cuts the words into, counted from 0 in their row."""
+    new = np.ones(len(label), bool)
+    new[1:] = label[1:] != label[:-1]
+    new[first[:-1][first[:-1] < len(label)]] = True
+    starts = np.flatnonzero(new)
+    row = np.searchsorted(first, starts, side="right") - 1
+    values = [pa.array(np.array(labels, object)[label[starts]], pa.string()), pa.array(starts - first[row]), pa.array(np.diff([*starts, len(label)]))]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, first), pa.int32()), pa.StructArray.from_arrays(values, fields=list(_SPAN)))
+
+
+def _labelled(model: Crf | None, column: pa.Array, min_share: float, spans: bool = False) -> tuple[list[pa.Array], pa.Array | None]:
+    """Result columns for a column of texts, and the spans if asked for."""
     ids, offsets, words, rows = _lines(column)
     first = offsets[rows]
     n_words = np.diff(first)
     if model is None:
         none = pa.nulls(len(n_words))
-        return [none.cast(pa.string()), none.cast(pa.float64()), pa.array(n_words), pa.array(np.zeros(len(n_words), np.int64)), pa.array(n_words > 0)]
+        return [none.cast(pa.string()), none.cast(pa.float64()), pa.array(n_words), pa.array(np.zeros(len(n_words), np.int64)), pa.array(n_words > 0)], none.cast(pa.list_(_SPAN))
     scores = model.emissions(words)[ids]
     gamma = model.marginals(scores, offsets)
     total = np.concatenate([np.zeros((1, gamma.shape[1])), np.cumsum(gamma, axis=0, dtype=np.float64)])
@@ -212,10 +231,11 @@ def label_rows(model: Crf | None, column: pa.Array, min_share: float) -> list[pa
     if len(ids):
         change[1:] = np.cumsum(inner & (np.concatenate([label[:1], label[:-1]]) != label))
     empty = n_words == 0
-    return [
+    columns = [
         pa.array(np.array(model.labels, object)[best], pa.string(), mask=empty), pa.array(share, pa.float64(), mask=empty), pa.array(n_words),
         pa.array(change[first[1:]] - change[first[:-1]]), pa.array(~empty & (share >= min_share)),
     ]
+    return columns, _spans(label, first, model.labels) if spans else None
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = TRAIN_PER_LANGUAGE) -> Crf | None:
@@ -229,21 +249,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     return fit(sample["text"].tolist(), sample["label"].tolist())
 
 
-_FIELDS = "language string, share double, n_words long, n_switches long, accepted boolean"
+_FIELDS = "language string, share double, n_words long, n_switches long, accepted boolean, spans array<struct<language:string,first:long,n:long>>"
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = TRAIN_PER_LANGUAGE, min_share: float = MIN_SHARE) -> DataFrame:
-    """(doc_id, language, share, n_words, n_switches, accepted) of every row.
+    """(doc_id, language, share, n_words, n_switches, accepted, spans) of every row.
 
     share is the mean marginal of the language over the words; n_switches counts neighbours in a line with different labels;
-    accepted: there are words and share reaches min_share.
+    accepted: there are words and share reaches min_share; spans: the runs of words with one label, (language, first word
+    counted from 0, number of words), that cover the words with letters in their order.
     """
     model = train(docs, id_col, text_col, label_col, per_language)
     source = common.tuned(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text.slices(batches, 600):
-            yield pa.record_batch([batch[0], *label_rows(held.value, batch[1], min_share)], names=["doc_id", *(n for n, _ in _RESULT)])
+            columns, spans = _labelled(held.value, batch[1], min_share, spans=True)
+            yield pa.record_batch([batch[0], *columns, spans], names=["doc_id", *(n for n, _ in _RESULT), "spans"])
 
     held = docs.sparkSession.sparkContext.broadcast(model)
     return source.mapInArrow(common.lean(run), f"doc_id long, {_FIELDS}")

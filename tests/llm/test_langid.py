@@ -53,6 +53,23 @@ def test_code_switches_are_labelled_word_by_word(spark):
     assert n_switches >= 1 and accepted and 0.3 < share < 0.8
 
 
+def test_spans_tell_where_each_language_stands(spark):
+    docs = cases.documents(spark, "0.01").filter("n_chars > 400")
+    by = {r.lang: r.text.split()[:12] for r in docs.dropDuplicates(["lang"]).collect()}
+    a, b, *_ = sorted(by)
+    mixed = cases.table(spark, [(1, " ".join([*by[a], *by[b]]), None, None, None), (2, " ".join(by[a][:6]) + "\n" + " ".join(by[a][6:]), None, None, None), (3, "!!", None, None, None)])
+    rows = langid.identify(docs.select("doc_id", "text", "lang").union(mixed.select(-mixed.doc_id, "text", "lang"))).filter("doc_id < 0").collect()
+    spans = {-r.doc_id: [(s.language, s.first, s.n) for s in r.spans] for r in rows}
+    assert spans[3] == []
+    for r in rows:
+        at = [s.first for s in r.spans]
+        assert at == [sum(s.n for s in r.spans[:k]) for k in range(len(at))] and sum(s.n for s in r.spans) == r.n_words
+    words = {k: [x for x, _, n in found for _ in range(n)] for k, found in spans.items()}
+    assert words[2].count(a) >= 0.8 * len(words[2])
+    half = len(words[1]) // 2
+    assert words[1][:half].count(a) >= 0.7 * half and words[1][half:].count(b) >= 0.7 * half
+
+
 def test_awkward_rows(spark):
     docs = cases.awkward(spark)
     rows = langid.identify(docs).collect()
