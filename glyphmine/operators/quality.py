@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import CodeIndex
 
 FAILED_PER_CENT = 1
+LEAST_FILES, LEAST_LOADER_FILES, SAMPLES, LOADER_NAMESPACE = 50, 20, 5, "NeoModLoader"
 
 
 def validate_index(idx: CodeIndex, expected: DataFrame | None = None, failed_per_cent: dict[str, int] | None = None, core_types: tuple[str, ...] = (), primary: str | None = None, literals: tuple[str, ...] = (), namespaces: dict[str, str] | None = None, strict: bool = True) -> DataFrame:
@@ -79,6 +80,35 @@ def sample_sources(files: DataFrame, n: int = 5, least: int = 50) -> DataFrame:
     return total.crossJoin(spaced.agg(F.count_if(bad).alias("n_bad"))).select(F.col("total").alias("n_files"), "n_bad", ((F.col("total") >= least) & (F.col("n_bad") == 0)).alias("ok"))
 
 
+def validate_extraction(files: DataFrame, loader: bool = False) -> DataFrame:
+    """One row (ok, csharp_files, total_files, total_bytes, project_files, namespace_hits, problems) about all files (relative_path, content) of an extraction.
+
+    There must be LEAST_FILES of C#, and SAMPLES of them, evenly spaced by path, must be non-empty, without NUL, and look like code;
+    a loader's must also hold a file with its namespace.
+    """
+    path, text = F.lower("relative_path"), F.col("content").cast("string")
+    totals = files.agg(
+        F.count_if(path.endswith(".cs")).alias("csharp_files"), F.count("*").alias("total_files"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("total_bytes"),
+        F.count_if(path.rlike(r"\.(csproj|sln)$")).alias("project_files"), F.count_if(path.endswith(".cs") & text.rlike(rf"(?m)^\s*namespace\s+{LOADER_NAMESPACE}")).alias("namespace_hits"),
+    )
+    places = files.filter(path.endswith(".cs")).select("relative_path", (F.row_number().over(Window.orderBy("relative_path")) - 1).alias("at"))
+    step = F.greatest(F.lit(1), F.floor(F.col("csharp_files") / SAMPLES))
+    chosen = places.crossJoin(totals.select("csharp_files")).filter((F.col("at") % step == 0) & (F.col("at") < step * SAMPLES)).select("relative_path", "at")
+    name = F.element_at(F.split("relative_path", "/"), -1)
+    problem = (
+        F.when(~text.rlike(r"\S"), F.concat(F.lit("empty sample "), name)).when(text.contains("\x00"), F.concat(F.lit("binary content in sample "), name))
+        .when(~(text.rlike(r"\b(class|struct|interface|enum)\s+") | text.rlike(r"(?m)^\s*\[assembly:") | text.contains("using ")), F.concat(F.lit("no C# syntax in sample "), name))
+    )
+    bad = files.join(F.broadcast(chosen), "relative_path").select("at", problem.alias("problem")).filter("problem is not null")
+    found = bad.agg(F.array_sort(F.collect_list(F.struct("at", "problem"))).getField("problem").alias("sampled"))
+    none = F.when(F.col("csharp_files") == 0, F.array(F.lit("no .cs files produced"))).otherwise(F.col("sampled"))
+    few = (F.size("content_problems") == 0) & (F.col("csharp_files") < (LEAST_FILES if not loader else max(LEAST_FILES, LEAST_LOADER_FILES)))
+    unlike = F.lit(loader) & (F.col("namespace_hits") == 0)
+    lists = [F.col("content_problems"), F.when(few, F.array(F.format_string("only %d .cs files", "csharp_files"))), F.when(unlike, F.array(F.lit(f"no {LOADER_NAMESPACE}-namespace types found in output")))]
+    report = totals.crossJoin(found).withColumn("content_problems", none).withColumn("problems", F.flatten(F.array_compact(F.array(*lists))))
+    return report.select((F.size("problems") == 0).alias("ok"), "csharp_files", "total_files", "total_bytes", "project_files", "namespace_hits", "problems")
+
+
 def core_type_probe(files: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """(name, found): whether some file of (content) declares a class of the name."""
     text = F.col("content").cast("string")

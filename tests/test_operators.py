@@ -72,3 +72,21 @@ def test_pattern_rules(spark):
 def test_symmetric_difference_takes_nulls_as_equal_or_apart_alike(spark):
     a, b = (spark.createDataFrame([(x,) for x in v], "k int") for v in ([1, 1, 2], [2, 3]))
     assert {tuple(r) for r in quality.symmetric_difference(a, b, ["k"]).collect()} == {(1, "left"), (3, "right")}
+
+
+def test_extractions_need_a_type_of_the_loader(spark):
+    def verdict(loader, **changed):
+        files = {f"a/F{k:02d}.cs": "using X;\nclass Y { }" for k in range(50)} | {"a/a.csproj": "<x/>", "b.txt": "1"} | {k.replace("__", "/") + ".cs": v for k, v in changed.items()}
+        df = spark.createDataFrame([(k, v.encode()) for k, v in files.items()], "relative_path string, content binary")
+        return quality.validate_extraction(df, loader).first()
+
+    found = verdict(False)
+    assert (found.ok, found.csharp_files, found.total_files, found.total_bytes, found.project_files, found.problems) == (True, 50, 52, 50 * 20 + 5, 1, [])
+    found = verdict(True)
+    assert not found.ok and found.namespace_hits == 0 and found.problems == ["no NeoModLoader-namespace types found in output"]
+    found = verdict(True, a__F07="using X;\n  namespace NeoModLoader.api { }")
+    assert found.ok and found.namespace_hits == 1 and found.problems == []
+    found = verdict(False, a__F00=" \n", a__F10="class \x00", a__F20="text", a__F21="")
+    assert not found.ok and found.problems == ["empty sample F00.cs", "binary content in sample F10.cs", "no C# syntax in sample F20.cs"]
+    none = quality.validate_extraction(spark.createDataFrame([], "relative_path string, content binary"), True).first()
+    assert not none.ok and none.problems == ["no .cs files produced", "no NeoModLoader-namespace types found in output"] and none.total_bytes == 0
