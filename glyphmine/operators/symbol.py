@@ -49,7 +49,7 @@ def lookup(idx: CodeIndex, spec: str, source: str | None = None, parity: bool =
     signature = bracket + tail
     parts = spec.split(".")
     for cut in ([] if parity or signature else [len(parts)]) + list(range(len(parts) - 1, 0, -1)) + ([len(parts)] if parity or signature else []):
-        rows = named_types(idx, ".".join(parts[:cut]), source=source).take(100)
+        rows = named_types(idx, ".".join(parts[:cut]), source=source).collect()
         member = ".".join(parts[cut:])
         match rows:
             case []:
@@ -65,9 +65,8 @@ def lookup(idx: CodeIndex, spec: str, source: str | None = None, parity: bool =
 
 def _member(idx: CodeIndex, owner: Row, member: str, signature: str) -> dict:
     mine = (F.col("type_id") == owner.id) & (F.col("name") == member)
-    methods = idx.methods.filter(mine).orderBy("signature", "id").take(100)
-    same = [m for m in methods if m.signature == member + signature][:1] if signature else []
-    found = same or methods
+    same = idx.methods.filter((F.col("type_id") == owner.id) & (F.col("signature") == member + signature)).orderBy("id").take(1) if signature else []
+    found = same or idx.methods.filter(mine).orderBy("signature", "id").collect()
     if len(found) > 1:
         return _choices([owner.full_name + "." + m.signature for m in found])
     for kind, rows in (("method", found), ("field", None), ("property", None)):
@@ -125,7 +124,7 @@ def symbol_cards(idx: CodeIndex, types: DataFrame) -> DataFrame:
 def symbol(idx: CodeIndex, name: str, source: str | None = None, generated: bool = False) -> dict:
     """found, and the card of a type or the candidates where the name is ambiguous."""
     rows = named_types(idx, name, generated, source)
-    heads = rows.take(100)
+    heads = rows.collect()
     out: dict = {"found": bool(heads)}
     if heads:
         out |= {"ambiguous": True, "candidates": _labels(heads)} if heads[1:] else {"ambiguous": False, "card": symbol_cards(idx, rows)}

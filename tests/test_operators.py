@@ -8,7 +8,9 @@ from collections import deque
 from pyspark.sql import functions as F
 
 from glyphmine.functions import text as T
-from glyphmine.operators import catalog, graph, quality
+from glyphmine.model import CodeIndex
+from glyphmine.operators import catalog, graph, quality, symbol
+from glyphmine.schemas import TABLES
 
 
 def apply(spark, function, values):
@@ -74,6 +76,18 @@ def test_symmetric_difference_takes_nulls_as_equal_or_apart_alike(spark):
     assert {tuple(r) for r in quality.symmetric_difference(a, b, ["k"]).collect()} == {(1, "left"), (3, "right")}
 
 
+def test_lookups_reach_beyond_a_hundred_candidates(spark):
+    def table(name, rows):
+        return spark.createDataFrame(rows, "id long, source_id long, type_id long, name string, full_name string, signature string, is_compiler_generated int").selectExpr(*(f"CAST({c} AS {t}) AS {c}" if c in ("id", "source_id", "type_id", "name", "full_name", "signature", "is_compiler_generated") else f"CAST(NULL AS {t}) AS {c}" for c, t in (x.split()[:2] for x in TABLES[name].split(", "))))
+
+    types = [(k, 1, None, "Many", f"N{k}.Many", None, 0) for k in range(130)] + [(500, 1, None, "One", "N.One", None, 0)]
+    methods = [(k, 1, 500, "Do", None, f"Do(T{k:03d})", None) for k in range(130)]
+    sources = spark.createDataFrame([(1, "game")], "id long, source_id string")
+    idx = CodeIndex(spark, {"types": table("types", types), "methods": table("methods", methods), "sources": sources})
+    assert symbol.lookup(idx, "One.Do(T120)")["row"].signature == "Do(T120)"
+    assert len(symbol.lookup(idx, "N.One.Do")["candidates"]) == len(symbol.lookup(idx, "Many")["candidates"]) == len(symbol.symbol(idx, "Many")["candidates"]) == 130
+
+
 def test_extractions_need_a_type_of_the_loader(spark):
     def verdict(loader, **changed):
         files = {f"a/F{k:02d}.cs": "using X;\nclass Y { }" for k in range(50)} | {"a/a.csproj": "<x/>", "b.txt": "1"} | {k.replace("__", "/") + ".cs": v for k, v in changed.items()}
