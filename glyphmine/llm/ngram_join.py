@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common, text
 
 N, THRESHOLD, BANDS, ROWS, GROUPS = 3, 0.6, 24, 4, 256
-_LEAF = 16
+_LEAF, _FULL = 16, 65_535
 _CLASS = "struct<x:long,y:long>"
 _MULT = text.mix(np.arange(1, 1 + 4096, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -68,6 +68,17 @@ def group_counts(grams: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((grams % np.uint64(groups)).astype(np.int64), minlength=groups)
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """16 bits a group; 65535 stands for all that is at least as large."""
+    return np.minimum(counts, _FULL).astype("<u2").tobytes()
+
+
+def unpack_counts(packed: list[bytes], groups: int, sizes: np.ndarray) -> np.ndarray:
+    """Points whose full groups take the set's size, so bounds on the overlap stay upper bounds."""
+    points = np.frombuffer(b"".join(packed), "<u2").reshape(len(packed), groups).astype(np.int32)
+    return np.where(points == _FULL, sizes[:, None].astype(np.int32), points) if (points == _FULL).any() else points
+
+
 class CountRTree:
     """Bulk-loaded R-tree over count vectors: slabs by the coordinate that spreads most, nodes of up to _LEAF entries."""
 
@@ -116,7 +127,7 @@ def _sketch(n: int, bands: int, rows: int, groups: int):
             out = []
             for id_, grams in zip(batch[0].to_pylist(), gram_sets(batch[1], n), strict=True):
                 if len(grams):
-                    out.append((id_, *_identity(grams), len(grams), minimum_bands(grams, bands, rows), group_counts(grams, groups).astype("<u2").tobytes()))
+                    out.append((id_, *_identity(grams), len(grams), minimum_bands(grams, bands, rows), pack_counts(group_counts(grams, groups))))
             if out:
                 yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), _SKETCH, strict=True)], schema=_SKETCH)
 
@@ -154,7 +165,7 @@ def _meet(bands: int, groups: int, t: float):
             band, x, y = cell["band"][0].as_py(), cell["x"].to_numpy(), cell["y"].to_numpy()
             sizes = cell["n"].to_numpy().astype(np.int64)
             before = np.vstack(cell["bands"].combine_chunks().flatten().to_numpy().reshape(m, bands))[:, :band]
-            points = np.frombuffer(b"".join(cell["counts"].to_pylist()), "<u2").reshape(m, groups).astype(np.int32)
+            points = unpack_counts(cell["counts"].to_pylist(), groups, sizes)
             tree = CountRTree(points, sizes)
             for a in range(m):
                 b = tree.partners(a, t)

@@ -70,6 +70,16 @@ def test_bound_never_prunes_a_partner():
                 assert b in found
 
 
+def test_full_groups_never_prune_a_partner():
+    a = np.arange(70_000, dtype=np.uint64) * np.uint64(8)
+    sets = [a, a[:66_000]]
+    sizes = np.array([len(s) for s in sets])
+    points = ngram_join.unpack_counts([ngram_join.pack_counts(ngram_join.group_counts(s, 8)) for s in sets], 8, sizes)
+    assert ngram_join.CountRTree(points, sizes).partners(0, 0.9).tolist() == [0, 1]
+    small = np.array([[3, 65_534, 0, 0]])
+    assert (ngram_join.unpack_counts([ngram_join.pack_counts(small[0])], 4, np.array([65_537])) == small).all()
+
+
 def test_awkward_rows(spark):
     docs = cases.awkward(spark)
     rows = ngram_join.similar_documents(docs).collect()
