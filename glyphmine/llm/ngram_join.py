@@ -294,10 +294,12 @@ def components(edges: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the documents whose group of similar ones holds a smaller id; groups are connected components.
 
-    Rows that share an id count as one document and stay or go together; rows with null id or no words stay.
+    Rows that share an id count as one document and stay or go together, so their classes are linked; rows with null id or no words stay.
     """
     classes, pairs = similar_classes(docs, id_col, text_col, **how)
     edges = pairs.select(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")).alias("a"), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")).alias("b"))
+    held = classes.select(F.struct("x", "y").alias("a"), F.explode("ids").alias("id")).groupBy("id").agg(F.min("a").alias("a"), F.collect_set("a").alias("all")).filter("size(all) > 1")
+    edges = edges.unionByName(held.select("a", F.explode("all").alias("b")))
     roots = components(edges).select(F.col("node.x").alias("x"), F.col("node.y").alias("y"), "root")
     grouped = classes.join(roots, ["x", "y"], "left").filter("root is not null or size(ids) > 1").select(F.coalesce("root", F.struct("x", "y")).alias("root"), F.explode("ids").alias("id"))
     least = grouped.groupBy("root").agg(F.min("id").alias("kept"))

@@ -80,6 +80,15 @@ def test_full_groups_never_prune_a_partner():
     assert (ngram_join.unpack_counts([ngram_join.pack_counts(small[0])], 4, np.array([65_537])) == small).all()
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    draw = random.Random(4)
+    a, b, c = (" ".join(f"w{draw.randrange(9000)}" for _ in range(60)) for _ in range(3))
+    rows = [(3, f"{a} x", None, None, None), (5, a, None, None, None), (5, b, None, None, None), (4, f"{b} y", None, None, None), (7, c, None, None, None), (7, f"{c} {a} {b}", None, None, None)]
+    assert {r.doc_id for r in ngram_join.keep_one(cases.table(spark, rows)).collect()} == {3, 7}
+    rows = [(3, f"{a} x", None, None, None), (5, a, None, None, None), (5, b, None, None, None), (9, f"{b} y", None, None, None)]
+    assert {r.doc_id for r in ngram_join.keep_one(cases.table(spark, rows)).collect()} == {3}
+
+
 def test_awkward_rows(spark):
     docs = cases.awkward(spark)
     rows = ngram_join.similar_documents(docs).collect()
