@@ -6,6 +6,11 @@ words of the training sample) holds the word. Transitions are learned, from whol
 several languages. Forward-backward gives each word's label marginals, so code-switched text is labelled word by word;
 a document takes the language with the largest mean marginal.
 
+Marginals only weigh the known languages against each other, so text in no known language may still favour one. A document must
+therefore also look like its labels: a word's likeness is the mean log frequency of its features in the training words of its
+label, above that of a random feature, and the mean over the words must reach a share of the median that training documents
+have when their own words are held out, or their least one where that is lower. This limit doesn't depend on the number of labels.
+
 The model is fitted on train_per_language rows of each language, those with the least hash of id: a documented bound, the
 same at every size. Everything else covers all rows and whole texts.
 
@@ -17,7 +22,7 @@ labelled and every row with letters is accepted, with null language and spans; o
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,7 @@ from pyspark.sql import functions as F
 from . import common, text
 
 TRAIN_PER_LANGUAGE, LEXICON, BUCKETS, MIN_SHARE = 120, 200, 1 << 15, 0.35
+LIKENESS, FOLDS = 0.175, 4
 
 
 def _features(words: pa.Array, lexicons: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,19 +89,32 @@ class Crf:
     weight: np.ndarray
     step: np.ndarray
     start: np.ndarray
+    typical: np.ndarray
+    least: float = -np.inf
 
-    def emissions(self, words: pa.Array) -> np.ndarray:
-        """Log potentials of each dictionary word."""
+    def evidence(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Log potentials of each dictionary word, and its likeness to each label."""
         if not len(words):
-            return np.zeros((0, len(self.labels)), np.float32)
+            none = np.zeros((0, len(self.labels)), np.float32)
+            return none, none
         bucket, first = _features(words, self.lexicons, len(self.weight))
-        return np.add.reduceat(self.weight[bucket], first, axis=0)
+        return np.add.reduceat(self.weight[bucket], first, axis=0), _likeness(self.typical, bucket, first)
 
     def marginals(self, scores: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Label marginals of each word of the sequences that offsets cut scores into, by forward-backward."""
         return forward_backward(scores, offsets, self.step, self.start)[0]
 
 
+def _likeness(typical: np.ndarray, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(typical[bucket], first, axis=0) / np.diff([*first, len(bucket)])[:, None].astype(typical.dtype)
+
+
+def _typical(bucket: np.ndarray, of: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndarray:
+    """Log frequency of each feature among the words (n_words, n_labels) of each label, above that of a random feature."""
+    n = np.stack([np.bincount(bucket, counts[of, k], buckets) for k in range(counts.shape[1])], axis=1) + 0.5
+    return np.log(n / n.sum(axis=0) * buckets)
+
+
 def forward_backward(scores: np.ndarray, offsets: np.ndarray, step: np.ndarray, start: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(marginals, expected transitions, expected starts, log partition); all sequences advance together, each step rescaled."""
     lengths = np.diff(offsets)
@@ -137,11 +156,14 @@ def forward_backward(scores: np.ndarray, offsets: np.ndarray, step: np.ndarray,
 def fit(texts: list[str], languages: list[str], lexicon: int = LEXICON, buckets: int = BUCKETS, epochs: int = 12, rate: float = 0.3, decay: float = 1e-6) -> Crf:
     """Maximum likelihood by AdaGrad on whole batches; every third line gains a stretch of a line of another text, so switches are seen."""
     labels = sorted(set(languages))
-    ids, offsets, words = text.word_ids(pa.array([x for x in texts], pa.string()), letters_only=True)
+    column = pa.array([x for x in texts], pa.string())
+    ids, offsets, words = text.word_ids(column, letters_only=True)
+    fold = np.repeat(np.arange(len(texts)) % FOLDS, np.diff(offsets))
     gold = np.repeat([labels.index(x) for x in languages], np.diff(offsets))
     whole = text.word_hashes(words)
     lexicons = np.zeros((len(labels), lexicon), np.uint64)
     counts = np.stack([np.bincount(ids[gold == k], minlength=len(words)) for k in range(len(labels))]).astype(float)
+    held = [counts.T - np.stack([np.bincount(ids[(gold == k) & (fold == f)], minlength=len(words)) for k in range(len(labels))], axis=1) for f in range(FOLDS)]
     share = counts / np.maximum(counts.sum(axis=0), 1)
     for k in range(len(labels)):
         rank = np.argsort(-counts[k] * (share[k] > 0.6), kind="stable")[:lexicon]
@@ -179,7 +201,26 @@ def fit(texts: list[str], languages: list[str], lexicon: int = LEXICON, buckets:
         for w, g, s in zip((weight, step, start), up, seen, strict=True):
             s += g * g
             w += rate * g / np.sqrt(s) * (10 if w is weight else 3)
-    return Crf(labels, lexicons, weight.astype(np.float32), step.astype(np.float32), start.astype(np.float32))
+    model = Crf(labels, lexicons, weight.astype(np.float32), step.astype(np.float32), start.astype(np.float32), _typical(bucket, of, counts.T, buckets).astype(np.float32))
+    least = []
+    for f in range(FOLDS):
+        without = replace(model, typical=_typical(bucket, of, held[f], buckets).astype(np.float32))
+        ids, offsets, words, rows = _lines(column.take(pa.array(np.arange(f, len(texts), FOLDS))))
+        like = _marginals(without, ids, offsets, words, offsets[rows])[-1]
+        least.append(like[~np.isnan(like)])
+    like = np.concatenate(least)
+    model.least = float(min(LIKENESS * np.median(like), like.min())) if len(like) else -np.inf
+    return model
+
+
+def _marginals(model: Crf, ids: np.ndarray, offsets: np.ndarray, words: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(marginals and label of each word, mean likeness of each row's words to their labels, NaN for rows without words)."""
+    scores, alike = model.evidence(words)
+    gamma = model.marginals(scores[ids], offsets)
+    label = gamma.argmax(axis=1)
+    total = np.concatenate([[0], np.cumsum(alike[ids, label], dtype=np.float64)])
+    with np.errstate(invalid="ignore"):
+        return gamma, label, (total[first[1:]] - total[first[:-1]]) / np.diff(first)
 
 
 def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
@@ -219,12 +260,10 @@ def _labelled(model: Crf | None, column: pa.Array, min_share: float, spans: bool
     if model is None:
         none = pa.nulls(len(n_words))
         return [none.cast(pa.string()), none.cast(pa.float64()), pa.array(n_words), pa.array(np.zeros(len(n_words), np.int64)), pa.array(n_words > 0)], none.cast(pa.list_(_SPAN))
-    scores = model.emissions(words)[ids]
-    gamma = model.marginals(scores, offsets)
+    gamma, label, like = _marginals(model, ids, offsets, words, first)
     total = np.concatenate([np.zeros((1, gamma.shape[1])), np.cumsum(gamma, axis=0, dtype=np.float64)])
     mean = (total[first[1:]] - total[first[:-1]]) / np.maximum(n_words, 1)[:, None]
     best, share = mean.argmax(axis=1), mean.max(axis=1)
-    label = gamma.argmax(axis=1)
     inner = np.ones(len(ids), bool)
     inner[offsets[:-1][offsets[:-1] < len(ids)]] = False
     change = np.zeros(len(ids) + 1, np.int64)
@@ -233,7 +272,7 @@ def _labelled(model: Crf | None, column: pa.Array, min_share: float, spans: bool
     empty = n_words == 0
     columns = [
         pa.array(np.array(model.labels, object)[best], pa.string(), mask=empty), pa.array(share, pa.float64(), mask=empty), pa.array(n_words),
-        pa.array(change[first[1:]] - change[first[:-1]]), pa.array(~empty & (share >= min_share)),
+        pa.array(change[first[1:]] - change[first[:-1]]), pa.array(~empty & (share >= min_share) & (like >= model.least)),
     ]
     return columns, _spans(label, first, model.labels) if spans else None
 
@@ -256,7 +295,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(doc_id, language, share, n_words, n_switches, accepted, spans) of every row.
 
     share is the mean marginal of the language over the words; n_switches counts neighbours in a line with different labels;
-    accepted: there are words and share reaches min_share; spans: the runs of words with one label, (language, first word
+    accepted: there are words, share reaches min_share and the words look like their labels (least likeness of the model); spans: the runs of words with one label, (language, first word
     counted from 0, number of words), that cover the words with letters in their order.
     """
     model = train(docs, id_col, text_col, label_col, per_language)

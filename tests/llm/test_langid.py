@@ -83,6 +83,21 @@ def test_awkward_rows(spark):
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == [-1, 4, 5, 5, 6, 7, 9]
 
 
+def test_unknown_languages_are_rejected_however_few_are_known(spark):
+    unknown = [
+        "Это обычное русское предложение о погоде и о том что люди делают каждый день в городе",
+        "Bu şehirde insanların her gün yaptıkları şeyler ve hava hakkında sıradan bir Türkçe cümledir",
+        "Ez egy teljesen hétköznapi magyar mondat az időjárásról és az emberek mindennapjairól",
+        "aGVsbG8gd29ybGQg dGhpcyBpcyBiYXNl NjQgZW5jb2RlZCB0 ZXh0IHdpdGggbm8g bGFuZ3VhZ2UgYXQg YWxs",
+    ]
+    docs = cases.documents(spark, "0.01").select("doc_id", "text", "lang")
+    foreign = spark.createDataFrame([(-1 - k, x, None) for k, x in enumerate(unknown)], "doc_id long, text string, lang string")
+    for known in (["en"], ["de", "en"], ["de", "en", "es", "fr"]):
+        mine = docs.filter(F.col("lang").isin(known))
+        refused = langid.identify(mine.union(foreign)).filter("not accepted and n_words > 0").collect()
+        assert {r.doc_id for r in refused} == {-1, -2, -3, -4}
+
+
 def test_without_labels_everything_with_letters_is_accepted(spark):
     docs = cases.awkward(spark).withColumn("lang", F.lit(None).cast("string"))
     rows = langid.identify(docs).collect()
