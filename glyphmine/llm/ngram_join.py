@@ -1,7 +1,7 @@
 """N-gram Jaccard join with count-vector R-trees.
 
 Every text becomes its set of hashed word n-grams. Texts with equal sets collapse to one class. Classes meet in
-cells, one for each band of minimum hashes, which only decide where vectors meet. The n-grams of a class are
+cells, one for each band of minimum hashes: this banding is the search for candidates. The n-grams of a class are
 hashed into groups, and its group counts are a point; each cell indexes its points in an R-tree whose
 nodes store coordinate maxima and size ranges. The sum of coordinate minima of a point and a node bounds the overlap from above, so
 subtrees and pairs that can't reach the threshold are pruned. Surviving pairs are verified on their full n-gram sets.
