@@ -9,7 +9,8 @@ a document takes the language with the largest mean marginal.
 Marginals only weigh the known languages against each other, so text in no known language may still favour one. A document must
 therefore also look like its labels: a word's likeness is the mean log frequency of its features in the training words of its
 label, above that of a random feature, and the mean over the words must reach a share of the median that training documents
-have when their own words are held out, or their least one where that is lower. This limit doesn't depend on the number of labels.
+have when their own words are held out, or their least one where that is lower. This limit doesn't depend on the number
+of labels; it is lower by 1 / sqrt(words), as one odd token weighs much in a short text.
 
 The model is fitted on train_per_language rows of each language, those with the least hash of id: a documented bound, the
 same at every size. Everything else covers all rows and whole texts.
@@ -272,7 +273,7 @@ def _labelled(model: Crf | None, column: pa.Array, min_share: float, spans: bool
     empty = n_words == 0
     columns = [
         pa.array(np.array(model.labels, object)[best], pa.string(), mask=empty), pa.array(share, pa.float64(), mask=empty), pa.array(n_words),
-        pa.array(change[first[1:]] - change[first[:-1]]), pa.array(~empty & (share >= min_share) & (like >= model.least)),
+        pa.array(change[first[1:]] - change[first[:-1]]), pa.array(~empty & (share >= min_share) & (like + 1 / np.sqrt(np.maximum(n_words, 1)) >= model.least)),
     ]
     return columns, _spans(label, first, model.labels) if spans else None
 
