@@ -7,12 +7,13 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from ..stage import materialize, shared_path, shared_root
 
-__all__ = ["join_checked", "lean", "materialize", "shared_path", "shared_root", "small_enough", "tuned"]
+__all__ = ["join_checked", "lean", "materialize", "shared_path", "shared_root", "small_enough", "tuned", "whole"]
 
 #: Largest table, in estimated bytes, that is broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 64 << 20
@@ -57,3 +58,14 @@ def small_enough(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
 def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join with a written table: by broadcast up to limit bytes, by shuffle beyond."""
     return big.join(F.broadcast(small) if small_enough(small, row_bytes, limit) else small, on, how)
+
+
+def whole(df: DataFrame, name: str) -> Column:
+    """An id column as a long. A value that isn't a whole number of 64 bits raises an error, whatever spark.sql.ansi.enabled says, as a null would lose its row."""
+    kind, column = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, IntegralType):
+        return column.cast("long")
+    number = column.try_cast("long")
+    same = number.cast("string") == column if isinstance(kind, StringType) else number == column
+    wrong = F.raise_error(F.concat(F.lit(f"{name} must hold whole numbers of 64 bits, not "), column.cast("string")))
+    return F.when(column.isNull(), F.lit(None).cast("long")).when(F.coalesce(same, F.lit(False)), number).otherwise(wrong.cast("long"))

@@ -1,18 +1,24 @@
 """N-gram Jaccard join with count-vector R-trees.
 
-Every text becomes its set of hashed word n-grams. Texts with equal sets collapse to one class. Classes meet in
-cells, one for each band of minimum hashes: this banding is the search for candidates. The n-grams of a class are
-hashed into groups, and its group counts are a point; each cell indexes its points in an R-tree whose
-nodes store coordinate maxima and size ranges. The sum of coordinate minima of a point and a node bounds the overlap from above, so
-subtrees and pairs that can't reach the threshold are pruned. Surviving pairs are verified on their full n-gram sets.
-A pair is taken in the first cell where it meets, so nothing is verified twice and no distinct is needed.
+Every text becomes its set of hashed word n-grams; texts with equal sets are one class, known by a 64-bit sum of the set and its size.
+The n-grams of a class are hashed into groups, and its group counts are a point. One tree over all points can't be searched in less
+than all pairs: points of unrelated texts lie equally far apart, so the maxima of a node of 16 of them bound the overlap with anything by nearly its
+size. So trees are built in cells, and a class goes to the cells of its n - ceil(t n) + 1 rarest n-grams: two sets that reach the threshold t share one of
+these, whichever order is used (prefix filter), so no link is lost. The order is by counts of all n-grams of all rows in a table of fixed size.
 
-Approximate only in where classes meet: with 24 bands of 4 a pair at the threshold of 0.6 is missed with
-probability 0.036, one at 0.7 with 0.001. There is no cap on partners, cells or candidates.
+In a cell, pairs whose sizes or places in the order rule out the threshold are dropped, and so are those that share one of the two n-grams
+before: they have met already. Each remaining pair is taken in one cell. There an R-tree over the points, whose nodes store coordinate maxima and
+size ranges, prunes by the sum of coordinate minima, and the pairs that survive are verified on their full n-gram sets. Cells
+are cut into blocks of bounded bytes, and a part of the postings that outgrows a task is split into pairs of blocks, so none is held whole. There is
+no cap on partners, cells or candidates.
+
+Exact but for chance collisions: 64-bit n-gram hashes, 64 bits and the size for a class, and for each met pair four comparisons of 32-bit tags (one
+pair in 10^9 might be dropped).
 
 Defined results: a null text, or one without words, has no n-grams and no partner; a text of fewer than n words has one
 n-gram, all of it; rows with null id are left out; an id that occurs in several rows counts once in a
-class and never pairs with itself; columns other than id and text are ignored whatever their names.
+class and never pairs with itself; where its rows hold different texts, its links are summed over them; columns other than id and text are ignored whatever their names.
+Ids must be whole numbers; other text raises an error.
 """
 
 from __future__ import annotations
@@ -21,15 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, text
 
-N, THRESHOLD, BANDS, ROWS, GROUPS = 3, 0.6, 24, 4, 256
-_LEAF, _FULL = 16, 65_535
-_CLASS = "struct<x:long,y:long>"
-_MULT = text.mix(np.arange(1, 1 + 4096, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+N, THRESHOLD, GROUPS = 3, 0.6, 256
+#: Counters of the table that orders n-grams, and in how many chunks tasks hand on theirs.
+TABLE, _CHUNKS = 1 << 20, 64
+#: Postings of a part on average, and from how many on it is split; grams (and 256 for each set) of a block of a cell.
+PART, PART_LIMIT, BLOCK = 1 << 19, 1 << 21, 1 << 19
+_LEAF, _FULL, _WAYS = 16, 65_535, 4
+_SEEN, _FLUSH, _MEETS = 1 << 20, 1 << 20, 1 << 20
 
 
 def gram_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -44,24 +54,10 @@ def gram_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
             yield text.gram_hashes(hashes[a:b], b - a) if b > a else hashes[:0]
 
 
-def _identity(grams: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a set."""
+def _identity(grams: np.ndarray) -> int:
+    """64 bits that, with the size, stand for a set."""
     with np.errstate(over="ignore"):
-        x, y = text.mix(grams).sum(dtype=np.uint64), text.mix(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-    return int(x.astype(np.int64)), int((y ^ np.uint64(len(grams))).astype(np.int64))
-
-
-def minimum_bands(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit signature for each band."""
-    mult = _MULT[: bands * rows]
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(grams), 1024):
-            np.minimum(least, (mult[:, None] * grams[None, at : at + 1024]).min(axis=1), out=least)
-        total = np.zeros(bands, np.uint64)
-        for k in range(rows):
-            total = total * np.uint64(0x9E3779B97F4A7C15) + text.mix(least.reshape(bands, rows)[:, k])
-        return text.mix(total + np.arange(bands, dtype=np.uint64)).astype(np.int64)
+        return int(text.mix(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
 
 
 def group_counts(grams: np.ndarray, groups: int) -> np.ndarray:
@@ -79,6 +75,11 @@ def unpack_counts(packed: list[bytes], groups: int, sizes: np.ndarray) -> np.nda
     return np.where(points == _FULL, sizes[:, None].astype(np.int32), points) if (points == _FULL).any() else points
 
 
+def may_reach(q: np.ndarray, size: np.ndarray | int, points: np.ndarray, sizes: np.ndarray, t: float) -> np.ndarray:
+    """Whether the summed coordinate minima of two points of given sizes allow Jaccard similarity t."""
+    return np.minimum(q, points).sum(axis=-1) * (1 + t) >= t * (size + sizes) - 1e-6
+
+
 class CountRTree:
     """Bulk-loaded R-tree over count vectors: slabs by the coordinate that spreads most, nodes of up to _LEAF entries."""
 
@@ -103,7 +104,7 @@ class CountRTree:
     def _may(q: np.ndarray, size: int, top: np.ndarray, low: np.ndarray, high: np.ndarray, t: float) -> np.ndarray:
         """Which entries may hold a partner of q: sizes within reach, and enough overlap by summed coordinate minima."""
         found = np.flatnonzero((high >= t * size - 1e-9) & (low <= size / t + 1e-9))
-        return found[np.minimum(q, top[found]).sum(axis=1) * (1 + t) >= t * (size + np.maximum(low[found], t * size)) - 1e-6]
+        return found[may_reach(q, size, top[found], np.maximum(low[found], t * size), t)]
 
     def partners(self, at: int, t: float) -> np.ndarray:
         """Points that may have Jaccard similarity t with point at, itself included."""
@@ -118,158 +119,441 @@ class CountRTree:
         return real[self._may(q, size, self.points[real], self.sizes[real], self.sizes[real], t)]
 
 
-_SKETCH = pa.schema([("id", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64())), ("counts", pa.binary())])
+_SURVEY = pa.schema([("id", pa.int64()), ("x", pa.int64()), ("n", pa.int32()), ("counts", pa.binary()), ("chunk", pa.int32()), ("tally", pa.binary())])
+
 
+def _survey(n: int, groups: int, table: int):
+    """Class and point of each row; after a task's rows, its tally of n-grams in the order's table, in chunks."""
 
-def _sketch(n: int, bands: int, rows: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = np.zeros(table, np.int64)
         for batch in text.slices(batches):
-            out = []
+            out, held = [], []
             for id_, grams in zip(batch[0].to_pylist(), gram_sets(batch[1], n), strict=True):
                 if len(grams):
-                    out.append((id_, *_identity(grams), len(grams), minimum_bands(grams, bands, rows), pack_counts(group_counts(grams, groups))))
+                    out.append((id_, _identity(grams), len(grams), pack_counts(group_counts(grams, groups)), None, None))
+                    held.append(grams)
             if out:
-                yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), _SKETCH, strict=True)], schema=_SKETCH)
+                tally += np.bincount((np.concatenate(held) % np.uint64(table)).astype(np.int64), minlength=table)
+                yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), _SURVEY, strict=True)], schema=_SURVEY)
+        if tally.any():
+            parts = np.array_split(tally, min(_CHUNKS, table))
+            out = [(None, None, None, None, k, p.astype("<i8").tobytes()) for k, p in enumerate(parts)]
+            yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), _SURVEY, strict=True)], schema=_SURVEY)
 
     return run
 
 
-def _groups_of(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
-    """Runs of rows with one value in the key column; rows come sorted by it."""
-    held: list[pa.RecordBatch] = []
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of tallies (chunk, tally), which come sorted by chunk."""
+    now, total = None, None
+    schema = pa.schema([("chunk", pa.int32()), ("tally", pa.binary())])
     for batch in batches:
-        values = batch[key].to_numpy()
-        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a == b:
-                continue
-            if held and held[0][key][0].as_py() != values[a]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
+        for chunk, tally in zip(batch[0].to_pylist(), batch[1], strict=True):
+            if chunk != now:
+                if now is not None:
+                    yield pa.record_batch([[now], [total.tobytes()]], schema=schema)
+                now, total = chunk, np.zeros(len(tally.as_py()) // 8, np.int64)
+            total += np.frombuffer(tally.as_py(), "<i8")
+    if now is not None:
+        yield pa.record_batch([[now], [total.tobytes()]], schema=schema)
+
+
+def gram_ranks(survey: DataFrame, table: int) -> np.ndarray:
+    """A byte for each counter of the order's table: eight steps for each doubling of its count over all rows."""
+    rows = survey.filter("chunk is not null").select("chunk", "tally").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(common.lean(_totals), "chunk int, tally binary").collect()
+    total = np.concatenate([np.frombuffer(bytes(r.tally), "<i8") for r in sorted(rows)]) if rows else np.zeros(table, np.int64)
+    return np.minimum(255, 8 * np.log2(total + 1)).astype(np.uint8)
+
+
+_POSTINGS = pa.schema([("part", pa.int64()), ("side", pa.int32()), ("blob", pa.binary())])
+#: Fields of a posting: tag of the n-gram, tags of the two before it, size of the set, place in the order, class.
+_FIELDS = np.dtype([("tag", "<u4"), ("one", "<u4"), ("two", "<u4"), ("n", "<i4"), ("at", "<i4"), ("x", "<i8")])
+
+
+def _pack(postings: np.ndarray) -> bytes:
+    """Field by field, which compresses better than row by row."""
+    return b"".join(np.ascontiguousarray(postings[f]).tobytes() for f in _FIELDS.names)
+
+
+def _unpack(blobs: list[bytes]) -> np.ndarray:
+    found = []
+    for blob in blobs:
+        out, at = np.empty(len(blob) // _FIELDS.itemsize, _FIELDS), 0
+        for f in _FIELDS.names:
+            end = at + len(out) * _FIELDS[f].itemsize
+            out[f] = np.frombuffer(blob[at:end], _FIELDS[f])
+            at = end
+        found.append(out)
+    return np.concatenate(found) if found else np.empty(0, _FIELDS)
+
+
+def prefix(grams: np.ndarray, x: int, ranks: np.ndarray, t: float) -> np.ndarray:
+    """Postings, with the full n-gram in a field of its own, for the rarest n-grams of a set."""
+    size = len(grams)
+    order = grams[np.argsort(ranks[(grams % np.uint64(len(ranks))).astype(np.int64)], kind="stable")[: size - int(np.ceil(t * size - 1e-9)) + 1]]
+    out = np.empty(len(order), [("gram", "<u8"), *((f, _FIELDS[f]) for f in _FIELDS.names)])
+    tags = (order >> np.uint64(32)).astype(np.uint32)
+    none = np.array([x & 0xFFFFFFFF, (x >> 32) & 0xFFFFFFFF], np.uint32)
+    out["gram"], out["tag"], out["n"], out["at"], out["x"] = order, tags, size, np.arange(len(order)), x
+    out["one"], out["two"] = np.concatenate([none[:1], tags])[: len(order)], np.concatenate([none, tags])[: len(order)]
+    return out
+
+
+def _postings(n: int, ranks: Broadcast, parts: int, t: float):
+    """Postings of every class of a task, by part; a class of many rows is given once."""
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        found = np.concatenate(held)
+        part = ((found["gram"] & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        found, part = found[order], part[order]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+        rows = [(int(part[a]), 0, _pack(found[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), _POSTINGS, strict=True)], schema=_POSTINGS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        held, size = [], 0
+        for batch in text.slices(batches):
+            for grams in gram_sets(batch[0], n):
+                key = (_identity(grams), len(grams))
+                if not len(grams) or key in seen:
+                    continue
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                seen.add(key)
+                held.append(prefix(grams, key[0], ranks.value, t))
+                size += len(held[-1])
+                if size >= _FLUSH:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
 
+    return run
 
-_PAIR = pa.schema([("cell", pa.int64()), ("ax", pa.int64()), ("ay", pa.int64()), ("bx", pa.int64()), ("by", pa.int64())])
 
+_MET = pa.schema([("cell", pa.int64()), ("ax", pa.int64()), ("an", pa.int32()), ("bx", pa.int64()), ("bn", pa.int32()), *_POSTINGS])
 
-def _meet(bands: int, groups: int, t: float):
-    """Candidate pairs of each cell, for rows (cell, band, x, y, n, bands, counts) sorted by cell."""
+
+def _scramble(*columns) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        total = np.uint64(0)
+        for c in columns:
+            total = text.mix((np.asarray(c).astype(np.uint64) + total) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
+    return total
+
+
+def meets(postings: np.ndarray, side: np.ndarray, part: int, t: float, block: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(cell, ax, an, bx, bn) of the pairs that meet in a part and may reach the threshold; sides 1 and 2 meet each other, 0 all."""
+    order = np.lexsort((postings["n"], postings["x"], side, postings["tag"]))
+    p, side = postings[order], side[order]
+    again = np.zeros(len(p), bool)
+    again[1:] = (p["tag"][1:] == p["tag"][:-1]) & (p["x"][1:] == p["x"][:-1]) & (p["n"][1:] == p["n"][:-1]) & (side[1:] == side[:-1])
+    p, side = p[~again], side[~again]
+    starts = np.flatnonzero(np.diff(p["tag"].astype(np.int64), prepend=-1))
+    lengths = np.diff(np.append(starts, len(p)))
+    shared = np.repeat(lengths > 1, lengths)
+    p, side = p[shared], side[shared]
+    lengths = lengths[lengths > 1]
+    first = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    before = np.arange(len(p)) - first
+    cost = np.cumsum(p["n"].astype(np.int64) + 256)
+    blocks = (cost - (cost[first] if len(p) else 0)) // block
+    cut = np.searchsorted(np.cumsum(before), np.arange(0, int(before.sum()) + _MEETS, _MEETS), side="left") if len(p) else []
+    edges = sorted({0, len(p), *(min(int(c) + 1, len(p)) for c in cut)})
+    tag, one, two, n, at, x = (np.ascontiguousarray(p[f]) for f in _FIELDS.names)
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        count = before[lo:hi]
+        b = np.repeat(np.arange(lo, hi), count)
+        a = np.arange(len(b)) - np.repeat(np.cumsum(count) - count, count) + first[b]
+        k = np.minimum(n[a], n[b]) >= t * np.maximum(n[a], n[b]) - 1e-9
+        k &= (np.minimum(n[a] - at[a], n[b] - at[b])) * (1 + t) >= t * (n[a].astype(np.int64) + n[b]) - 1e-6
+        k &= (one[a] != one[b]) & (one[a] != two[b]) & (two[a] != one[b]) & (two[a] != two[b])
+        k &= (side[a] == 0) | (side[a] != side[b])
+        a, b = a[k], b[k]
+        same = (x[a] == x[b]) & (n[a] == n[b])
+        a, b = a[~same], b[~same]
+        if len(a):
+            swap = (x[a] > x[b]) | ((x[a] == x[b]) & (n[a] > n[b]))
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            yield _scramble(np.full(len(a), part), tag[a], np.minimum(blocks[a], blocks[b]), np.maximum(blocks[a], blocks[b])).astype(np.int64), x[a], n[a], x[b], n[b]
+
+
+def split_part(part: int, side: int, postings: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(part, side, postings) of the pairs of blocks that an oversized part is split into."""
+    mine = (text.mix(postings["x"].astype(np.uint64) ^ np.uint64(part & 0xFFFFFFFFFFFFFFFF)) % np.uint64(_WAYS)).astype(np.int64)
+    for i in range(_WAYS):
+        here = postings[mine == i]
+        for j in range(_WAYS) if len(here) else ():
+            low, high = (min(i, j), max(i, j)) if side == 0 else (i, j) if side == 1 else (j, i)
+            name = int(_scramble([part], [low + 1], [high + 1])[0].astype(np.int64))
+            yield name, side if side else 0 if i == j else 1 if i < j else 2, _pack(here)
+
+
+def _meet(t: float, limit: int, block: int):
+    """Pairs of each part, for rows (part, side, blob) sorted by part; or, of an oversized part, its postings in smaller parts."""
+
+    def pairs(part: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        found = {s: _unpack(blobs) for s, blobs in held.items()}
+        side = np.concatenate([np.full(len(f), s, np.int8) for s, f in found.items()])
+        for columns in meets(np.concatenate(list(found.values())), side, part, t, block):
+            empty = [pa.nulls(len(columns[0]), f.type) for f in _POSTINGS]
+            yield pa.record_batch([*(pa.array(c, f.type) for c, f in zip(columns, _MET, strict=False)), *empty], schema=_MET)
+
+    def spill(part: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        for side, blobs in held.items():
+            rows = list(split_part(part, side, _unpack(blobs)))
+            if rows:
+                empty = [pa.nulls(len(rows), f.type) for f in list(_MET)[:5]]
+                yield pa.record_batch([*empty, *(pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), _POSTINGS, strict=True))], schema=_MET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list[np.ndarray]] = []
-        found = 0
-        for cell in _groups_of(batches):
-            m = cell.num_rows
-            band, x, y = cell["band"][0].as_py(), cell["x"].to_numpy(), cell["y"].to_numpy()
-            sizes = cell["n"].to_numpy().astype(np.int64)
-            before = np.vstack(cell["bands"].combine_chunks().flatten().to_numpy().reshape(m, bands))[:, :band]
-            points = unpack_counts(cell["counts"].to_pylist(), groups, sizes)
-            tree = CountRTree(points, sizes)
-            for a in range(m):
-                b = tree.partners(a, t)
-                b = b[(x[b] > x[a]) | ((x[b] == x[a]) & (y[b] > y[a]))]
-                b = b[~(before[b] == before[a]).any(axis=1)]
-                if len(b):
-                    found += len(b)
-                    out.append([np.full(len(b), cell["cell"][0].as_py()), np.full(len(b), x[a]), np.full(len(b), y[a]), x[b], y[b]])
-                if found > 20_000:
-                    yield pa.record_batch([np.concatenate(c) for c in zip(*out, strict=True)], schema=_PAIR)
-                    out, found = [], 0
+        now, held, size, over = None, {}, 0, False
+        for batch in batches:
+            for part, side, blob in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2], strict=True):
+                if part != now:
+                    if held:
+                        yield from (spill if over else pairs)(now, held)
+                    now, held, size, over = part, {}, 0, False
+                held.setdefault(side, []).append(blob.as_py())
+                size += len(held[side][-1]) // _FIELDS.itemsize
+                if size > limit:
+                    over = True
+                    yield from spill(now, held)
+                    held, size = {}, 0
+        if held:
+            yield from (spill if over else pairs)(now, held)
+
+    return run
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict, list]]:
+    """(cell, its members' data by class, its pairs), for rows (cell, kind, ax, an, bx, bn, data, copies) sorted by cell and kind, members before pairs."""
+    now, members, found = None, {}, []
+    for batch in batches:
+        cells, kinds, ax, an, bx, bn = (batch[k].to_pylist() for k in range(6))
+        data, copies = batch[6], batch[7].to_pylist()
+        for k, cell in enumerate(cells):
+            if cell != now:
+                if found:
+                    yield now, members, found
+                now, members, found = cell, {}, []
+            if kinds[k] == 0:
+                members[ax[k], an[k]] = (data[k].as_py(), copies[k])
+            else:
+                found.append(((ax[k], an[k]), (bx[k], bn[k])))
+    if found:
+        yield now, members, found
+
+
+_PAIR = pa.schema([("cell", pa.int64()), ("ax", pa.int64()), ("an", pa.int32()), ("bx", pa.int64()), ("bn", pa.int32())])
+
+
+def surviving(members: dict[tuple[int, int], tuple[bytes, int]], found: list, groups: int, t: float) -> list:
+    """The pairs of a cell that the R-tree over its points leaves."""
+    place = {key: k for k, key in enumerate(members)}
+    sizes = np.array([key[1] for key in members], np.int64)
+    points = unpack_counts([data for data, _ in members.values()], groups, sizes)
+    if len(members) <= _LEAF:
+        a, b = np.array([[place[p], place[q]] for p, q in found]).T
+        return [found[k] for k in np.flatnonzero(may_reach(points[a], sizes[a], points[b], sizes[b], t))]
+    tree, kept, near = CountRTree(points, sizes), [], {}
+    for p, q in sorted(found):
+        if p not in near:
+            near = {p: set(tree.partners(place[p], t).tolist())}
+        if place[q] in near[p]:
+            kept.append((p, q))
+    return kept
+
+
+def _prune(groups: int, t: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for cell, members, found in _cells(batches):
+            out += [(cell, *p, *q) for p, q in surviving(members, found, groups, t)]
+            if len(out) > 20_000:
+                yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), _PAIR, strict=True)], schema=_PAIR)
+                out = []
         if out:
-            yield pa.record_batch([np.concatenate(c) for c in zip(*out, strict=True)], schema=_PAIR)
+            yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), _PAIR, strict=True)], schema=_PAIR)
 
     return run
 
 
-_GRAMS = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("grams", pa.binary())])
+_SETS = pa.schema([("x", pa.int64()), ("n", pa.int32()), ("grams", pa.binary())])
 
 
 def _grams(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text.slices(batches, 500):
-            out = [(*_identity(g), g.astype("<u8").tobytes()) for g in gram_sets(batch[0], n) if len(g)]
+        for batch in text.slices(batches):
+            out = [(_identity(g), len(g), g.astype("<u8").tobytes()) for g in gram_sets(batch[0], n) if len(g)]
             if out:
-                yield pa.record_batch([list(c) for c in zip(*out, strict=True)], schema=_GRAMS)
+                yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), _SETS, strict=True)], schema=_SETS)
 
     return run
 
 
-_VERIFIED = pa.schema([("ax", pa.int64()), ("ay", pa.int64()), ("bx", pa.int64()), ("by", pa.int64()), ("shared", pa.int64()), ("total", pa.int64())])
+def verified(members: dict[tuple[int, int], tuple[bytes, int]], found: list, t: float) -> Iterator[tuple]:
+    """(a, b, shared, total) of the pairs that reach the threshold, by their full sets."""
+    sets = {key: np.frombuffer(data, "<u8") for key, (data, _) in members.items()}
+    partners: dict[tuple[int, int], list] = {}
+    for p, q in found:
+        partners.setdefault(p, []).append(q)
+    for p, others in partners.items():
+        a = sets[p]
+        for at in range(0, len(others), 64):
+            some = others[at : at + 64]
+            joined = np.concatenate([sets[q] for q in some])
+            hit = a[np.minimum(np.searchsorted(a, joined), len(a) - 1)] == joined
+            ends = np.cumsum([q[1] for q in some])
+            shared = np.diff(np.concatenate([[0], np.cumsum(hit)[ends - 1]]))
+            for q, s in zip(some, shared.tolist(), strict=True):
+                if s >= t * (p[1] + q[1] - s) - 1e-12:
+                    yield p, q, s, p[1] + q[1] - s
+
+
+_VERIFIED = "ax long, an int, bx long, bn int, shared long, total long"
+_LINKS = "x long, n int, links long, rx long, rn int"
 
 
 def _verify(t: float):
-    """Exact overlap of pairs; rows (cell, kind, ax, ay, bx, by, grams) come sorted by cell and kind, sets before pairs."""
+    """Rows (ax, an, bx, bn, shared, total): one for each verified pair."""
+    schema = pa.schema([("ax", pa.int64()), ("an", pa.int32()), ("bx", pa.int64()), ("bn", pa.int32()), ("shared", pa.int64()), ("total", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[tuple[int, int], np.ndarray] = {}
-        now, out = None, []
-        for batch in batches:
-            cells, kinds = batch[0].to_pylist(), batch[1].to_pylist()
-            ids = [batch[k].to_pylist() for k in range(2, 6)]
-            grams = batch[6]
-            for k, cell in enumerate(cells):
-                if cell != now:
-                    now, sets = cell, {}
-                if kinds[k] == 0:
-                    sets[ids[0][k], ids[1][k]] = np.frombuffer(grams[k].as_py(), "<u8")
-                    continue
-                a, b = sets[ids[0][k], ids[1][k]], sets[ids[2][k], ids[3][k]]
-                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                shared = int((b[at] == a).sum())
-                total = len(a) + len(b) - shared
-                if shared >= t * total - 1e-12:
-                    out.append((ids[0][k], ids[1][k], ids[2][k], ids[3][k], shared, total))
+        out = []
+        for _, members, found in _cells(batches):
+            for p, q, shared, total in verified(members, found, t):
+                out.append((*p, *q, shared, total))
+                if len(out) > 20_000:
+                    yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out = []
+        if out:
+            yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _link(t: float):
+    """Rows (x, n, links, rx, rn): for each class with a verified pair in a cell, the documents it is linked to there, and the least class it is connected with."""
+    schema = pa.schema([("x", pa.int64()), ("n", pa.int32()), ("links", pa.int64()), ("rx", pa.int64()), ("rn", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for _, members, found in _cells(batches):
+            links: dict[tuple[int, int], int] = {}
+            root: dict[tuple[int, int], tuple[int, int]] = {}
+
+            def find(k, root=root):
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            for p, q, _, _ in verified(members, found, t):
+                for one, other in ((p, q), (q, p)):
+                    links[one] = links.get(one, 0) + members[other][1]
+                    root.setdefault(one, one)
+                a, b = sorted((find(p), find(q)))
+                root[b] = a
+            out += [(*k, count, *find(k)) for k, count in links.items()]
             if len(out) > 20_000:
-                yield pa.record_batch([list(c) for c in zip(*out, strict=True)], schema=_VERIFIED)
+                yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
                 out = []
         if out:
-            yield pa.record_batch([list(c) for c in zip(*out, strict=True)], schema=_VERIFIED)
+            yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, groups: int = GROUPS) -> tuple[DataFrame, DataFrame]:
-    """(classes, pairs): classes (x, y, ids) of rows with equal n-gram sets, and verified pairs (ax, ay, bx, by, shared, total) of them."""
-    source = common.tuned(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    sketches = source.mapInArrow(common.lean(_sketch(n, bands, rows, groups)), "id long, x long, y long, n int, bands array<long>, counts binary")
-    classes = common.materialize(
-        sketches.groupBy("x", "y").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("counts").alias("counts")), "classes"
-    )
-    placed = classes.select("x", "y", F.posexplode("bands").alias("band", "cell"))
-    crowded = placed.groupBy("cell").agg(F.collect_list(F.struct("x", "y")).alias("who"), F.first("band").alias("band")).filter("size(who) > 1")
-    members = crowded.select("cell", "band", F.explode("who").alias("who")).select("cell", "band", "who.x", "who.y")
-    points = members.join(classes.drop("ids"), ["x", "y"]).select("cell", "band", "x", "y", "n", "bands", "counts")
-    candidates = common.materialize(
-        points.repartition("cell").sortWithinPartitions("cell").mapInArrow(common.lean(_meet(bands, groups, threshold)), "cell long, ax long, ay long, bx long, by long"), "candidates"
-    )
-    taking = candidates.select("cell", F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("who")).select("cell", "who.x", "who.y").distinct()
-    taking = common.materialize(taking, "taking")
-    readers = common.materialize(taking.select("x", "y").distinct().join(classes.select("x", "y", F.element_at("ids", 1).alias("id")), ["x", "y"]).select("id").distinct(), "readers")
-    sets = common.join_checked(source, readers, ["id"], "left_semi", 8).select("text").mapInArrow(common.lean(_grams(n)), "x long, y long, grams binary")
-    none = F.lit(None).cast("long")
-    brought = taking.join(sets, ["x", "y"]).select("cell", F.lit(0).alias("kind"), F.col("x").alias("ax"), F.col("y").alias("ay"), none.alias("bx"), none.alias("by"), "grams")
-    asked = candidates.select("cell", F.lit(1).alias("kind"), "ax", "ay", "bx", "by", F.lit(None).cast("binary").alias("grams"))
-    verified = brought.unionByName(asked).repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(common.lean(_verify(threshold)), "ax long, ay long, bx long, by long, shared long, total long")
-    return classes.select("x", "y", "ids", "n"), common.materialize(verified, "verified")
+def _bring(pairs: DataFrame, data: DataFrame, name: str) -> DataFrame:
+    """Rows for _cells: the members of each cell's pairs with their data (x, n, name, copies), and the pairs."""
+    none = lambda kind: F.lit(None).cast(kind)
+    taking = pairs.select("cell", F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("an").alias("n")), F.struct(F.col("bx").alias("x"), F.col("bn").alias("n")))).alias("who")).select("cell", "who.x", "who.n").distinct()
+    members = taking.join(data, ["x", "n"]).select("cell", F.lit(0).alias("kind"), F.col("x").alias("ax"), F.col("n").alias("an"), none("long").alias("bx"), none("int").alias("bn"), F.col(name).alias("data"), "copies")
+    asked = pairs.select("cell", F.lit(1).alias("kind"), "ax", "an", "bx", "bn", none("binary").alias("data"), none("long").alias("copies"))
+    return members.unionByName(asked).repartition("cell").sortWithinPartitions("cell", "kind")
+
+
+class Join:
+    """The classes of docs, (x, n, id, copies) with the least id of each, their rows (id, x, n), and the pairs that survive the R-trees."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int = N, threshold: float = THRESHOLD, groups: int = GROUPS, table: int = TABLE, part: int = PART, limit: int = PART_LIMIT, block: int = BLOCK):
+        self.n, self.t = n, threshold
+        self.source = common.tuned(docs).select(common.whole(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
+        spark = docs.sparkSession
+        survey = common.materialize(self.source.mapInArrow(common.lean(_survey(n, groups, table)), "id long, x long, n int, counts binary, chunk int, tally binary"), "survey")
+        self.rows = survey.filter("chunk is null").select("id", "x", "n")
+        self.classes = self.rows.distinct().groupBy("x", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+        ranks = spark.sparkContext.broadcast(gram_ranks(survey, table))
+        total = survey.agg(F.sum("n")).first()[0] or 0
+        parts = max(1, -(-int(total * (1 - threshold)) // part))
+        placed = self.source.select("text").mapInArrow(common.lean(_postings(n, ranks, parts, threshold)), "part long, side int, blob binary")
+        met_schema = "cell long, ax long, an int, bx long, bn int, part long, side int, blob binary"
+        found = None
+        while True:
+            met = common.materialize(placed.repartition("part").sortWithinPartitions("part").mapInArrow(common.lean(_meet(threshold, limit, block)), met_schema), "met")
+            new = met.filter("cell is not null").select("cell", "ax", "an", "bx", "bn")
+            found = new if found is None else found.unionByName(new)
+            placed = met.filter("part is not null").select("part", "side", "blob")
+            if placed.select("part").isEmpty():
+                break
+        candidates = common.materialize(found.groupBy("ax", "an", "bx", "bn").agg(F.min("cell").alias("cell")), "candidates")
+        points = survey.filter("chunk is null").groupBy("x", "n").agg(F.first("counts").alias("counts"), F.lit(1).cast("long").alias("copies"))
+        self.survivors = common.materialize(_bring(candidates, points, "counts").mapInArrow(common.lean(_prune(groups, threshold)), "cell long, ax long, an int, bx long, bn int"), "survivors")
+
+    def _sets(self) -> DataFrame:
+        """Rows for _cells with the full sets of the survivors' classes, each read from one document of its class."""
+        taken = self.survivors.select(F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("an").alias("n")), F.struct(F.col("bx").alias("x"), F.col("bn").alias("n")))).alias("who")).select("who.x", "who.n").distinct()
+        owners = common.materialize(self.classes.join(taken, ["x", "n"]), "owners")
+        readers = common.materialize(owners.select("id").distinct(), "readers")
+        sets = common.join_checked(self.source, readers, ["id"], "left_semi", 8).select("text").mapInArrow(common.lean(_grams(self.n)), "x long, n int, grams binary")
+        return _bring(self.survivors, sets.join(owners.select("x", "n", "copies"), ["x", "n"]), "grams")
+
+    def pairs(self) -> DataFrame:
+        return common.materialize(self._sets().mapInArrow(common.lean(_verify(self.t)), _VERIFIED), "verified")
+
+    def links(self) -> DataFrame:
+        """(x, n, links, rx, rn), several rows for a class."""
+        return common.materialize(self._sets().mapInArrow(common.lean(_link(self.t)), _LINKS), "links")
+
+    def groups(self, links: DataFrame) -> DataFrame:
+        """(x, n, rx, rn): the root of each class that is connected with another one, by links or by an id in both."""
+        node = lambda x, n: F.struct(F.col(x).alias("x"), F.col(n).alias("n"))
+        edges = links.select(node("x", "n").alias("a"), node("rx", "rn").alias("b"))
+        held = self.rows.distinct().groupBy("id").agg(F.min(node("x", "n")).alias("b"), F.count("*").alias("all")).filter("all > 1")
+        shared = self.rows.distinct().join(held.select("id", "b"), "id").select(node("x", "n").alias("a"), "b")
+        roots = components(edges.unionByName(shared))
+        return roots.select("node.x", "node.n", F.col("root.x").alias("rx"), F.col("root.n").alias("rn"))
+
+
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(doc_id_a, doc_id_b, shared, total, jaccard) of similar classes, each named by its least id; members() tells whom it stands for."""
+    join = Join(docs, id_col, text_col, **how)
+    a = join.classes.select(F.col("x").alias("ax"), F.col("n").alias("an"), F.col("id").alias("a"))
+    b = join.classes.select(F.col("x").alias("bx"), F.col("n").alias("bn"), F.col("id").alias("b"))
+    named = join.pairs().join(a, ["ax", "an"]).join(b, ["bx", "bn"])
+    return named.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"), "shared", "total", (F.col("shared") / F.col("total")).alias("jaccard"))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(doc_ids_a, doc_ids_b, shared, total, jaccard): every document of one list is similar to every one of the other.
+    """(doc_id, class_id, links) for every id of docs.
 
-    Documents with equal n-gram sets share a row with both lists the same and jaccard 1. Lists keep a class of
-    thousands of copies to one entry for each copy, where pairs would be quadratic.
+    links counts the other documents that are similar to it, copies included; class_id is the least id of all that are
+    connected with it by such links, its own where there are none.
     """
-    classes, pairs = similar_classes(docs, id_col, text_col, **how)
-    a = classes.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("ids").alias("doc_ids_a"))
-    b = classes.select(F.col("x").alias("bx"), F.col("y").alias("by"), F.col("ids").alias("doc_ids_b"))
-    ordered = F.col("doc_ids_a") <= F.col("doc_ids_b")
-    first, second = F.when(ordered, F.col("doc_ids_a")).otherwise(F.col("doc_ids_b")), F.when(ordered, F.col("doc_ids_b")).otherwise(F.col("doc_ids_a"))
-    columns = [first.alias("doc_ids_a"), second.alias("doc_ids_b"), "shared", "total", (F.col("shared") / F.col("total")).alias("jaccard")]
-    unlike = pairs.join(a, ["ax", "ay"]).join(b, ["bx", "by"]).select(*columns)
-    alike = classes.filter("size(ids) > 1").select(F.col("ids").alias("doc_ids_a"), F.col("ids").alias("doc_ids_b"), F.col("n").cast("long").alias("shared"), F.col("n").cast("long").alias("total"), F.lit(1.0).alias("jaccard"))
-    return unlike.unionByName(alike)
+    join = Join(docs, id_col, text_col, **how)
+    links = join.links()
+    roots = common.materialize(join.groups(links), "roots")
+    counted = join.classes.select("x", "n", "copies").join(links.groupBy("x", "n").agg(F.sum("links").alias("links")), ["x", "n"], "left").join(roots, ["x", "n"], "left")
+    counted = counted.select("x", "n", F.coalesce("rx", "x").alias("rx"), F.coalesce("rn", "n").alias("rn"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    placed = common.materialize(join.rows.distinct().join(counted, ["x", "n"]), "placed")
+    least = placed.groupBy("rx", "rn").agg(F.min("id").alias("class_id"))
+    rows = placed.groupBy("id").agg(F.min("rx").alias("rx"), F.min("rn").alias("rn"), F.sum("links").alias("links")).join(least, ["rx", "rn"])
+    every = docs.select(common.whole(docs, id_col).alias("id")).filter("id is not null").distinct()
+    return every.join(rows, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -278,12 +562,12 @@ def components(edges: DataFrame) -> DataFrame:
     now = common.materialize(edges.select("a", "b").filter("a != b").distinct(), "edges")
     seen = None
     while True:
-        near = both(now).groupBy("a").agg(F.min("b").alias("least"), F.collect_set("b").alias("near"))
-        large = near.select("a", F.least("a", "least").alias("m"), F.explode("near").alias("v")).filter("v > a and v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = common.materialize(large, "large")
+        near = both(now)
+        least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = common.materialize(near.filter("b > a").join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("near"))
-        small = low.select("m", F.explode(F.concat("near", F.array("a"))).alias("v")).filter("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        low = down.groupBy("a").agg(F.min("b").alias("m"))
+        small = down.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         now = common.materialize(small, "small")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
@@ -296,29 +580,33 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Rows that share an id count as one document and stay or go together, so their classes are linked; rows with null id or no words stay.
     """
-    classes, pairs = similar_classes(docs, id_col, text_col, **how)
-    edges = pairs.select(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")).alias("a"), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")).alias("b"))
-    held = classes.select(F.struct("x", "y").alias("a"), F.explode("ids").alias("id")).groupBy("id").agg(F.min("a").alias("a"), F.collect_set("a").alias("all")).filter("size(all) > 1")
-    edges = edges.unionByName(held.select("a", F.explode("all").alias("b")))
-    roots = components(edges).select(F.col("node.x").alias("x"), F.col("node.y").alias("y"), "root")
-    grouped = classes.join(roots, ["x", "y"], "left").filter("root is not null or size(ids) > 1").select(F.coalesce("root", F.struct("x", "y")).alias("root"), F.explode("ids").alias("id"))
-    least = grouped.groupBy("root").agg(F.min("id").alias("kept"))
-    gone = common.materialize(grouped.join(least, "root").filter("id != kept").select(F.col("id").alias("__gone")).distinct(), "gone")
+    join = Join(docs, id_col, text_col, **how)
+    roots = join.groups(join.links())
+    rows = join.rows.distinct()
+    grouped = common.materialize(rows.join(roots, ["x", "n"], "left").select("id", F.coalesce("rx", "x").alias("rx"), F.coalesce("rn", "n").alias("rn")), "grouped")
+    least = grouped.groupBy("rx", "rn").agg(F.min("id").alias("kept"))
+    gone = common.materialize(grouped.join(least, ["rx", "rn"]).filter("id != kept").select(F.col("id").alias("__gone")).distinct(), "gone")
     small = F.broadcast(gone) if common.small_enough(gone, 8) else gone
-    return docs.join(small, docs[id_col].cast("long") == small["__gone"], "left_anti")
+    return docs.join(small, common.whole(docs, id_col) == small["__gone"], "left_anti")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists of similar documents among all documents."""
+    """Class and number of links of every document."""
     return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 ORACLE_SQL = r"""
-WITH words AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\pL\pM\pN_]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-sets AS (SELECT doc_id, CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM words WHERE len(w) > 0),
-classes AS (SELECT list_sort(list(DISTINCT doc_id)) AS ids, s FROM sets GROUP BY s),
-grams AS (SELECT ids, len(s) AS n, unnest(s) AS gram FROM classes),
-pairs AS (SELECT a.ids AS doc_ids_a, b.ids AS doc_ids_b, count(*) AS shared, any_value(a.n + b.n) - count(*) AS total FROM grams a JOIN grams b ON a.gram = b.gram AND a.ids < b.ids GROUP BY ALL)
-SELECT doc_ids_a, doc_ids_b, shared, total, shared / total AS jaccard FROM pairs WHERE shared >= 0.6 * total - 1e-12
-UNION ALL SELECT ids, ids, len(s), len(s), 1.0 FROM classes WHERE len(ids) > 1
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\pL\pM\pN_]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+sets AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM words WHERE len(w) > 0),
+classes AS MATERIALIZED (SELECT row_number() OVER () AS c, s, list(doc_id) AS ids FROM sets GROUP BY s),
+members AS (SELECT c, unnest(ids) AS doc_id, len(ids) AS copies FROM classes),
+grams AS (SELECT c, len(s) AS n, unnest(s) AS gram FROM classes),
+pairs AS MATERIALIZED (SELECT a, b FROM (SELECT a.c AS a, b.c AS b, count(*) AS shared, any_value(a.n + b.n) - count(*) AS total FROM grams a JOIN grams b ON a.gram = b.gram AND a.c < b.c GROUP BY a.c, b.c) WHERE shared >= 0.6 * total - 1e-12),
+edges AS MATERIALIZED (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+steps AS MATERIALIZED (SELECT a, b FROM edges UNION SELECT m.c, o.c FROM members m JOIN members o ON m.doc_id = o.doc_id AND m.c <> o.c),
+reach AS (SELECT c AS a, c AS b FROM classes UNION SELECT reach.a, steps.b FROM reach JOIN steps ON reach.b = steps.a),
+roots AS (SELECT a AS c, min(doc_id) AS class_id FROM reach JOIN members ON members.c = reach.b GROUP BY a),
+linked AS (SELECT a AS c, sum(len(ids)) AS links FROM edges JOIN classes ON classes.c = edges.b GROUP BY a),
+found AS (SELECT doc_id, min(class_id) AS class_id, sum(copies - 1 + coalesce(links, 0)) AS links FROM members JOIN roots USING (c) LEFT JOIN linked USING (c) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, CAST(coalesce(links, 0) AS BIGINT) AS links FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN found USING (doc_id)
 """

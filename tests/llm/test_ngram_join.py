@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from glyphmine.llm import ngram_join
 
@@ -24,36 +26,86 @@ def brute(rows, t: float = ngram_join.THRESHOLD) -> dict:
     return {(a, b): j for a, b in combinations(sorted(sets), 2) if may(sets[a], sets[b]) and (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= t - 1e-12}
 
 
-def pairs(df) -> dict:
-    found = {}
-    for r in df.collect():
-        for a in r.doc_ids_a:
-            for b in r.doc_ids_b:
-                if a != b:
-                    found[min(a, b), max(a, b)] = r.jaccard
-    return found
+def roots(nodes, pairs) -> dict:
+    root = {i: i for i in nodes}
 
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {i: find(i) for i in nodes}
+
+
+def expected(rows) -> dict:
+    """(class_id, links) of every id; ids occur once."""
+    nodes = [i for i, *_ in rows if i is not None]
+    pairs = brute(rows)
+    links = Counter(i for p in pairs for i in p)
+    root = roots(nodes, pairs)
+    return {i: (root[i], links[i]) for i in nodes}
 
-def test_recall_on_documents(spark):
-    docs = cases.documents(spark, "0.01")
-    want = brute([(r.doc_id, r.text) for r in docs.collect()])
-    got = pairs(ngram_join.similar_documents(docs))
-    assert got.keys() <= want.keys()
-    assert len(got) >= 0.97 * len(want) > 0
-    assert all(abs(got[p] - want[p]) < 1e-12 for p in got)
 
+def result(df) -> dict:
+    rows = df.collect()
+    assert len(rows) == len({r.doc_id for r in rows})
+    return {r.doc_id: (r.class_id, r.links) for r in rows}
 
-def test_recall_near_the_threshold(spark):
-    draw = random.Random(11)
+
+def unlike(rows, pairs: dict) -> dict:
+    """Of all pairs, those between the least ids of classes."""
+    least = {}
+    for i, x, *_ in rows:
+        if i is not None and x is not None and (g := frozenset(grams(x))):
+            least[g] = min(i, least.get(g, i))
+    kept = set(least.values())
+    return {p: j for p, j in pairs.items() if j < 1 and set(p) <= kept}
+
+
+def edited(draw: random.Random, families: int, copies: int, words: int = 120) -> list:
     rows = []
-    for k in range(150):
-        words = [f"w{draw.randrange(9000)}" for _ in range(120)]
-        rows.append((2 * k, " ".join(words), None, None, None))
-        for _ in range(draw.randrange(1, 12)):
-            words[draw.randrange(120)] = f"v{draw.randrange(9000)}"
-        rows.append((2 * k + 1, " ".join(words), None, None, None))
-    want, got = brute(rows), pairs(ngram_join.similar_documents(cases.table(spark, rows)))
-    assert got.keys() <= want.keys() and len(got) >= 0.9 * len(want) > 50
+    for _ in range(families):
+        base = [f"w{draw.randrange(9000)}" for _ in range(words)]
+        for _ in range(copies):
+            mine = list(base)
+            for _ in range(draw.randrange(0, 10)):
+                mine[draw.randrange(words)] = f"v{draw.randrange(9000)}"
+            rows.append((len(rows), " ".join(mine), None, None, None))
+    return rows
+
+
+def test_all_documents(spark):
+    docs = cases.documents(spark, "0.01")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = brute(rows)
+    found = ngram_join.similar_pairs(docs).collect()
+    assert {(r.doc_id_a, r.doc_id_b): round(r.jaccard, 12) for r in found} == {p: round(j, 12) for p, j in unlike(rows, want).items()} != {}
+    assert result(ngram_join.similar_documents(docs)) == expected(rows)
+
+
+@pytest.mark.parametrize("how", [{}, {"limit": 200, "part": 1000}, {"block": 2000, "part": 300}, {"table": 64}])
+def test_no_link_is_lost_near_the_threshold(spark, how):
+    rows = edited(random.Random(11), 40, 6)
+    want = brute(rows)
+    found = ngram_join.similar_pairs(cases.table(spark, rows), **how).collect()
+    assert {(r.doc_id_a, r.doc_id_b) for r in found} == set(unlike(rows, want)) and len(found) > 100
+    assert result(ngram_join.similar_documents(cases.table(spark, rows), **how)) == expected(rows)
+
+
+def test_trees_have_inner_nodes_and_lose_nothing(spark, monkeypatch):
+    rows = edited(random.Random(5), 2, 60)
+    sets = {i: np.unique(s) for (i, *_), s in zip(rows, ngram_join.gram_sets(__import__("pyarrow").array([r[1] for r in rows]), 3), strict=True)}
+    members = {(i, len(s)): (ngram_join.pack_counts(ngram_join.group_counts(s, 256)), 1) for i, s in sets.items()}
+    points = ngram_join.unpack_counts([d for d, _ in members.values()], 256, np.array([n for _, n in members]))
+    tree = ngram_join.CountRTree(points, np.array([n for _, n in members]))
+    assert [len(top) for top, _, _ in tree.levels] == [8]
+    every = list(combinations(sorted(members), 2))
+    kept = ngram_join.surviving(members, every, 256, 0.6)
+    full = {k: (sets[k[0]].astype("<u8").tobytes(), 1) for k in members}
+    assert {(p[0], q[0]) for p, q, _, _ in ngram_join.verified(full, kept, 0.6)} == set(brute(rows)) and len(kept) < len(every)
 
 
 def test_bound_never_prunes_a_partner():
@@ -80,24 +132,61 @@ def test_full_groups_never_prune_a_partner():
     assert (ngram_join.unpack_counts([ngram_join.pack_counts(small[0])], 4, np.array([65_537])) == small).all()
 
 
+def test_a_split_part_meets_every_pair_once():
+    draw = np.random.default_rng(1)
+    p = np.zeros(300, ngram_join._FIELDS)
+    p["tag"], p["n"], p["at"], p["x"] = draw.integers(0, 3, 300), 10, 0, np.arange(300)
+    p["one"], p["two"] = draw.integers(0, 2**32, 300), draw.integers(0, 2**32, 300)
+    want = {(int(a), int(b)) for a in range(300) for b in range(a + 1, 300) if p["tag"][a] == p["tag"][b]}
+
+    def met(part, sided, depth):
+        found = Counter()
+        if depth == 0:
+            for _, ax, _, bx, _ in ngram_join.meets(np.concatenate([b for _, b in sided]), np.concatenate([np.full(len(b), s, np.int8) for s, b in sided]), part, 0.6, 4000):
+                found.update(zip(ax.tolist(), bx.tolist(), strict=True))
+            return found
+        smaller = {}
+        for s, b in sided:
+            for name, side, blob in ngram_join.split_part(part, s, b):
+                smaller.setdefault(name, []).append((side, ngram_join._unpack([blob])))
+        for name, parts in smaller.items():
+            found.update(met(name, parts, depth - 1))
+        return found
+
+    for depth in range(3):
+        assert met(7, [(0, p)], depth) == Counter(dict.fromkeys(want, 1))
+
+
 def test_rows_of_one_id_are_one_document(spark):
     draw = random.Random(4)
     a, b, c = (" ".join(f"w{draw.randrange(9000)}" for _ in range(60)) for _ in range(3))
     rows = [(3, f"{a} x", None, None, None), (5, a, None, None, None), (5, b, None, None, None), (4, f"{b} y", None, None, None), (7, c, None, None, None), (7, f"{c} {a} {b}", None, None, None)]
     assert {r.doc_id for r in ngram_join.keep_one(cases.table(spark, rows)).collect()} == {3, 7}
+    assert result(ngram_join.similar_documents(cases.table(spark, rows))) == {3: (3, 1), 5: (3, 2), 4: (3, 1), 7: (7, 0)}
     rows = [(3, f"{a} x", None, None, None), (5, a, None, None, None), (5, b, None, None, None), (9, f"{b} y", None, None, None)]
     assert {r.doc_id for r in ngram_join.keep_one(cases.table(spark, rows)).collect()} == {3}
 
 
 def test_awkward_rows(spark):
     docs = cases.awkward(spark)
-    rows = ngram_join.similar_documents(docs).collect()
-    assert [(r.doc_ids_a, r.doc_ids_b, r.jaccard) for r in rows] == [([4, 5], [4, 5], 1.0)]
+    assert result(ngram_join.similar_documents(docs)) == {i: (4, 1) if i in (4, 5) else (i, 0) for i in range(1, 10)}
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == [-1, -1, 1, 2, 3, 4, 6, 7, 8, 9]
 
 
+def test_ids_of_other_kinds(spark):
+    rows = [("5", cases.PLAIN), ("12", cases.PLAIN), (None, cases.PLAIN)]
+    assert result(ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id string, text string"))) == {5: (5, 1), 12: (5, 1)}
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            with pytest.raises(Exception, match="whole numbers"):
+                ngram_join.similar_documents(spark.createDataFrame([("a-1", cases.PLAIN)], "doc_id string, text string")).collect()
+        finally:
+            spark.conf.unset("spark.sql.ansi.enabled")
+
+
 def test_chains_keep_their_least(spark):
     words = [f"t{k}" for k in range(60)]
     rows = [(9 - k, " ".join(words[4 * k : 4 * k + 40]), None, None, None) for k in range(6)] + [(50, "something else altogether here", None, None, None)]
@@ -106,10 +195,11 @@ def test_chains_keep_their_least(spark):
 
 def test_large_group_of_near_copies(spark):
     rows = [(k, f"{cases.PLAIN} {cases.PLAIN} {cases.PLAIN} extra{k}", None, None, None) for k in range(300)]
-    kept = ngram_join.keep_one(cases.table(spark, rows))
-    assert [r.doc_id for r in kept.collect()] == [0]
+    assert [r.doc_id for r in ngram_join.keep_one(cases.table(spark, rows)).collect()] == [0]
+    assert result(ngram_join.similar_documents(cases.table(spark, rows))) == {k: (0, 299) for k in range(300)}
 
 
 def test_empty_table(spark):
     assert ngram_join.similar_documents(cases.empty(spark)).count() == 0
+    assert ngram_join.similar_pairs(cases.empty(spark)).count() == 0
     assert ngram_join.keep_one(cases.empty(spark)).count() == 0
