@@ -1,10 +1,11 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The training documents are split into segments; every segment stores postings: for each term, its documents and
-positions, as one sorted list of segment-wide places (documents lie a gap apart, so no phrase crosses two). Only terms of the benchmark
-are stored, as no other term can match one; the lists are delta-coded. Term frequencies over the
-whole corpus are summed from the segments, and give each benchmark window the order in which its lists are intersected: from the
-rarest term, with offset-adjusted places, so a window that no segment holds ends after one or two short lists.
+The training documents are split into segments; every segment stores postings of all its terms: the sorted hashes of the terms, how many
+places each has, and the places, sorted for each term and written as differences (documents lie a gap apart, so no phrase crosses two). The
+index is built once, whatever the benchmark: build_index() gives a table that probe() searches for any benchmark, without the texts. Term frequencies
+over the whole corpus are summed from the segments, and give each benchmark window the order in which its lists are intersected: from the
+rarest term, with offset-adjusted places. Windows with the same two rarest terms share their first intersection, and only windows whose
+terms all occur in a segment are looked for there.
 
 A window is a run of n tokens of an item (all of an item with fewer). A phrase match is a place where a window occurs word for
 word; a proximity match is a place where all distinct terms of a window, at least `near_terms` of them, lie within
@@ -12,228 +13,293 @@ n + slop tokens. Both are counted for each (document, item).
 
 Defined results: an item or text that is null or has no words matches nothing; rows with null id can't be reported and are left
 out of the matches (keep_clean keeps them); repeated document rows are merged, as are repeated item rows; columns other than id
-and text are ignored whatever their names. An empty benchmark or corpus gives no matches.
+and text are ignored whatever their names. An empty benchmark or corpus gives no matches. Ids must be whole numbers; other text raises an error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, text
 
 N, SLOP, NEAR_TERMS = 13, 4, 8
-#: Benchmark bytes that every task holds at once; a larger benchmark is matched in as many passes as it needs.
-BENCHMARK_BYTES = 1 << 20
+#: Benchmark bytes that every task holds at once (about 15 bytes of windows for each); a larger benchmark is probed in parts, each of which reads the index, not the texts.
+BENCHMARK_BYTES = 4 << 20
 #: Tokens of a segment, and places between two documents in it.
 _SEGMENT_TOKENS, _GAP = 1 << 19, 1 << 10
+_AT_ONCE = 1 << 19
 
-_SEGMENT = pa.schema([("segment", pa.string()), ("term", pa.int64()), ("places", pa.binary()), ("n", pa.int64())])
-
-
-def encode(places: np.ndarray) -> bytes:
-    """Sorted places as differences, in bytes of 7 bits, the last one marked."""
-    gaps = np.diff(places, prepend=0).astype(np.uint64)
-    parts = [(gaps >> np.uint64(7 * k)) & np.uint64(127) for k in range(6)]
-    width = np.ones(len(gaps), np.int64)
-    for k in range(1, 6):
-        width[gaps >= np.uint64(1 << 7 * k)] = k + 1
-    ends = np.cumsum(width)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    for k in range(6):
-        has = width > k
-        out[ends[has] - width[has] + k] = parts[k][has]
-    out[ends - 1] |= 128
-    return out.tobytes()
-
-
-def decode(data: bytes) -> np.ndarray:
-    if not data:
-        return np.zeros(0, np.int64)
-    raw = np.frombuffer(data, np.uint8)
-    last = np.flatnonzero(raw & 128)
-    first = np.concatenate([[0], last[:-1] + 1])
-    within = np.arange(len(raw)) - np.repeat(first, last - first + 1)
-    return np.cumsum(np.add.reduceat((raw & 127).astype(np.int64) << (7 * within), first))
-
-
-def _index(terms: np.ndarray, gap: int):
-    """Segments of a task's documents (id, text): a row for each term, and one with term null for the documents' ids and starts."""
-
-    def flush(docs: list, starts: list, parts: list, nth: int) -> pa.RecordBatch:
-        name = f"{_task()}-{nth}"
-        term = np.concatenate([t for t, _ in parts])
-        place = np.concatenate([p for _, p in parts])
-        order = np.argsort(term, kind="stable")
-        term, place = term[order], place[order]
-        cuts = np.flatnonzero(np.diff(term, prepend=-1, append=-1)) if len(term) else np.zeros(1, np.int64)
-        rows = [(name, int(terms[term[a]]), encode(place[a:b]), int(b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        rows.append((name, None, np.array([docs, starts], "<i8").tobytes(), len(docs)))
-        return pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), _SEGMENT, strict=True)], schema=_SEGMENT)
+_SEGMENT = pa.schema([("terms", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary())])
+_SEGMENT_TYPE = "terms binary, counts binary, places binary, docs binary, starts binary"
+
+
+def encode(term: np.ndarray, place: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Terms, counts and differences of places; the places of a term ascend."""
+    order = np.argsort(term, kind="stable")
+    term, place = term[order], place[order]
+    first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(term)))
+    wide = "<i4" if not len(place) or place.max() < 1 << 31 else "<i8"
+    steps = np.diff(place, prepend=0).astype(wide)
+    return term[first].astype("<i8").tobytes(), counts.astype("<i4").tobytes(), wide.encode() + steps.tobytes()
+
+
+def decode(terms: bytes, counts: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, ends, places): the places of terms[k] end at ends[k]."""
+    return np.frombuffer(terms, "<i8"), np.cumsum(np.frombuffer(counts, "<i4"), dtype=np.int64), np.cumsum(np.frombuffer(places, places[:3].decode(), offset=3), dtype=np.int64)
+
+
+def _index(gap: int):
+    """Segments of a task's documents (id, text)."""
+
+    def flush(docs: list, starts: list, terms: list, places: list) -> pa.RecordBatch:
+        row = (*encode(np.concatenate(terms), np.concatenate(places)), np.array(docs, "<i8").tobytes(), np.array(starts, "<i8").tobytes())
+        return pa.record_batch([pa.array([x], pa.binary()) for x in row], schema=_SEGMENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, starts, parts, at, held, nth = [], [], [], 0, 0, 0
+        docs, starts, terms, places, at, held = [], [], [], [], 0, 0
         for batch in text.slices(batches):
             ids, offsets, words = text.word_ids(batch[1])
-            hashed = text.word_hashes(words).astype(np.int64)
-            spot = np.minimum(np.searchsorted(terms, hashed), max(0, len(terms) - 1))
-            code = np.where(terms[spot] == hashed, spot, -1) if len(terms) else np.full(len(hashed), -1)
-            mine = code[ids]
             length = np.diff(offsets)
             begin = at + np.concatenate([[0], np.cumsum(length + gap)[:-1]]).astype(np.int64)
-            keep = np.flatnonzero(mine >= 0)
-            row = np.searchsorted(offsets, keep, side="right") - 1
-            parts.append((mine[keep], begin[row] + keep - offsets[row]))
+            terms.append(text.word_hashes(words).astype(np.int64)[ids])
+            places.append(np.arange(len(ids)) + np.repeat(begin - offsets[:-1], length))
             docs += batch[0].to_pylist()
             starts += begin.tolist()
             at = int(begin[-1] + length[-1] + gap)
             held += len(ids)
             if held > _SEGMENT_TOKENS:
-                yield flush(docs, starts, parts, nth)
-                docs, starts, parts, at, held, nth = [], [], [], 0, 0, nth + 1
+                yield flush(docs, starts, terms, places)
+                docs, starts, terms, places, at, held = [], [], [], [], 0, 0
         if docs:
-            yield flush(docs, starts, parts, nth)
+            yield flush(docs, starts, terms, places)
 
     return run
 
 
-def _task() -> str:
-    context = TaskContext.get()
-    return f"{context.stageId()}-{context.partitionId()}" if context else "0"
-
-
-def _windows(items: list[tuple[int, str]], n: int) -> list[tuple[int, int, np.ndarray]]:
-    """(item, first token, term hashes) of every window; repeated items with one text count once."""
-    found = []
-    for item, body in sorted(set(items)):
-        ids, _, words = text.word_ids(pa.array([body]))
+@dataclass
+class Windows:
+    """Windows of a part of the benchmark, as runs of a stream of term numbers; plan() adds their orders."""
+
+    items: np.ndarray
+    begins: np.ndarray
+    lengths: np.ndarray
+    stream: np.ndarray
+    terms: np.ndarray
+    orders: np.ndarray | None = None
+    distinct: np.ndarray | None = None
+    n_distinct: np.ndarray | None = None
+
+    @staticmethod
+    def of(rows: list[tuple[int, str]], n: int) -> Windows:
+        """Those of items (id, text); repeated items with one text count once."""
+        rows = sorted(set(rows))
+        ids, offsets, words = text.word_ids(pa.array([body for _, body in rows], pa.string()))
         hashes = text.word_hashes(words).astype(np.int64)[ids]
-        found += [(item, k, hashes[k : k + n]) for k in range(max(1, len(hashes) - n + 1)) if len(hashes)]
-    return found
-
-
-def _plan(windows: list[tuple[int, int, np.ndarray]], frequency: dict[int, int], near_terms: int) -> list[tuple[int, int, list[tuple[int, int]], list[int]]]:
-    """(item, length, (term, offset) from the rarest, distinct terms from the rarest or none where too few for proximity) of every window."""
-    planned = []
-    for item, _, terms in windows:
-        ordered = sorted(enumerate(terms.tolist()), key=lambda x: (frequency.get(x[1], 0), x[0]))
-        distinct = list(dict.fromkeys(t for _, t in ordered))
-        planned.append((item, len(terms), [(t, k) for k, t in ordered], distinct if len(distinct) >= near_terms else []))
-    return planned
-
-
-_NONE = np.zeros(0, np.int64)
-
-
-def _phrases(postings: dict[int, np.ndarray], ordered: list[tuple[int, int]]) -> np.ndarray:
-    """Places where the window begins word for word: offset-adjusted lists are intersected from the rarest term."""
-    term, offset = ordered[0]
-    places = postings.get(term, _NONE) - offset
-    for term, offset in ordered[1:]:
-        other = postings.get(term, _NONE)
-        if not len(places) or not len(other):
-            return _NONE
-        spot = np.minimum(np.searchsorted(other, places + offset), len(other) - 1)
-        places = places[other[spot] == places + offset]
-    return places
-
-
-def _nearby(postings: dict[int, np.ndarray], distinct: list[int], reach: int) -> np.ndarray:
-    """Places of the rarest term that lie, with all other terms, in some stretch of reach tokens."""
-    near = postings.get(distinct[0], _NONE)
-    for term in distinct[1:]:
-        other = postings.get(term, _NONE)
-        if not len(near) or not len(other):
-            return _NONE
-        low = np.searchsorted(other, near - reach + 1)
-        near = near[(low < len(other)) & (other[np.minimum(low, len(other) - 1)] < near + reach)]
-    hits = []
-    for p in near.tolist():
-        around = [other[np.searchsorted(other, p - reach + 1) : np.searchsorted(other, p + reach)] for other in map(postings.get, distinct)]
+        terms, stream = np.unique(hashes, return_inverse=True)
+        items, begins, lengths = [], [], []
+        for (item, _), a, b in zip(rows, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            count = max(1, b - a - n + 1) if b > a else 0
+            items += [item] * count
+            begins += range(a, a + count)
+            lengths += [min(n, b - a)] * count
+        return Windows(np.array(items, np.int64), np.array(begins, np.int64), np.array(lengths, np.int64), stream.astype(np.int64), terms)
+
+    def plan(self, frequency: np.ndarray) -> None:
+        """For each window its offsets and its distinct terms, from the rarest by the frequencies of terms over the corpus; rows are padded."""
+        most = int(self.lengths.max()) if len(self.lengths) else 0
+        within = np.arange(most) < self.lengths[:, None]
+        here = self.stream[np.minimum(self.begins[:, None] + np.arange(most), max(0, len(self.stream) - 1))]
+        order = np.argsort(np.where(within, frequency[here], np.iinfo(np.int64).max), axis=1, kind="stable")
+        ranked = np.take_along_axis(here, order, 1)
+        again = ~within
+        for k in range(1, most):
+            again[:, k] |= (ranked[:, :k] == ranked[:, k : k + 1]).any(axis=1)
+        self.orders, self.n_distinct = order.astype(np.int32), (~again).sum(axis=1)
+        self.distinct = np.take_along_axis(ranked, np.argsort(again, axis=1, kind="stable"), 1).astype(np.int32)
+
+
+class Segment:
+    """Postings of one segment, restricted to given sorted terms, as one sorted array of (term number, place)."""
+
+    def __init__(self, row: tuple[bytes, ...], terms: np.ndarray):
+        mine, ends, places = decode(*row[:3])
+        self.docs, self.starts = np.frombuffer(row[3], "<i8"), np.frombuffer(row[4], "<i8")
+        at = np.minimum(np.searchsorted(mine, terms), max(0, len(mine) - 1))
+        self.present = mine[at] == terms if len(mine) else np.zeros(len(terms), bool)
+        self.counts = np.zeros(len(terms), np.int64)
+        begins = np.concatenate([[0], ends[:-1]])
+        self.counts[self.present] = (ends - begins)[at[self.present]]
+        self.firsts = np.cumsum(self.counts) - self.counts
+        take = np.repeat(np.where(self.present, begins[at] if len(mine) else 0, 0) - self.firsts, self.counts) + np.arange(int(self.counts.sum()))
+        self.bits = int(places.max()).bit_length() + 1 if len(places) else 1
+        self.keys = (np.repeat(np.arange(len(terms)), self.counts) << self.bits) | places[take]
+        self.last = (1 << self.bits) - 1
+
+    def places(self, term: int) -> np.ndarray:
+        return self.keys[self.firsts[term] : self.firsts[term] + self.counts[term]] & self.last
+
+    def next(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The first place of each term at or after a place, a far one where there is none."""
+        at = np.searchsorted(self.keys, (term << self.bits) | np.maximum(place, 0))
+        found = self.keys[np.minimum(at, len(self.keys) - 1)]
+        return np.where((at < len(self.keys)) & (found >> self.bits == term), found & self.last, 1 << 62)
+
+
+def _phrases(segment: Segment, windows: Windows, w: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows w and places p of their rarest terms, those where the window occurs word for word: lists are intersected in the window's order."""
+    first = p - windows.orders[w, 0]
+    for step in range(1, windows.orders.shape[1]):
+        more = np.flatnonzero(windows.lengths[w] > step)
+        offset = windows.orders[w[more], step]
+        place = first[more] + offset
+        ok = np.ones(len(w), bool)
+        ok[more] = (place >= 0) & (segment.next(windows.stream[windows.begins[w[more]] + offset], place) == place)
+        w, first = w[ok], first[ok]
+    ok = first >= 0
+    return w[ok], first[ok]
+
+
+def _nearby(segment: Segment, windows: Windows, w: np.ndarray, p: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows w and places p of their rarest terms, those with all other terms in some stretch of the window's length and slop."""
+    for step in range(1, windows.distinct.shape[1]):
+        more = np.flatnonzero(windows.n_distinct[w] > step)
+        reach = windows.lengths[w[more]] + slop
+        ok = np.ones(len(w), bool)
+        ok[more] = segment.next(windows.distinct[w[more], step].astype(np.int64), p[more] - reach + 1) < p[more] + reach
+        w, p = w[ok], p[ok]
+    kept = []
+    for k, (window, place) in enumerate(zip(w.tolist(), p.tolist(), strict=True)):
+        reach, around = int(windows.lengths[window]) + slop, []
+        for d in windows.distinct[window, : windows.n_distinct[window]].tolist():
+            list_ = segment.places(d)
+            around.append(list_[np.searchsorted(list_, place - reach + 1) : np.searchsorted(list_, place + reach)])
         begins = np.unique(np.concatenate(around))
-        if any(all(((x >= s) & (x < s + reach)).any() for x in around) for s in begins[(begins <= p) & (begins > p - reach)].tolist()):
-            hits.append(p)
-    return np.array(hits, np.int64)
+        if any(all(((x >= s) & (x < s + reach)).any() for x in around) for s in begins[(begins <= place) & (begins > place - reach)].tolist()):
+            kept.append(k)
+    return w[kept], p[kept]
 
 
-def match_segment(postings: dict[int, np.ndarray], docs: np.ndarray, starts: np.ndarray, planned: list, slop: int) -> Iterator[tuple[int, int, int, int]]:
+def match_segment(segment: Segment, windows: Windows, slop: int, near_terms: int) -> Iterator[tuple[int, int, int, int]]:
     """(doc, item, phrase places, proximity places) of one segment, for each of its document rows."""
     counts: dict[tuple[int, int], list[int]] = {}
-    for item, length, ordered, distinct in planned:
-        for which, places in ((0, _phrases(postings, ordered)), (1, _nearby(postings, distinct, length + slop) if distinct else _NONE)):
-            if len(places):
-                of, times = np.unique(np.searchsorted(starts, places, side="right") - 1, return_counts=True)
-                for d, c in zip(of.tolist(), times.tolist(), strict=True):
-                    counts.setdefault((d, item), [0, 0])[which] += c
+
+    def count(which: int, w: np.ndarray, p: np.ndarray) -> None:
+        for d, item in zip((np.searchsorted(segment.starts, p, side="right") - 1).tolist(), windows.items[w].tolist(), strict=True):
+            counts.setdefault((d, item), [0, 0])[which] += 1
+
+    absent = np.concatenate([[0], np.cumsum(~segment.present[windows.stream])])
+    asked = np.flatnonzero(absent[windows.begins + windows.lengths] == absent[windows.begins])
+    if not len(asked) or not len(segment.keys):
+        return
+    # windows with the same two rarest terms share the intersection of these
+    one = windows.distinct[asked, 0].astype(np.int64)
+    two = np.where(windows.n_distinct[asked] > 1, windows.distinct[asked, min(1, windows.distinct.shape[1] - 1)], one)
+    reach = windows.lengths[asked] + slop
+    order = np.lexsort((reach, two, one))
+    asked, one, two, reach = asked[order], one[order], two[order], reach[order]
+    begins = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (reach[1:] != reach[:-1])]))
+    ends = np.append(begins[1:], len(asked))
+    many = segment.counts[one[begins]]
+    cuts = np.searchsorted(np.cumsum(many), np.arange(_AT_ONCE, int(many.sum()), _AT_ONCE)).tolist()
+    for lo, hi in zip([0, *cuts], [*cuts, len(begins)], strict=True):
+        if lo == hi:
+            continue
+        b = begins[lo:hi]
+        group = np.repeat(np.arange(lo, hi), many[lo:hi])
+        at = np.arange(len(group)) - np.repeat(np.cumsum(many[lo:hi]) - many[lo:hi] - segment.firsts[one[b]], many[lo:hi])
+        p = segment.keys[at] & segment.last
+        r = reach[begins[group]]
+        ok = segment.next(two[begins[group]], p - r + 1) < p + r
+        group, p = group[ok], p[ok]
+        size = (ends - begins)[group]
+        for a in range(0, len(group), _AT_ONCE // 64):
+            g, q, s = group[a : a + _AT_ONCE // 64], p[a : a + _AT_ONCE // 64], size[a : a + _AT_ONCE // 64]
+            w = asked[np.repeat(begins[g] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))]
+            q = np.repeat(q, s)
+            count(0, *_phrases(segment, windows, w, q))
+            wide = windows.n_distinct[w] >= near_terms
+            count(1, *_nearby(segment, windows, w[wide], q[wide], slop))
     for (d, item), (phrases, near) in counts.items():
-        yield int(docs[d]), item, phrases, near
+        yield int(segment.docs[d]), item, phrases, near
 
 
 _MATCH = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_phrase", pa.int64()), ("n_near", pa.int64())])
 
 
-def _match(held, slop: int):
-    """Matches of segments, for rows (segment, term, places, n) sorted by segment."""
-
+def _match(held, slop: int, near_terms: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, postings, docs = None, {}, None
-
-        def settle() -> Iterator[pa.RecordBatch]:
-            if now is not None:
-                rows = list(match_segment(postings, docs[0], docs[1], held.value, slop))
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                rows = list(match_segment(Segment(tuple(x.as_py() for x in row), held.value.terms), held.value, slop, near_terms))
                 if rows:
-                    yield pa.record_batch([list(c) for c in zip(*rows, strict=True)], schema=_MATCH)
+                    yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), _MATCH, strict=True)], schema=_MATCH)
+
+    return run
+
+
+def _frequencies(held):
+    """Of the given terms, how often each occurs in a task's segments: rows (term number, n)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = held.value
+        total = np.zeros(len(terms), np.int64)
         for batch in batches:
-            for name, term, places in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2], strict=True):
-                if name != now:
-                    yield from settle()
-                    now, postings, docs = name, {}, None
-                if term is None:
-                    docs = np.frombuffer(places.as_py(), "<i8").reshape(2, -1)
-                else:
-                    postings[term] = decode(places.as_py())
-        yield from settle()
+            for mine, counts in zip(batch[0], batch[1], strict=True):
+                mine, counts = np.frombuffer(mine.as_py(), "<i8"), np.frombuffer(counts.as_py(), "<i4")
+                if len(mine):
+                    at = np.minimum(np.searchsorted(mine, terms), len(mine) - 1)
+                    total += np.where(mine[at] == terms, counts[at], 0)
+        found = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(found), pa.array(total[found])], names=["term", "n"])
 
     return run
 
 
-def build_index(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id", text_col: str = "text", gap: int = _GAP) -> DataFrame:
-    """The postings (segment, term, places, n) of docs for the given sorted term hashes, as a table in the shared folder."""
-    source = common.tuned(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    return common.materialize(source.mapInArrow(common.lean(_index(terms, gap)), "segment string, term long, places binary, n long"), "postings")
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = _GAP) -> DataFrame:
+    """Postings of all terms of docs, a row for each segment, as a table in the shared folder; windows and slop up to half the gap can be searched."""
+    source = common.tuned(docs).select(common.whole(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
+    return common.materialize(source.mapInArrow(common.lean(_index(gap)), _SEGMENT_TYPE), "postings")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", n: int = N, slop: int = SLOP, near_terms: int = NEAR_TERMS, benchmark_bytes: int = BENCHMARK_BYTES) -> DataFrame:
-    """(doc_id, item_id, n_phrase, n_near) for every document and item with a match."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item is not null and text is not null").distinct()
+def probe(index: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", n: int = N, slop: int = SLOP, near_terms: int = NEAR_TERMS, benchmark_bytes: int = BENCHMARK_BYTES) -> DataFrame:
+    """(doc_id, item_id, n_phrase, n_near) for every document of the index and item with a match."""
+    spark = index.sparkSession
+    items = benchmark.select(common.whole(benchmark, item_col).alias("item"), F.col(text_col).cast("string").alias("text")).filter("item is not null and text is not null").distinct()
     parts = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // benchmark_bytes)
     schema = "doc_id long, item_id long, n_phrase long, n_near long"
     found = spark.createDataFrame([], schema)
     for part in range(parts):
         share = items.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
-        windows = _windows([tuple(r) for r in share.collect()], n)
-        terms = np.unique(np.concatenate([w[2] for w in windows])) if windows else np.zeros(0, np.int64)
-        index = build_index(docs, terms, id_col, text_col, max(_GAP, 2 * (n + slop)))
-        frequency = {r[0]: r[1] for r in index.filter("term is not null").groupBy("term").agg(F.sum("n")).collect()}
-        held = spark.sparkContext.broadcast(_plan(windows, frequency, near_terms))
-        by_segment = index.select("segment", "term", "places").repartition("segment").sortWithinPartitions("segment")
-        found = found.unionByName(by_segment.mapInArrow(common.lean(_match(held, slop)), schema))
+        windows = Windows.of([tuple(r) for r in share.collect()], n)
+        if not len(windows.items):
+            continue
+        terms = spark.sparkContext.broadcast(windows.terms)
+        frequency = np.zeros(len(windows.terms), np.int64)
+        for r in index.select("terms", "counts").mapInArrow(common.lean(_frequencies(terms)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+            frequency[r.term] = r.n
+        windows.plan(frequency)
+        found = found.unionByName(index.mapInArrow(common.lean(_match(spark.sparkContext.broadcast(windows), slop, near_terms)), schema))
     # a repeated document row lies in several segments or places; the most matches of one row count
     return found.groupBy("doc_id", "item_id").agg(F.max("n_phrase").alias("n_phrase"), F.max("n_near").alias("n_near"))
 
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", n: int = N, slop: int = SLOP, near_terms: int = NEAR_TERMS, benchmark_bytes: int = BENCHMARK_BYTES) -> DataFrame:
+    """probe() of an index of docs built for it."""
+    return probe(build_index(docs, id_col, text_col, max(_GAP, 2 * (n + slop))), benchmark, text_col, item_col, n, slop, near_terms, benchmark_bytes)
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the documents that hold a benchmark window word for word or in proximity; rows with null id stay."""
     leaks = common.materialize(find_leaks(docs, benchmark, id_col, text_col, **how).select(F.col("doc_id").alias("__leaks")).distinct(), "leaks")
     small = F.broadcast(leaks) if common.small_enough(leaks, 8) else leaks
-    return docs.join(small, docs[id_col].cast("long") == small["__leaks"], "left_anti")
+    return docs.join(small, common.whole(docs, id_col) == small["__leaks"], "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

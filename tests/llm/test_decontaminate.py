@@ -74,10 +74,46 @@ def test_benchmark_in_several_passes(spark):
     assert one and {tuple(r) for r in decontaminate.find_leaks(docs, items, benchmark_bytes=2000).collect()} == one
 
 
-def test_places_survive_coding():
-    places = np.unique(np.random.default_rng(1).integers(0, 1 << 34, 5000))
-    assert (decontaminate.decode(decontaminate.encode(places)) == places).all()
-    assert len(decontaminate.decode(decontaminate.encode(places[:0]))) == 0
+def test_one_index_serves_several_benchmarks(spark):
+    docs, items = cases.documents(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
+    index = decontaminate.build_index(docs)
+    for half in (items.filter("item_id % 2 = 0"), items.filter("item_id % 2 = 1")):
+        assert {tuple(r) for r in decontaminate.probe(index, half).collect()} == {tuple(r) for r in decontaminate.find_leaks(docs, half).collect()}
+
+
+def test_a_large_benchmark_is_found(spark):
+    """A megabyte of items: each fifth one is copied from a document, the others' terms occur but not in that order."""
+    draw = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    docs = [(k, " ".join(draw.choices(vocabulary, k=200))) for k in range(300)]
+    items, want = [], set()
+    for k in range(4000):
+        words = draw.choices(vocabulary, k=45)
+        if k % 5 == 0:
+            d, at = draw.randrange(300), draw.randrange(150)
+            words[20:40] = docs[d][1].split()[at : at + 20]
+            want.add((d, k))
+        items.append((k, " ".join(words)))
+    assert sum(len(x) for _, x in items) > 900_000
+    found = got(decontaminate.find_leaks(cases.table(spark, docs, "doc_id long, text string"), cases.table(spark, items, "item_id long, text string")))
+    assert {p for p, (phrases, _) in found.items() if phrases} == want
+
+
+def test_postings_survive_coding():
+    draw = np.random.default_rng(1)
+    for top in (1 << 20, 1 << 34):
+        places = np.unique(draw.integers(0, top, 5000))
+        of = draw.integers(-50, 50, len(places))
+        terms, ends, back = decontaminate.decode(*decontaminate.encode(of, places))
+        assert terms.tolist() == np.unique(of).tolist()
+        assert all((back[a:b] == places[of == t]).all() for t, a, b in zip(terms, [0, *ends[:-1]], ends, strict=True))
+    assert [len(x) for x in decontaminate.decode(*decontaminate.encode(places[:0], places[:0]))] == [0, 0, 0]
+
+
+def test_every_term_is_stored(spark):
+    rows = decontaminate.build_index(cases.table(spark, [(1, "a b a c", None, None, None), (2, "d a", None, None, None)]).coalesce(1)).collect()
+    terms, ends, _ = decontaminate.decode(bytes(rows[0].terms), bytes(rows[0].counts), bytes(rows[0].places))
+    assert len(rows) == 1 and len(terms) == 4 and ends[-1] == 6
 
 
 def test_awkward_rows(spark):
