@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StringType
 
-from ..stage import materialize, shared_path, shared_root
+from ..stage import discard, materialize, shared_path, shared_root
 
-__all__ = ["join_checked", "lean", "materialize", "shared_path", "shared_root", "small_enough", "tuned", "whole"]
+__all__ = ["discard", "join_checked", "lean", "materialize", "shared_path", "shared_root", "small_enough", "tuned", "whole"]
 
 #: Largest table, in estimated bytes, that is broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 64 << 20

@@ -169,21 +169,42 @@ def gram_ranks(survey: DataFrame, table: int) -> np.ndarray:
 _POSTINGS = pa.schema([("part", pa.int64()), ("side", pa.int32()), ("blob", pa.binary())])
 #: Fields of a posting: tag of the n-gram, tags of the two before it, size of the set, place in the order, class.
 _FIELDS = np.dtype([("tag", "<u4"), ("one", "<u4"), ("two", "<u4"), ("n", "<i4"), ("at", "<i4"), ("x", "<i8")])
+_OWN = ("tag", "one", "two", "at")
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on: the higher planes are mostly zeros and compress away."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
 
 
 def _pack(postings: np.ndarray) -> bytes:
-    """Field by field, which compresses better than row by row."""
-    return b"".join(np.ascontiguousarray(postings[f]).tobytes() for f in _FIELDS.names)
+    """The classes of runs of postings once each, and the postings' other fields, field by field."""
+    first = np.flatnonzero(np.concatenate([[True], (postings["x"][1:] != postings["x"][:-1]) | (postings["n"][1:] != postings["n"][:-1])]))
+    counts = np.diff(np.append(first, len(postings))).astype("<i4")
+    head = np.array([len(postings), len(first)], "<i8").tobytes() + np.ascontiguousarray(postings["x"][first]).tobytes()
+    return head + _planes(postings["n"][first]) + _planes(counts) + b"".join(_planes(postings[f]) if f == "at" else np.ascontiguousarray(postings[f]).tobytes() for f in _OWN)
+
+
+def _count(blob: bytes) -> int:
+    return int(np.frombuffer(blob, "<i8", 1)[0])
 
 
 def _unpack(blobs: list[bytes]) -> np.ndarray:
     found = []
     for blob in blobs:
-        out, at = np.empty(len(blob) // _FIELDS.itemsize, _FIELDS), 0
-        for f in _FIELDS.names:
-            end = at + len(out) * _FIELDS[f].itemsize
-            out[f] = np.frombuffer(blob[at:end], _FIELDS[f])
-            at = end
+        size, classes = np.frombuffer(blob, "<i8", 2).tolist()
+        at, out = 16, np.empty(size, _FIELDS)
+
+        def take(n: int, kind: str, planes: bool = True, blob: bytes = blob) -> np.ndarray:
+            nonlocal at
+            raw = np.frombuffer(blob, np.uint8, n * np.dtype(kind).itemsize, at)
+            at += len(raw)
+            return np.ascontiguousarray(raw.reshape(-1, n).T).view(kind).ravel() if planes and n else raw.view(kind)
+
+        x, n, counts = take(classes, "<i8", False), take(classes, "<i4"), take(classes, "<i4")
+        out["x"], out["n"] = np.repeat(x, counts), np.repeat(n, counts)
+        for f in _OWN:
+            out[f] = take(size, _FIELDS[f].str, f == "at")
         found.append(out)
     return np.concatenate(found) if found else np.empty(0, _FIELDS)
 
@@ -318,7 +339,7 @@ def _meet(t: float, limit: int, block: int):
                         yield from (spill if over else pairs)(now, held)
                     now, held, size, over = part, {}, 0, False
                 held.setdefault(side, []).append(blob.as_py())
-                size += len(held[side][-1]) // _FIELDS.itemsize
+                size += _count(held[side][-1])
                 if size > limit:
                     over = True
                     yield from spill(now, held)
@@ -492,17 +513,20 @@ class Join:
         parts = max(1, -(-int(total * (1 - threshold)) // part))
         placed = self.source.select("text").mapInArrow(common.lean(_postings(n, ranks, parts, threshold)), "part long, side int, blob binary")
         met_schema = "cell long, ax long, an int, bx long, bn int, part long, side int, blob binary"
-        found = None
+        found, tables = None, []
         while True:
             met = common.materialize(placed.repartition("part").sortWithinPartitions("part").mapInArrow(common.lean(_meet(threshold, limit, block)), met_schema), "met")
+            tables.append(met)
             new = met.filter("cell is not null").select("cell", "ax", "an", "bx", "bn")
             found = new if found is None else found.unionByName(new)
             placed = met.filter("part is not null").select("part", "side", "blob")
             if placed.select("part").isEmpty():
                 break
         candidates = common.materialize(found.groupBy("ax", "an", "bx", "bn").agg(F.min("cell").alias("cell")), "candidates")
+        common.discard(*tables)
         points = survey.filter("chunk is null").groupBy("x", "n").agg(F.first("counts").alias("counts"), F.lit(1).cast("long").alias("copies"))
         self.survivors = common.materialize(_bring(candidates, points, "counts").mapInArrow(common.lean(_prune(groups, threshold)), "cell long, ax long, an int, bx long, bn int"), "survivors")
+        common.discard(candidates)
 
     def _sets(self) -> DataFrame:
         """Rows for _cells with the full sets of the survivors' classes, each read from one document of its class."""
@@ -568,7 +592,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        now = common.materialize(small, "small")
+        old, now = now, common.materialize(small, "small")
+        common.discard(old, large)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
