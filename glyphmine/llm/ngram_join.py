@@ -1,7 +1,7 @@
 """N-gram Jaccard join with count-vector R-trees.
 
 Every text becomes its set of hashed word n-grams; texts with equal sets are one class, known by a 64-bit sum of the set and its size.
-The n-grams of a class are hashed into groups, and its group counts are a point. One tree over all points can't be searched in less
+The n-grams of a class are hashed into at least as many groups, and its group counts are a point; points of unlike numbers of groups are compared in the lesser one. One tree over all points can't be searched in less
 than all pairs: points of unrelated texts lie equally far apart, so the maxima of a node of 16 of them bound the overlap with anything by nearly its
 size. So trees are built in cells, and a class goes to the cells of its n - ceil(t n) + 1 rarest n-grams: two sets that reach the threshold t share one of
 these, whichever order is used (prefix filter), so no link is lost. The order is by counts of all n-grams of all rows in a table of fixed size.
@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 
 from . import common, text
 
-N, THRESHOLD, GROUPS = 3, 0.6, 256
+N, THRESHOLD = 3, 0.6
+#: Groups of a point: as many as the set has n-grams, a power of two within these.
+GROUPS, MOST_GROUPS = 256, 1 << 16
 #: Counters of the table that orders n-grams, and in how many chunks tasks hand on theirs.
 TABLE, _CHUNKS = 1 << 20, 64
 #: Postings of a part on average, and from how many on it is split; grams (and 256 for each set) of a block of a cell.
@@ -64,15 +66,30 @@ def group_counts(grams: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((grams % np.uint64(groups)).astype(np.int64), minlength=groups)
 
 
+def n_groups(size: int, least: int = GROUPS, most: int = MOST_GROUPS) -> int:
+    """Groups for a set of size n-grams: a power of two, at least one group for each n-gram, as fuller groups let unrelated sets seem to overlap."""
+    return max(least, min(most, 1 << max(0, size - 1).bit_length()))
+
+
 def pack_counts(counts: np.ndarray) -> bytes:
-    """16 bits a group; 65535 stands for all that is at least as large."""
+    """Four bits a group where all counts are under 16, or else 16 bits; there 65535 stands for all that is at least as large."""
+    if counts.max() < 16:
+        return (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
     return np.minimum(counts, _FULL).astype("<u2").tobytes()
 
 
-def unpack_counts(packed: list[bytes], groups: int, sizes: np.ndarray) -> np.ndarray:
-    """Points whose full groups take the set's size, so bounds on the overlap stay upper bounds."""
-    points = np.frombuffer(b"".join(packed), "<u2").reshape(len(packed), groups).astype(np.int32)
-    return np.where(points == _FULL, sizes[:, None].astype(np.int32), points) if (points == _FULL).any() else points
+def unpack_counts(packed: bytes, groups: int, size: int) -> np.ndarray:
+    """A point whose full groups take the set's size, so bounds on the overlap stay upper bounds."""
+    if len(packed) * 2 == groups:
+        raw = np.frombuffer(packed, np.uint8)
+        return np.stack([raw & 15, raw >> 4], axis=1).ravel().astype(np.int32)
+    point = np.frombuffer(packed, "<u2").astype(np.int32)
+    return np.where(point == _FULL, size, point)
+
+
+def fold(point: np.ndarray, groups: int) -> np.ndarray:
+    """The point of the same set in fewer groups."""
+    return point.reshape(-1, groups).sum(axis=0)
 
 
 def may_reach(q: np.ndarray, size: np.ndarray | int, points: np.ndarray, sizes: np.ndarray, t: float) -> np.ndarray:
@@ -131,7 +148,7 @@ def _survey(n: int, groups: int, table: int):
             out, held = [], []
             for id_, grams in zip(batch[0].to_pylist(), gram_sets(batch[1], n), strict=True):
                 if len(grams):
-                    out.append((id_, _identity(grams), len(grams), pack_counts(group_counts(grams, groups)), None, None))
+                    out.append((id_, _identity(grams), len(grams), pack_counts(group_counts(grams, n_groups(len(grams), groups))), None, None))
                     held.append(grams)
             if out:
                 tally += np.bincount((np.concatenate(held) % np.uint64(table)).astype(np.int64), minlength=table)
@@ -373,19 +390,27 @@ _PAIR = pa.schema([("cell", pa.int64()), ("ax", pa.int64()), ("an", pa.int32()),
 
 
 def surviving(members: dict[tuple[int, int], tuple[bytes, int]], found: list, groups: int, t: float) -> list:
-    """The pairs of a cell that the R-tree over its points leaves."""
-    place = {key: k for k, key in enumerate(members)}
-    sizes = np.array([key[1] for key in members], np.int64)
-    points = unpack_counts([data for data, _ in members.values()], groups, sizes)
-    if len(members) <= _LEAF:
-        a, b = np.array([[place[p], place[q]] for p, q in found]).T
-        return [found[k] for k in np.flatnonzero(may_reach(points[a], sizes[a], points[b], sizes[b], t))]
-    tree, kept, near = CountRTree(points, sizes), [], {}
-    for p, q in sorted(found):
-        if p not in near:
-            near = {p: set(tree.partners(place[p], t).tolist())}
-        if place[q] in near[p]:
-            kept.append((p, q))
+    """The pairs of a cell that the R-trees over its points leave: one tree for each number of groups, which is the lesser one of a pair."""
+    points = {key: unpack_counts(data, n_groups(key[1], groups), key[1]) for key, (data, _) in members.items()}
+    by_groups: dict[int, list] = {}
+    for p, q in found:
+        by_groups.setdefault(min(len(points[p]), len(points[q])), []).append((p, q))
+    kept = []
+    for g, pairs in by_groups.items():
+        keys = sorted({k for pair in pairs for k in pair})
+        place = {key: k for k, key in enumerate(keys)}
+        sizes = np.array([key[1] for key in keys], np.int64)
+        here = np.stack([fold(points[key], g) for key in keys])
+        if len(keys) <= _LEAF:
+            a, b = np.array([[place[p], place[q]] for p, q in pairs]).T
+            kept += [pairs[k] for k in np.flatnonzero(may_reach(here[a], sizes[a], here[b], sizes[b], t))]
+            continue
+        tree, now, near = CountRTree(here, sizes), None, set()
+        for p, q in sorted(pairs):
+            if p != now:
+                now, near = p, set(tree.partners(place[p], t).tolist())
+            if place[q] in near:
+                kept.append((p, q))
     return kept
 
 
@@ -489,11 +514,15 @@ def _link(t: float):
     return run
 
 
-def _bring(pairs: DataFrame, data: DataFrame, name: str) -> DataFrame:
+def _taken(pairs: DataFrame) -> DataFrame:
+    """(cell, x, n) of the classes of each cell's pairs."""
+    return pairs.select("cell", F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("an").alias("n")), F.struct(F.col("bx").alias("x"), F.col("bn").alias("n")))).alias("who")).select("cell", "who.x", "who.n").distinct()
+
+
+def _bring(pairs: DataFrame, taken: DataFrame, data: DataFrame, name: str) -> DataFrame:
     """Rows for _cells: the members of each cell's pairs with their data (x, n, name, copies), and the pairs."""
     none = lambda kind: F.lit(None).cast(kind)
-    taking = pairs.select("cell", F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("an").alias("n")), F.struct(F.col("bx").alias("x"), F.col("bn").alias("n")))).alias("who")).select("cell", "who.x", "who.n").distinct()
-    members = taking.join(data, ["x", "n"]).select("cell", F.lit(0).alias("kind"), F.col("x").alias("ax"), F.col("n").alias("an"), none("long").alias("bx"), none("int").alias("bn"), F.col(name).alias("data"), "copies")
+    members = common.join_checked(data, taken, ["x", "n"], "inner", 20).select("cell", F.lit(0).alias("kind"), F.col("x").alias("ax"), F.col("n").alias("an"), none("long").alias("bx"), none("int").alias("bn"), F.col(name).alias("data"), "copies")
     asked = pairs.select("cell", F.lit(1).alias("kind"), "ax", "an", "bx", "bn", none("binary").alias("data"), none("long").alias("copies"))
     return members.unionByName(asked).repartition("cell").sortWithinPartitions("cell", "kind")
 
@@ -524,17 +553,19 @@ class Join:
                 break
         candidates = common.materialize(found.groupBy("ax", "an", "bx", "bn").agg(F.min("cell").alias("cell")), "candidates")
         common.discard(*tables)
-        points = survey.filter("chunk is null").groupBy("x", "n").agg(F.first("counts").alias("counts"), F.lit(1).cast("long").alias("copies"))
-        self.survivors = common.materialize(_bring(candidates, points, "counts").mapInArrow(common.lean(_prune(groups, threshold)), "cell long, ax long, an int, bx long, bn int"), "survivors")
-        common.discard(candidates)
+        taken = common.materialize(_taken(candidates), "taken")
+        asked = common.materialize(taken.select("x", "n").distinct(), "asked")
+        points = common.join_checked(survey.filter("chunk is null"), asked, ["x", "n"], "left_semi", 12).groupBy("x", "n").agg(F.first("counts").alias("counts"), F.lit(1).cast("long").alias("copies"))
+        self.survivors = common.materialize(_bring(candidates, taken, points, "counts").mapInArrow(common.lean(_prune(groups, threshold)), "cell long, ax long, an int, bx long, bn int"), "survivors")
+        common.discard(candidates, taken, asked)
 
     def _sets(self) -> DataFrame:
         """Rows for _cells with the full sets of the survivors' classes, each read from one document of its class."""
-        taken = self.survivors.select(F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("an").alias("n")), F.struct(F.col("bx").alias("x"), F.col("bn").alias("n")))).alias("who")).select("who.x", "who.n").distinct()
-        owners = common.materialize(self.classes.join(taken, ["x", "n"]), "owners")
+        taken = common.materialize(_taken(self.survivors), "taken")
+        owners = common.materialize(self.classes.join(taken.select("x", "n").distinct(), ["x", "n"]), "owners")
         readers = common.materialize(owners.select("id").distinct(), "readers")
         sets = common.join_checked(self.source, readers, ["id"], "left_semi", 8).select("text").mapInArrow(common.lean(_grams(self.n)), "x long, n int, grams binary")
-        return _bring(self.survivors, sets.join(owners.select("x", "n", "copies"), ["x", "n"]), "grams")
+        return _bring(self.survivors, taken, common.join_checked(sets, owners.select("x", "n", "copies"), ["x", "n"], "inner", 20), "grams")
 
     def pairs(self) -> DataFrame:
         return common.materialize(self._sets().mapInArrow(common.lean(_verify(self.t)), _VERIFIED), "verified")

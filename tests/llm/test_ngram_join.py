@@ -99,7 +99,7 @@ def test_trees_have_inner_nodes_and_lose_nothing(spark, monkeypatch):
     rows = edited(random.Random(5), 2, 60)
     sets = {i: np.unique(s) for (i, *_), s in zip(rows, ngram_join.gram_sets(__import__("pyarrow").array([r[1] for r in rows]), 3), strict=True)}
     members = {(i, len(s)): (ngram_join.pack_counts(ngram_join.group_counts(s, 256)), 1) for i, s in sets.items()}
-    points = ngram_join.unpack_counts([d for d, _ in members.values()], 256, np.array([n for _, n in members]))
+    points = np.stack([ngram_join.unpack_counts(d, 256, n) for (_, n), (d, _) in members.items()])
     tree = ngram_join.CountRTree(points, np.array([n for _, n in members]))
     assert [len(top) for top, _, _ in tree.levels] == [8]
     every = list(combinations(sorted(members), 2))
@@ -126,10 +126,18 @@ def test_full_groups_never_prune_a_partner():
     a = np.arange(70_000, dtype=np.uint64) * np.uint64(8)
     sets = [a, a[:66_000]]
     sizes = np.array([len(s) for s in sets])
-    points = ngram_join.unpack_counts([ngram_join.pack_counts(ngram_join.group_counts(s, 8)) for s in sets], 8, sizes)
+    points = np.stack([ngram_join.unpack_counts(ngram_join.pack_counts(ngram_join.group_counts(s, 8)), 8, len(s)) for s in sets])
     assert ngram_join.CountRTree(points, sizes).partners(0, 0.9).tolist() == [0, 1]
-    small = np.array([[3, 65_534, 0, 0]])
-    assert (ngram_join.unpack_counts([ngram_join.pack_counts(small[0])], 4, np.array([65_537])) == small).all()
+    small = np.array([3, 65_534, 0, 0])
+    assert (ngram_join.unpack_counts(ngram_join.pack_counts(small), 4, 65_537) == small).all()
+    few = np.array([3, 15, 0, 7])
+    assert len(ngram_join.pack_counts(few)) == 2 and (ngram_join.unpack_counts(ngram_join.pack_counts(few), 4, 25) == few).all()
+
+
+def test_points_fold_to_fewer_groups():
+    s = np.random.default_rng(3).integers(0, 2**63, 5000, dtype=np.uint64)
+    assert ngram_join.n_groups(5000) == 8192 and ngram_join.n_groups(1) == 256 and ngram_join.n_groups(10**7) == 1 << 16
+    assert (ngram_join.fold(ngram_join.group_counts(s, 8192), 512) == ngram_join.group_counts(s, 512)).all()
 
 
 def test_a_split_part_meets_every_pair_once():
