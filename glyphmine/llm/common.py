@@ -7,13 +7,14 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StringType
 
 from ..stage import discard, materialize, shared_path, shared_root
 
-__all__ = ["discard", "join_checked", "lean", "materialize", "shared_path", "shared_root", "small_enough", "tuned", "whole"]
+__all__ = ["discard", "file_system", "join_checked", "lean", "materialize", "shared_path", "shared_root", "small_enough", "tuned", "whole"]
 
 #: Largest table, in estimated bytes, that is broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 64 << 20
@@ -69,3 +70,16 @@ def whole(df: DataFrame, name: str) -> Column:
     same = number.cast("string") == column if isinstance(kind, StringType) else number == column
     wrong = F.raise_error(F.concat(F.lit(f"{name} must hold whole numbers of 64 bits, not "), column.cast("string")))
     return F.when(column.isNull(), F.lit(None).cast("long")).when(F.coalesce(same, F.lit(False)), number).otherwise(wrong.cast("long"))
+
+
+_open = pyarrow.fs.FileSystem.from_uri
+
+
+def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder that Hadoop names, and the path in it; tasks use it for spilled pieces."""
+    scheme, _, rest = uri.partition(":")
+    if scheme in ("s3a", "s3n"):
+        return _open(f"s3:{rest}")
+    if scheme == "dbfs":
+        return pyarrow.fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    return _open(uri)

@@ -49,23 +49,35 @@ def test_trie_spills_and_reads_back(spark):
     want: dict[bytes, list[int]] = {}
     for k in range(2000):
         key = bytes(draw.choices(b"xyz", k=draw.randrange(9)))
-        trie.insert(key, [k])
+        trie.insert(key, k)
         want.setdefault(key, []).append(k)
     assert trie.runs
-    found = {key: (owner, sorted(members)) for key, owner, members in trie.items()}
-    assert found == {key: (min(m), m) for key, m in want.items()}
+    assert dict(trie.items()) == {key: min(m) for key, m in want.items()}
+
+
+def test_a_million_copies_fit_a_small_budget():
+    trie = exact_dedup.PatriciaTrie(1 << 20, "nowhere://")
+    text = b"one text " * 100
+    for k in range(1_000_000, 0, -1):
+        trie.insert(text, k)
+    assert trie.used < 2000 and list(trie.items()) == [(text, 1)]
+
+
+def test_spills_know_the_names_of_hadoop(monkeypatch):
+    monkeypatch.setattr(common, "_open", lambda uri: (None, uri))
+    assert [common.file_system(u)[1] for u in ("s3a://bucket/x", "hdfs://name/x", "dbfs:/tmp/x")] == ["s3://bucket/x", "hdfs://name/x", "/dbfs/tmp/x"]
 
 
 def test_keys_that_are_prefixes_of_each_other():
     trie = exact_dedup.PatriciaTrie()
     for k, key in enumerate([b"abc", b"ab", b"", b"abcd", b"b", b"ab"]):
-        trie.insert(key, [k])
-    assert [(k, o) for k, o, _ in trie.items()] == [(b"", 2), (b"ab", 1), (b"abc", 0), (b"abcd", 3), (b"b", 4)]
+        trie.insert(key, k)
+    assert list(trie.items()) == [(b"", 2), (b"ab", 1), (b"abc", 0), (b"abcd", 3), (b"b", 4)]
 
 
 def test_colliding_hashes_stay_apart(spark):
     rows = spark.createDataFrame([(3, 7, 1, "abc"), (3, 7, 2, "abd"), (3, 7, 3, "abc")], "len long, hash long, id long, text string")
-    assert {(r.id, r.owner) for r in exact_dedup._settle(rows, 1 << 20).collect()} == {(1, 1), (3, 1), (2, 2)}
+    assert {(r.id, r.owner) for r in exact_dedup._owners(rows, 1 << 20).collect()} == {(1, 1), (3, 1), (2, 2)}
 
 
 def test_keep_owners(spark):
