@@ -2,20 +2,22 @@
 
 Each input partition sorts its captures by URL key, timestamp and id and writes them as a run to the shared folder. The runs are cut into ranges of
 that order; every range task finds the ascending runs in what it receives and merges them with a loser tree, so the
-partitions together are one globally ordered index. A capture gets its place in that order and in the history of its key; the history of a
+partitions together are one globally ordered index. What a task receives beyond HELD_BYTES goes, merged, to a run in the shared folder, and
+these runs are merged in the end, a batch of each at a time. A capture gets its place in that order and in the history of its key; the history of a
 hot key may cross many ranges, and goes on from one to the next by sums over a table with a row for each range.
 
 The URL key has the host's labels reversed, without scheme, user, port, leading www and fragment, all in lower case, a path without
 closing slashes and the query's parts sorted. The table of pages has no times: unless a column is named, a capture's
-time is EPOCH plus a minute for each id.
+time is EPOCH plus a minute for each id, null for ids whose time lies outside the years 1 to 9999.
 
 Defined results: rows with null url have no key and are left out; a null id gives a null time and sorts first; null html has null digest and 0
 bytes; repeated rows are captures of their own, in an order that can't be told apart;
-columns other than those named are ignored.
+columns other than those named are ignored. Ids must be whole numbers; other text raises an error.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +27,10 @@ from pyspark.sql import functions as F
 from . import common
 
 EPOCH = 1_704_067_200
+#: Ids whose minute lies in the years 1 to 9999.
+_FIRST, _LAST = -(EPOCH + 62_135_596_800) // 60 + 1, (253_402_300_799 - EPOCH) // 60
+#: Bytes of captures that a range task holds before it writes them as a merged run.
+HELD_BYTES = 64 << 20
 
 
 def url_key(url: Column) -> Column:
@@ -78,40 +84,77 @@ _MERGED = pa.schema([("urlkey", pa.string()), ("timestamp", pa.string()), ("page
 _LOWEST = -(1 << 63)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_SPILLED = pa.schema([("urlkey", pa.string()), ("at", pa.string()), ("id", pa.int64()), ("url", pa.string()), ("content", pa.string()), ("n_bytes", pa.int64()), ("timestamp", pa.string()), ("page_id", pa.int64()), ("digest", pa.string())])
+
+
+def _write_run(rows: Iterator[tuple], uri: str) -> str:
+    fs, path = common.file_system(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(path) as sink, pa.ipc.new_stream(sink, _SPILLED) as out:
+        held = []
+        for row in rows:
+            held.append(row)
+            if len(held) == 5000:
+                out.write_batch(pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*held, strict=True), _SPILLED, strict=True)], schema=_SPILLED))
+                held = []
+        if held:
+            out.write_batch(pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*held, strict=True), _SPILLED, strict=True)], schema=_SPILLED))
+    return uri
+
+
+def _read_run(uri: str) -> Iterator[tuple]:
+    fs, path = common.file_system(uri)
+    with fs.open_input_stream(path) as source:
+        for batch in pa.ipc.open_stream(source):
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+    fs.delete_file(path)
+
+
+def merged_rows(batches: Iterator[pa.RecordBatch], spill_uri: str, held_bytes: int) -> Iterator[tuple]:
+    """The rows of a range in order; ascending runs are found as they come."""
     runs: list[list[tuple]] = [[]]
+    spilled, size = [], 0
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for key, ts, page, url, digest, size in zip(*columns, strict=True):
-            row = (key, ts or "", _LOWEST if page is None else page, url, digest or "", size, ts, page, digest)
+        for key, ts, page, url, digest, n_bytes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            row = (key, ts or "", _LOWEST if page is None else page, url, digest or "", n_bytes, ts, page, digest)
             if runs[-1] and row[:5] < runs[-1][-1][:5]:
                 runs.append([])
             runs[-1].append(row)
-    out, no, now, before, nth = [], 0, None, None, 0
-    for row in LoserTree([iter(r) for r in runs]):
-        key, _, _, url, _, size, ts, page, digest = row
-        if key != now:
-            now, before, nth = key, None, 0
-        out.append((key, ts, page, url, digest, size, no, nth, digest is not None and digest == before))
-        before, no, nth = digest, no + 1, nth + 1
-        if len(out) == 20_000:
+            size += len(key) + len(url) + 400
+            if size > held_bytes:
+                spilled.append(_write_run(iter(LoserTree([iter(r) for r in runs])), f"{spill_uri}/{uuid.uuid4().hex}.arrow"))
+                runs, size = [[]], 0
+    yield from LoserTree([*map(_read_run, spilled), *(iter(r) for r in runs)])
+
+
+def _merge(spill_uri: str, held_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, no, now, before, nth = [], 0, None, None, 0
+        for key, _, _, url, _, size, ts, page, digest in merged_rows(batches, spill_uri, held_bytes):
+            if key != now:
+                now, before, nth = key, None, 0
+            out.append((key, ts, page, url, digest, size, no, nth, digest is not None and digest == before))
+            before, no, nth = digest, no + 1, nth + 1
+            if len(out) == 20_000:
+                yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), _MERGED, strict=True)], schema=_MERGED)
+                out = []
+        if out:
             yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), _MERGED, strict=True)], schema=_MERGED)
-            out = []
-    if out:
-        yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), _MERGED, strict=True)], schema=_MERGED)
+
+    return run
 
 
-def capture_index(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None) -> DataFrame:
+def capture_index(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None, held_bytes: int = HELD_BYTES) -> DataFrame:
     """(global_no, urlkey, capture_no, timestamp, page_id, url, digest, n_bytes, revisit), numbers from 0; revisit: the digest is that of the key's capture before."""
-    page = F.col(id_col).cast("long")
-    when = F.col(time_col).cast("timestamp") if time_col else F.timestamp_seconds(page * 60 + EPOCH)
+    page = common.whole(pages, id_col)
+    when = F.col(time_col).cast("timestamp") if time_col else F.timestamp_seconds(F.when(page.between(_FIRST, _LAST), page) * 60 + EPOCH)
     captures = common.tuned(pages).filter(F.col(url_col).isNotNull()).select(
         url_key(F.col(url_col)).alias("urlkey"), F.date_format(when, "yyyyMMddHHmmss").alias("timestamp"), page.alias("page_id"), F.col(url_col).alias("url"),
         F.md5(F.col(html_col).cast("binary")).alias("digest"), F.coalesce(F.octet_length(html_col), F.lit(0)).cast("long").alias("n_bytes"),
     )
     order = ["urlkey", "timestamp", "page_id", "url", "digest"]
     runs = common.materialize(captures.sortWithinPartitions(*order), "runs")
-    merged = runs.repartitionByRange(*order).mapInArrow(common.lean(_merge), "urlkey string, timestamp string, page_id long, url string, digest string, n_bytes long, local_no long, capture_no long, revisit boolean")
+    merged = runs.repartitionByRange(*order).mapInArrow(common.lean(_merge(common.shared_path(pages.sparkSession, "captures"), held_bytes)), "urlkey string, timestamp string, page_id long, url string, digest string, n_bytes long, local_no long, capture_no long, revisit boolean")
     merged = common.materialize(merged.withColumn("range", F.spark_partition_id()), "merged")
     starts = common.materialize(_starts(merged), "starts")
     numbered = common.join_checked(merged, starts, ["range"], "inner", 400)

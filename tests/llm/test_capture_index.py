@@ -69,6 +69,23 @@ def test_history_crosses_ranges(spark):
     assert [r.global_no for r in found] == list(range(1000))
 
 
+def test_ids_of_any_size(spark):
+    ids = [2**62, 2**40, 5_000_000_000, 3, -1, -(2**62), 4_190_000_000, -1_060_000_000]
+    found = sorted(capture_index.capture_index(cases.table(spark, [(i, "http://a.b/", "x") for i in ids], PAGES)).collect(), key=lambda r: r.global_no)
+    timed = [i for i in ids if capture_index._FIRST <= i <= capture_index._LAST]
+    assert [r.page_id for r in found] == sorted(set(ids) - set(timed)) + sorted(timed)
+    assert [r.page_id for r in found if r.timestamp] == sorted(timed) == [-1_060_000_000, -1, 3, 4_190_000_000]
+    assert all(len(r.timestamp) == 14 for r in found if r.timestamp)
+
+
+def test_ranges_beyond_the_held_bytes_are_merged_from_runs(spark):
+    draw = random.Random(3)
+    rows = [(k, f"http://h{draw.randrange(30)}.example/p{draw.randrange(4)}", f"<p>{draw.randrange(3)}") for k in range(3000)]
+    docs = cases.table(spark, rows, PAGES).repartition(6)
+    small = sorted(map(tuple, capture_index.capture_index(docs, held_bytes=20_000).collect()))
+    assert small == sorted(map(tuple, capture_index.capture_index(docs).collect())) and len(small) == 3000
+
+
 def test_awkward_rows(spark):
     rows = [(None, "http://a.b/", "x"), (1, None, "x"), (2, "http://a.b/", None), (3, "http://a.b/", "x"), (3, "http://a.b/", "x"), (4, "", ""), (5, "http://a.b/", "y" * 2_000_000)]
     df = cases.table(spark, rows, PAGES).withColumns({c: F.lit("!") for c in ("urlkey", "timestamp", "digest", "n_bytes", "range", "start", "n", "first")})
