@@ -10,8 +10,8 @@ The table of a shard is streamed as rows (shard, seq, kind, first_id, last_id, n
 file, and no task holds more than a block and the keys of a shard.
 
 Defined results: a null text is kept apart from an empty one by the flag; rows with null id have no key and are left out; rows that share an
-id are all kept, in the order of their tokens, and a lookup returns all; an empty table gives no shards; columns other than id and text
-are ignored whatever their names.
+id are all kept, in the order of their texts, and a lookup returns all; an empty table gives no shards; columns other than id and text
+are ignored whatever their names. Ids must be whole numbers; other text raises an error.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,38 +204,32 @@ def decode_value(value: bytes, path: str = vocabulary.BYTE_BPE) -> str | None:
     return None if value[0] == 0 else _encoder(path).decode(np.frombuffer(value[1:], "<u2").tolist(), errors="strict")
 
 
-_ROWS = pa.schema([("shard", pa.int32()), ("seq", pa.int64()), ("kind", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_records", pa.int64()), ("offset", pa.int64()), ("payload", pa.binary())])
+_ROWS = pa.schema([("shard", pa.int64()), ("seq", pa.int64()), ("kind", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_records", pa.int64()), ("offset", pa.int64()), ("payload", pa.binary())])
 
 
-def _tokenise(path: str, held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = held.value
-        for batch in text.slices(batches):
-            values = [encode_value(x, path) for x in batch[1].to_pylist()]
-            shard = np.searchsorted(bounds, batch[0].to_numpy(), side="right").astype(np.int32)
-            yield pa.record_batch([pa.array(shard), batch[0], pa.array(values, pa.binary())], names=["shard", "id", "value"])
-
-    return run
-
+def _build(path: str, block_bytes: int, restart: int, shard_docs: int):
+    """Shards of a range of identifiers, whose rows (id, text) come sorted: a new one begins after shard_docs documents, but not within an identifier."""
 
-def _build(block_bytes: int, restart: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, writer, seq, out, size = None, None, 0, [], 0
+        context = TaskContext.get()
+        shard = (context.partitionId() if context else 0) << 32
+        writer, last, held, seq, out, size = None, None, 0, 0, [], 0
 
         def put(rows: Iterator[tuple]) -> None:
             nonlocal seq, size
             for row in rows:
-                out.append((now, seq, *row))
+                out.append((shard, seq, *row))
                 seq += 1
                 size += len(row[-1])
 
-        for batch in batches:
-            for shard, id_, value in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2].to_pylist(), strict=True):
-                if shard != now:
-                    if writer:
-                        put(writer.finish())
-                    now, writer, seq = shard, Writer(block_bytes, restart), 0
-                put(writer.add(id_, value))
+        for batch in text.slices(batches):
+            for id_, body in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+                if writer and held >= shard_docs and id_ != last:
+                    put(writer.finish())
+                    writer, shard, held, seq = None, shard + 1, 0, 0
+                writer = writer or Writer(block_bytes, restart)
+                put(writer.add(id_, encode_value(body, path)))
+                last, held = id_, held + 1
                 if size > 4 << 20:
                     yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), _ROWS, strict=True)], schema=_ROWS)
                     out, size = [], 0
@@ -248,20 +242,22 @@ def _build(block_bytes: int, restart: int):
 
 
 def tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, tokenizer: str = vocabulary.BYTE_BPE, block_bytes: int = BLOCK_BYTES, restart: int = RESTART) -> DataFrame:
-    """Rows (shard, seq, kind, first_id, last_id, n_records, offset, payload) of all shards; a shard holds about shard_docs documents."""
-    source = common.tuned(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    shards = max(1, -(-source.count() // shard_docs))
-    bounds = source.agg(F.percentile_approx("id", [k / shards for k in range(1, shards)], max(10_000, 4 * shards))).first()[0] if shards > 1 else []
-    held = docs.sparkSession.sparkContext.broadcast(np.unique(np.array(bounds, np.int64)))
-    tokens = source.mapInArrow(common.lean(_tokenise(tokenizer, held)), "shard int, id long, value binary")
-    return tokens.repartition("shard").sortWithinPartitions("shard", "id", "value").mapInArrow(common.lean(_build(block_bytes, restart)), "shard int, seq long, kind string, first_id long, last_id long, n_records long, offset long, payload binary")
+    """Rows (shard, seq, kind, first_id, last_id, n_records, offset, payload) of all shards.
+
+    Spark cuts the identifiers into ranges, and each range into shards of shard_docs documents, the last one of what is left; more only where
+    one identifier has more. Shards are numbered in the order of their identifiers: the range in the upper 32 bits, the shard in it in the lower ones.
+    """
+    source = common.tuned(docs).select(common.whole(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
+    schema = "shard long, seq long, kind string, first_id long, last_id long, n_records long, offset long, payload binary"
+    # texts are shuffled, as the ranges are found by a pass over the rows before it: it would tokenise them a second time
+    return source.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(common.lean(_build(tokenizer, block_bytes, restart, shard_docs)), schema)
 
 
 def write_tables(rows: DataFrame, uri: str) -> DataFrame:
     """Write each shard of tables() as <uri>/shard-<number>.sst; a manifest (shard, path, n_bytes). A repeated task writes the same bytes again, by rename."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pyarrow.fs.FileSystem.from_uri(uri)
+        fs, root = common.file_system(uri)
         fs.create_dir(root, recursive=True)
         now, sink, done = None, None, []
 
@@ -269,22 +265,22 @@ def write_tables(rows: DataFrame, uri: str) -> DataFrame:
             if sink is not None:
                 size = sink.tell()
                 sink.close()
-                fs.move(f"{root}/.shard-{now:06d}.{held}", f"{root}/shard-{now:06d}.sst")
-                done.append((now, f"{uri}/shard-{now:06d}.sst", size))
+                fs.move(f"{root}/.shard-{now:014x}.{held}", f"{root}/shard-{now:014x}.sst")
+                done.append((now, f"{uri}/shard-{now:014x}.sst", size))
 
         held = uuid.uuid4().hex
         for batch in batches:
             for shard, payload in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
                 if shard != now:
                     close()
-                    now, sink = shard, fs.open_output_stream(f"{root}/.shard-{shard:06d}.{held}")
+                    now, sink = shard, fs.open_output_stream(f"{root}/.shard-{shard:014x}.{held}")
                 sink.write(payload)
         close()
         if done:
-            yield pa.record_batch([pa.array(list(c), kind) for c, kind in zip(zip(*done, strict=True), (pa.int32(), pa.string(), pa.int64()), strict=True)], names=["shard", "path", "n_bytes"])
+            yield pa.record_batch([pa.array(list(c), kind) for c, kind in zip(zip(*done, strict=True), (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["shard", "path", "n_bytes"])
 
     ordered = rows.select("shard", "payload", "seq").repartition("shard").sortWithinPartitions("shard", "seq").select("shard", "payload")
-    return common.materialize(ordered.mapInArrow(common.lean(run), "shard int, path string, n_bytes long"), "manifest")
+    return common.materialize(ordered.mapInArrow(common.lean(run), "shard long, path string, n_bytes long"), "manifest")
 
 
 def op5_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

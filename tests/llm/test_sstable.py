@@ -74,7 +74,20 @@ def test_documents(spark):
             (value,) = table.get(i)
             got[i] = sstable.decode_value(value)
     assert got == want
-    assert sstable.op5_sorted_string_tables(spark, SF).filter("kind = 'footer'").count() == 1
+    assert sstable.op5_sorted_string_tables(spark, SF).filter("kind = 'footer'").count() >= 1
+
+
+def test_shards_are_cut_without_a_list(spark):
+    """One shard a document: nothing in the plan, on the driver or in a task grows with their number."""
+    docs = spark.range(5000).selectExpr("id - 2500 as doc_id", "'x' as text")
+    rows = sstable.tables(docs, shard_docs=1).filter("n_records > 0 and first_id is not null").orderBy("shard").select("first_id", "n_records").collect()
+    assert [r.first_id for r in rows] == list(range(-2500, 2500)) and {r.n_records for r in rows} == {1}
+
+
+def test_one_identifier_stays_in_one_shard(spark):
+    docs = cases.table(spark, [(k // 50, f"text {k}", None, None, None) for k in range(500)])
+    found = files(sstable.tables(docs, shard_docs=20).collect())
+    assert sorted(len({i for i, _ in sstable.Table(d).scan()}) for d in found.values()) == [1] * 10
 
 
 def test_awkward_rows(spark):
