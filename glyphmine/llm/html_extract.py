@@ -8,7 +8,8 @@ of its characters that lie in links; the best container is kept, with siblings t
 Defined results: null html has null text, title, container and score; html without a scored paragraph has empty text,
 null container and score 0; broken markup (unclosed or crossed tags, stray brackets, unended comments) is read as far as it goes; equal
 scores go to the element that begins first; rows with null id and repeated rows give one row each; columns other than id and html are ignored
-whatever their names.
+whatever their names. Ids must be whole numbers; other text raises an error. Reading takes time in proportion to the page, whatever its markup;
+points take a step for each element with paragraphs and each of its ancestors.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from . import common, text
 
 MIN_PARAGRAPH, SIBLING_SHARE, SIBLING_LEAST, SIBLING_CHARS, SIBLING_LINKS = 25, 0.2, 10.0, 80, 0.25
 
-_TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+_OPEN = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_EVENT = re.compile(r"""[>"']""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset("script style noscript template textarea iframe object svg math select button".split())
 _RAW = frozenset("script style textarea template noscript iframe title".split())
@@ -49,55 +51,121 @@ class Tree:
     title: str | None = None
 
 
+class _Ends:
+    """Where tags end: at the first > outside quotes. Every place is searched once, however many tags ask, so a page of open quotes takes linear time."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.asked, self.event = 0, -1
+        self.closes: dict[int, int] = {}
+
+    def _next(self, at: int) -> int:
+        """The first > or quote from at on, or -1; at never falls below an earlier one outside a walk."""
+        if not self.asked <= at <= self.event:
+            found = _EVENT.search(self.html, at)
+            self.asked, self.event = at, found.start() if found else len(self.html)
+        return self.event if self.event < len(self.html) else -1
+
+    def of(self, at: int) -> int:
+        """The place of the > that ends a tag whose attributes begin at at, or -1."""
+        walked = []
+        spot = self._next(at)
+        first = self.asked, self.event
+        while spot >= 0 and self.html[spot] != ">":
+            if spot in self.closes:
+                spot = self.closes[spot]
+                break
+            walked.append(spot)
+            quote = self.html.find(self.html[spot], spot + 1)
+            if quote < 0:
+                spot = -1
+                break
+            event = _EVENT.search(self.html, quote + 1)
+            spot = event.start() if event else -1
+        self.closes.update(dict.fromkeys(walked, spot))
+        self.asked, self.event = first
+        return spot
+
+
+class _Stack:
+    """Open elements, with the places of each tag among them."""
+
+    def __init__(self, tags: list[str]):
+        self.tags, self.open, self.places, self.blocks = tags, [0], {}, []
+
+    def push(self, element: int) -> None:
+        tag = self.tags[element]
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in _BLOCK:
+            self.blocks.append(len(self.open))
+        self.open.append(element)
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element with one of these tags, 0 where there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def cut(self, place: int) -> None:
+        while len(self.open) > place:
+            tag = self.tags[self.open.pop()]
+            self.places[tag].pop()
+            if tag in _BLOCK:
+                self.blocks.pop()
+
+
 def parse(html: str) -> Tree:
     tree = Tree()
     tags, parents, pieces = tree.tags, tree.parents, tree.pieces
-    stack, at = [0], 0
+    stack, ends = _Stack(tags), _Ends(html)
+    begin = at = 0
+    unended = False
     while True:
-        token = _TOKEN.search(html, at)
-        chars = html[at : token.start()] if token else html[at:]
+        token = _OPEN.search(html, at)
+        if token and token[2] is None:
+            if token[0] == "<!--":
+                end = html.find("-->", token.end())
+                end = end + 3 if end >= 0 else len(html)
+            else:
+                end = -1 if unended else html.find(">", token.end()) + 1 or -1
+                unended = end < 0
+        elif token:
+            end = ends.of(token.end()) + 1 or -1
+        if token and end < 0:  # a bracket that nothing closes is text
+            at = token.start() + 1
+            continue
+        chars = html[begin : token.start()] if token else html[begin:]
         if chars and not chars.isspace():
-            pieces.append((stack[-1], unescape(chars)))
+            pieces.append((stack.open[-1], unescape(chars)))
         elif chars:
-            pieces.append((stack[-1], " "))
+            pieces.append((stack.open[-1], " "))
         if not token:
             return tree
-        at = token.end()
+        begin = at = end
         if token[2] is None:
             continue
-        tag = token[2].lower()
+        tag, alone = token[2].lower(), html[end - 2] == "/" and end - 2 >= token.end()
         if token[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == tag:
-                    del stack[k:]
-                    break
+            place = stack.last((tag,))
+            if place:
+                stack.cut(place)
             continue
-        if tag in _BLOCK:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == "p":
-                    del stack[k:]
-                    break
-                if tags[stack[k]] in _BLOCK:
-                    break
+        if tag in _BLOCK and stack.blocks and tags[stack.open[stack.blocks[-1]]] == "p":
+            stack.cut(stack.blocks[-1])
         if tag in _ENDS:
-            ends, within = _ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] in within:
+            ended, within = _ENDS[tag]
+            while (place := stack.last(ended)) > stack.last(within):
+                stack.cut(place)
+                if tag != "tr":
                     break
-                if tags[stack[k]] in ends:
-                    del stack[k:]
-                    if tag != "tr":
-                        break
-        if tag in _RAW and not token[3].endswith("/"):
-            end = _CLOSE[tag].search(html, at)
+        if tag in _RAW and not alone:
+            close = _CLOSE[tag].search(html, at)
             if tag == "title" and tree.title is None:
-                tree.title = _SPACE.sub(" ", unescape(html[at : end.start() if end else len(html)])).strip()
-            at = end.end() if end else len(html)
+                tree.title = _SPACE.sub(" ", unescape(html[at : close.start() if close else len(html)])).strip()
+            begin = at = close.end() if close else len(html)
             continue
         tags.append(tag)
-        parents.append(stack[-1])
-        if tag not in _VOID and not token[3].endswith("/"):
-            stack.append(len(tags) - 1)
+        parents.append(stack.open[-1])
+        if tag not in _VOID and not alone:
+            stack.push(len(tags) - 1)
 
 
 @dataclass
@@ -137,14 +205,15 @@ def extract(html: str, min_paragraph: int = MIN_PARAGRAPH) -> Extract:
         elif own[k]:
             own[up] += own[k]
     scores: dict[int, float] = {}
+    passed: dict[int, int] = {}
     n_paragraphs = 0
     paragraph = [tags[k] in _PARAGRAPH or (tags[k] in _BLOCK and own[k] > 0 and not inner[k]) for k in range(n)]
     for k in range(1, n):
-        if not paragraph[k] or hidden[k] or chars[k] < min_paragraph:
-            continue
-        n_paragraphs += 1
-        points = 1 + commas[k] + min(chars[k] // 100, 3)
-        up, level = parents[k], 0
+        if paragraph[k] and not hidden[k] and chars[k] >= min_paragraph:
+            n_paragraphs += 1
+            passed[parents[k]] = passed.get(parents[k], 0) + 1 + commas[k] + min(chars[k] // 100, 3)
+    for up, points in passed.items():
+        level = 0
         while up >= 0:
             scores[up] = scores.get(up, 0.0) + points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             up, level = parents[up], level + 1
@@ -202,7 +271,7 @@ def _run(min_paragraph: int):
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", min_paragraph: int = MIN_PARAGRAPH) -> DataFrame:
     """(page_id, title, text, container, score, link_density, n_paragraphs) of every row."""
-    source = common.tuned(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
+    source = common.tuned(pages).select(common.whole(pages, id_col).alias("page_id"), F.col(html_col).cast("string").alias("html"))
     return source.mapInArrow(common.lean(_run(min_paragraph)), "page_id long, title string, text string, container string, score double, link_density double, n_paragraphs int")
 
 

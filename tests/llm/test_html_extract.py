@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import time
+from html.parser import HTMLParser
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -71,6 +76,99 @@ def test_deep_and_long_pages():
     assert long.text.count("\n") == 19_999
 
 
+class Node:
+    def __init__(self, tag: str, up: Node | None):
+        self.tag, self.up, self.inside = tag, up, []
+
+    def above(self) -> list[Node]:
+        return [self, *self.up.above()] if self.up else [self]
+
+    def below(self) -> list[Node]:
+        return [self, *(x for c in self.inside if isinstance(c, Node) for x in c.below())]
+
+
+class Naive(HTMLParser):
+    """A page's tree by the standard parser, and its main text by the definition, each value computed from the whole tree."""
+
+    BLOCK, PARAGRAPH, VOID, HIDDEN = html_extract._BLOCK, html_extract._PARAGRAPH, html_extract._VOID, html_extract._HIDDEN | {"head", "title"}
+
+    def __init__(self, page: str):
+        super().__init__()
+        self.at = self.root = Node("#page", None)
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCK:
+            for x in self.at.above():
+                if x.tag in self.BLOCK:
+                    self.at = x.up if x.tag == "p" else self.at
+                    break
+        ends, within = {"li": ("li", "ul ol"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tr": ("tr td th", "table"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl")}.get(tag, ("", ""))
+        for x in self.at.above():
+            if x.tag in within.split():
+                break
+            if x.tag in ends.split():
+                self.at = x.up
+                if tag != "tr":
+                    break
+        node = Node(tag, self.at)
+        self.at.inside.append(node)
+        if tag not in self.VOID:
+            self.at = node
+
+    def handle_endtag(self, tag):
+        for x in self.at.above():
+            if x.tag == tag:
+                self.at = x.up
+                break
+
+    def handle_data(self, data):
+        self.at.inside.append(data)
+
+    def visible(self, node: Node) -> list[tuple[Node, str]]:
+        return [(x, c) for x in node.below() for c in x.inside if isinstance(c, str) and not any(y.tag in self.HIDDEN for y in x.above())]
+
+    def chars(self, node: Node, linked: bool = False) -> int:
+        return sum(len(" ".join(c.split())) for x, c in self.visible(node) if not linked or any(y.tag == "a" for y in x.above()))
+
+    def paragraph(self, node: Node) -> bool:
+        blocks = [x for x in node.below()[1:] if x.tag in self.BLOCK]
+        return node.tag in self.PARAGRAPH or (node.tag in self.BLOCK and not blocks and self.chars(node) > 0)
+
+    def container(self, least: int = 25) -> tuple[str | None, float, int]:
+        nodes = self.root.below()
+        scores = {}
+        count = 0
+        for x in nodes[1:]:
+            if self.paragraph(x) and not any(y.tag in self.HIDDEN for y in x.above()) and self.chars(x) >= least:
+                count += 1
+                points = 1 + sum(c.count(",") for _, c in self.visible(x)) + min(3, self.chars(x) // 100)
+                for level, y in enumerate(x.above()[1:]):
+                    scores[y] = scores.get(y, 0) + points / (1, 2)[level] if level < 2 else scores.get(y, 0) + points / (3 * level)
+        if not scores:
+            return None, 0.0, 0
+        final = {y: s * (1 - self.chars(y, True) / self.chars(y)) for y, s in scores.items()}
+        best = max((y for y in nodes if y in final), key=lambda y: round(final[y], 9))
+        return "/".join(x.tag for x in reversed(best.above()[:-1])) or "#page", final[best], count
+
+
+def test_against_a_naive_scorer(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        x = html_extract.extract(r.html)
+        container, score, count = Naive(r.html).container()
+        assert (x.container, x.n_paragraphs) == (container, count) and x.score == pytest.approx(score), r.page_id
+        visible = {re.sub(r"\s+", " ", c).strip() for _, c in Naive(r.html).visible(Naive(r.html).root)}
+        assert all(any(piece in line for piece in visible) for line in x.text.split("\n"))
+
+
+@pytest.mark.parametrize("page", ["<b>" * 30_000 + "</i>" * 30_000, '<a x="' * 60_000, "<a " * 100_000, "<!" * 100_000, "<b>" * 30_000 + "<div></div>" * 30_000, "<b>" * 30_000 + "<li>" * 30_000, "<a x='\">" * 60_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    html_extract.extract(page)
+    assert time.process_time() - began < 8
+
+
 def test_all_pages(spark):
     rows = html_extract.op4_html_extraction(spark, SF).collect()
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
