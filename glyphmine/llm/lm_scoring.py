@@ -2,8 +2,9 @@
 
 A word (a run of non-white-space, with the vocabulary's space mark before it) is the sum over all its segmentations of the product of the pieces'
 probabilities, by forward recursion in log space over a byte trie of the vocabulary; a document's log probability is
-the sum over its words. The vocabulary is a public one and is not trained: its stored scores are merge ranks, read as log probabilities by
-Zipf's law, p ~ 1 / (rank + ZIPF), bytes last, so every text has a positive probability.
+the sum over its words. The vocabulary is a public one and is not trained. A unigram model's stored scores are log probabilities and taken as
+they are; a byte counts as a piece UNKNOWN below the least one, as its encoder scores the unknown. A merge model stores merge ranks, which are read as
+log probabilities by Zipf's law, p ~ 1 / (rank + ZIPF), bytes last. So every text has a positive probability.
 
 All documents' words are counted into a table of distinct words, and each is scored once, forward and backward, which gives
 the expected count of every piece over the whole corpus. corpus_log_prob uses piece probabilities
@@ -12,7 +13,7 @@ is only ever shuffled; the driver sees one number for each piece. In the final p
 words of its own rows, so no (document, word) pair is shuffled.
 
 Defined results: a null text has null log_prob and no words; an empty text has probability 1; rows with null id and repeated rows
-are scored like others, and repeated rows count as often as they occur; columns other than id and text are ignored whatever their names.
+are scored like others, and repeated rows count as often as they occur; columns other than id and text are ignored whatever their names. Ids must be whole numbers; other text raises an error.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common, text, vocabulary
 
-ZIPF, PRIOR = 2.7, 1000.0
+ZIPF, PRIOR, UNKNOWN = 2.7, 1000.0, 10.0
 _AT_ONCE = 4096
 
 
@@ -63,17 +64,50 @@ class Trie:
         return out
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a protocol buffer's fields."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while at < len(data):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+            continue
+        size = {1: 8, 5: 4}.get(tag & 7) or varint()
+        yield tag >> 3, data[at : at + size]
+        at += size
+
+
+def is_unigram(model: sentencepiece.SentencePieceProcessor) -> bool:
+    """Whether the model's scores are log probabilities: the kind in its training record, which stands for unigram where it is left out."""
+    return dict(_fields(dict(_fields(model.serialized_model_proto())).get(2, b""))).get(3, 1) == 1
+
+
 @cache
 def load(path: str, zipf: float = ZIPF) -> tuple[Trie, np.ndarray, np.ndarray]:
     """(trie, log probability of each piece, of a byte): pieces that are neither control, unknown nor white space alone."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    kept, ranks = [], []
+    kept, scores = [], []
     for k in range(model.get_piece_size()):
         piece = model.id_to_piece(k)
         if model.is_control(k) or model.is_unknown(k) or model.is_unused(k) or model.is_byte(k) or not piece.strip("▁") and piece != "▁" or model.get_score(k) < -1e8:
             continue
         kept.append(piece.encode())
-        ranks.append(1 - model.get_score(k))
+        scores.append(model.get_score(k))
+    if is_unigram(model):
+        return Trie(kept), np.array(scores), np.full(256, min(scores) - UNKNOWN)
+    ranks = [1 - x for x in scores]
     weight = 1 / (np.array([*ranks, *(max(ranks) + 1 + np.arange(256))]) + zipf)
     p = np.log(weight / weight.sum())
     return Trie(kept), p[: len(kept)], p[len(kept) :]
@@ -234,7 +268,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 names=["doc_id", "n_words", "n_bytes", "log_prob", "corpus_log_prob", "bits_per_byte"],
             )
 
-    source = common.tuned(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = common.tuned(docs).select(common.whole(docs, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(common.lean(run), _SCORED)
 
 

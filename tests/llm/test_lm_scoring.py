@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 from functools import cache
 
 import numpy as np
@@ -40,6 +41,35 @@ def test_forward_sums_all_segmentations():
     np.testing.assert_allclose(got, want, atol=1e-9)
 
 
+def model_file(path, pieces: list[tuple[str, float, int]], kind: int) -> str:
+    """A model of given pieces (piece, score, type), none of it trained."""
+
+    def field(number: int, value: int | float | bytes) -> bytes:
+        if isinstance(value, float):
+            return bytes([number << 3 | 5]) + struct.pack("<f", value)
+        if isinstance(value, int):
+            return bytes([number << 3, value])
+        return bytes([number << 3 | 2, len(value)]) + value
+
+    body = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, t)) for p, s, t in pieces)
+    path.write_bytes(body + field(2, field(3, kind)) + field(3, field(1, b"identity")))
+    return str(path)
+
+
+def test_unigram_scores_are_log_probabilities(spark, tmp_path):
+    pieces = [("<unk>", 0.0, 2), ("▁a", -1.5, 1), ("a", -2.5, 1), ("b", -3.0, 1), ("ab", -2.0, 1), ("▁", -3.5, 1)]
+    path = model_file(tmp_path / "unigram.model", pieces, 1)
+    _, p, byte_p = lm_scoring.load(path)
+    np.testing.assert_allclose(p, [s for _, s, _ in pieces[1:]])
+    assert (byte_p == -13.5).all()
+    (row,) = lm_scoring.score(cases.table(spark, [(1, "ab", None, None, None)]), path=path).collect()
+    spelt = math.exp(-1.5 - 3.0) + math.exp(-3.5 - 2.0) + math.exp(-3.5 - 2.5 - 3.0)
+    assert abs(row.log_prob - math.log(spelt)) < 1e-4
+    ranked = model_file(tmp_path / "merges.model", [(x, float(-k), t) for k, (x, _, t) in enumerate(pieces)], 2)
+    assert abs(np.exp(np.concatenate(lm_scoring.load(ranked)[1:])).sum() - 1) < 1e-9
+    assert not lm_scoring.is_unigram(lm_scoring.sentencepiece.SentencePieceProcessor(model_file=vocabulary.PIECES))
+
+
 def test_expected_counts():
     pieces, trie, p, byte_p = toy()
     words, counts = [b"ababa", b"ba", b"xa"], np.array([3.0, 1.0, 2.0])
