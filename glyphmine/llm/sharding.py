@@ -106,7 +106,7 @@ def _merge(shards: int) -> Callable:
 
 def shard(docs: DataFrame, group: Column, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, part_groups: int = PART_GROUPS, fan: int = FAN) -> DataFrame:
     """(doc_id, shard, n_bytes) of every row; rows with one value of group share a shard."""
-    rows = common.tuned(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(group.cast("string"), F.lit("")).alias("key"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("bytes"))
+    rows = common.tuned(docs).select(common.whole(docs, id_col).alias("doc_id"), F.coalesce(group.cast("string"), F.lit("")).alias("key"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("bytes"))
     rows = common.materialize(rows, "weights")
     groups = common.materialize(rows.groupBy("key").agg(F.sum("bytes").alias("bytes")), "groups")
     parts = max(1, -(-groups.count() // part_groups))
