@@ -1,7 +1,7 @@
 """N-gram Jaccard join with count-vector R-trees.
 
 Every text becomes its set of hashed word n-grams; texts with equal sets are one class, known by a 64-bit sum of the set and its size.
-The n-grams of a class are hashed into at least as many groups, and its group counts are a point; points of unlike numbers of groups are compared in the lesser one. One tree over all points can't be searched in less
+The n-grams of a class are hashed into at least half as many groups, and its group counts are a point; points of unlike numbers of groups are compared in the lesser one. One tree over all points can't be searched in less
 than all pairs: points of unrelated texts lie equally far apart, so the maxima of a node of 16 of them bound the overlap with anything by nearly its
 size. So trees are built in cells, and a class goes to the cells of its n - ceil(t n) + 1 rarest n-grams: two sets that reach the threshold t share one of
 these, whichever order is used (prefix filter), so no link is lost. The order is by counts of all n-grams of all rows in a table of fixed size.
@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from . import common, text
 
 N, THRESHOLD = 3, 0.6
-#: Groups of a point: as many as the set has n-grams, a power of two within these.
+#: Groups of a point: half as many as the set has n-grams or more, a power of two within these.
 GROUPS, MOST_GROUPS = 256, 1 << 16
 #: Counters of the table that orders n-grams, and in how many chunks tasks hand on theirs.
-TABLE, _CHUNKS = 1 << 20, 64
+TABLE, _CHUNKS = 1 << 21, 64
 #: Postings of a part on average, and from how many on it is split; grams (and 256 for each set) of a block of a cell.
 PART, PART_LIMIT, BLOCK = 1 << 19, 1 << 21, 1 << 19
 _LEAF, _FULL, _WAYS = 16, 65_535, 4
@@ -67,8 +67,8 @@ def group_counts(grams: np.ndarray, groups: int) -> np.ndarray:
 
 
 def n_groups(size: int, least: int = GROUPS, most: int = MOST_GROUPS) -> int:
-    """Groups for a set of size n-grams: a power of two, at least one group for each n-gram, as fuller groups let unrelated sets seem to overlap."""
-    return max(least, min(most, 1 << max(0, size - 1).bit_length()))
+    """Groups for a set of size n-grams: a power of two, at least one for two n-grams, as unrelated sets in fuller groups seem to overlap."""
+    return max(least, min(most, 1 << max(0, -(-size // 2) - 1).bit_length()))
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
@@ -136,6 +136,11 @@ class CountRTree:
         return real[self._may(q, size, self.points[real], self.sizes[real], self.sizes[real], t)]
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on: the higher planes are mostly zeros and compress away."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
 _SURVEY = pa.schema([("id", pa.int64()), ("x", pa.int64()), ("n", pa.int32()), ("counts", pa.binary()), ("chunk", pa.int32()), ("tally", pa.binary())])
 
 
@@ -143,19 +148,28 @@ def _survey(n: int, groups: int, table: int):
     """Class and point of each row; after a task's rows, its tally of n-grams in the order's table, in chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = np.zeros(table, np.int64)
+        tally, held, size = np.zeros(table, np.int64), [], 0
+
+        def add() -> None:
+            if held:
+                np.add(tally, np.bincount((np.concatenate(held) % np.uint64(table)).astype(np.int64), minlength=table), out=tally)
+
         for batch in text.slices(batches):
-            out, held = [], []
+            out = []
             for id_, grams in zip(batch[0].to_pylist(), gram_sets(batch[1], n), strict=True):
                 if len(grams):
                     out.append((id_, _identity(grams), len(grams), pack_counts(group_counts(grams, n_groups(len(grams), groups))), None, None))
                     held.append(grams)
+                    size += len(grams)
+            if size > _FLUSH:
+                add()
+                held, size = [], 0
             if out:
-                tally += np.bincount((np.concatenate(held) % np.uint64(table)).astype(np.int64), minlength=table)
                 yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), _SURVEY, strict=True)], schema=_SURVEY)
+        add()
         if tally.any():
             parts = np.array_split(tally, min(_CHUNKS, table))
-            out = [(None, None, None, None, k, p.astype("<i8").tobytes()) for k, p in enumerate(parts)]
+            out = [(None, None, None, None, k, _planes(p)) for k, p in enumerate(parts)]
             yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), _SURVEY, strict=True)], schema=_SURVEY)
 
     return run
@@ -171,7 +185,7 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if now is not None:
                     yield pa.record_batch([[now], [total.tobytes()]], schema=schema)
                 now, total = chunk, np.zeros(len(tally.as_py()) // 8, np.int64)
-            total += np.frombuffer(tally.as_py(), "<i8")
+            total += np.frombuffer(tally.as_py(), np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
     if now is not None:
         yield pa.record_batch([[now], [total.tobytes()]], schema=schema)
 
@@ -189,11 +203,6 @@ _FIELDS = np.dtype([("tag", "<u4"), ("one", "<u4"), ("two", "<u4"), ("n", "<i4")
 _OWN = ("tag", "one", "two", "at")
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """The first bytes of all values, then the second ones, and so on: the higher planes are mostly zeros and compress away."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
-
-
 def _pack(postings: np.ndarray) -> bytes:
     """The classes of runs of postings once each, and the postings' other fields, field by field."""
     first = np.flatnonzero(np.concatenate([[True], (postings["x"][1:] != postings["x"][:-1]) | (postings["n"][1:] != postings["n"][:-1])]))

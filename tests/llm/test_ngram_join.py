@@ -136,7 +136,7 @@ def test_full_groups_never_prune_a_partner():
 
 def test_points_fold_to_fewer_groups():
     s = np.random.default_rng(3).integers(0, 2**63, 5000, dtype=np.uint64)
-    assert ngram_join.n_groups(5000) == 8192 and ngram_join.n_groups(1) == 256 and ngram_join.n_groups(10**7) == 1 << 16
+    assert ngram_join.n_groups(5000) == 4096 and ngram_join.n_groups(1) == 256 and ngram_join.n_groups(10**7) == 1 << 16
     assert (ngram_join.fold(ngram_join.group_counts(s, 8192), 512) == ngram_join.group_counts(s, 512)).all()
 
 
