@@ -103,7 +103,11 @@ def declarations(spark: SparkSession, specs: list[SourceSpec], files: DataFrame,
 
 def index_sources(spark: SparkSession, specs: list[SourceSpec], rules: Rules) -> CodeIndex:
     """The whole index of some snapshots; its tables are written once in the shared folder."""
-    files = scan_all(spark, specs)
+    return index_files(spark, specs, scan_all(spark, specs), rules)[0]
+
+
+def index_files(spark: SparkSession, specs: list[SourceSpec], files: DataFrame, rules: Rules) -> tuple[CodeIndex, DataFrame]:
+    """(index, parsed files) of rows as sources.snapshots.fingerprinted gives them."""
     parsed = parse_files(files)
     tables, nodes = declarations(spark, specs, files, parsed, rules)
     tables = {name: materialize(df, name) for name, df in tables.items()}
@@ -111,7 +115,17 @@ def index_sources(spark: SparkSession, specs: list[SourceSpec], rules: Rules) ->
     refs = build_references(idx, nodes, rules)
     for name in ("symbol_references", "method_calls", "type_references"):
         idx.tables[name] = materialize(getattr(refs, name), name)
-    return idx
+    return idx, parsed
+
+
+def parse_statistics(parsed: DataFrame) -> DataFrame:
+    """(source_id, n_ok, n_partial, n_failed, n_types, n_duplicate_types): files by parse status, types kept, and types left out as an earlier file has their full name."""
+    status = lambda s: F.count_if(F.col("parse_status") == s)
+    files = parsed.groupBy("source_id").agg(status("OK").alias("n_ok"), status("PARTIAL").alias("n_partial"), status("FAILED").alias("n_failed"))
+    named = parsed.select("source_id", F.explode("types.full_name").alias("full_name")).groupBy("source_id", "full_name").agg(F.count("*").alias("n"))
+    types = named.groupBy("source_id").agg(F.count("*").alias("n_types"), F.sum(F.col("n") - 1).alias("n_duplicate_types"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return files.join(types, "source_id", "left").select("source_id", "n_ok", "n_partial", "n_failed", zero("n_types"), zero("n_duplicate_types"))
 
 
 def identity(specs: list[SourceSpec]) -> dict[str, str]:
@@ -137,4 +151,4 @@ def build_index(spark: SparkSession, specs: list[SourceSpec], path: str, rules:
     return "CREATED"
 
 
-__all__ = ["BuildError", "build_index", "declarations", "identity", "index_sources", "parse_files"]
+__all__ = ["BuildError", "build_index", "declarations", "identity", "index_files", "index_sources", "parse_files", "parse_statistics"]

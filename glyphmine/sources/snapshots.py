@@ -33,10 +33,15 @@ def scan(spark: SparkSession, spec: SourceSpec, pattern: str = "*.cs") -> DataFr
     """(source_id, relative_path, filename, extension, size, sha256, line_count, content) of all files below a folder."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(spec.path)
     path = relative_path("path", spec.path)
-    name = F.element_at(F.split(path, "/"), -1)
-    return raw.select(
-        F.lit(spec.source_id).alias("source_id"), path.alias("relative_path"), name.alias("filename"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("extension"),
-        F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), line_count(F.decode("content", "ISO-8859-1")).alias("line_count"), "content",
+    return fingerprinted(raw.select(F.lit(spec.source_id).alias("source_id"), path.alias("relative_path"), F.col("length").alias("size"), "content"))
+
+
+def fingerprinted(files: DataFrame) -> DataFrame:
+    """Rows (source_id, relative_path, size, content) with filename, extension, sha256 and line_count."""
+    name = F.element_at(F.split("relative_path", "/"), -1)
+    return files.select(
+        "source_id", "relative_path", name.alias("filename"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("extension"),
+        "size", F.sha2("content", 256).alias("sha256"), line_count(F.decode("content", "ISO-8859-1")).alias("line_count"), "content",
     )
 
 
