@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: How deep nested generic arguments may be.
-GENERIC_DEPTH = 8
+
+
+def _until_none(c: Column, opening: Column, pattern: str) -> Column:
+    """c with pattern removed again and again: as many rounds as there are opening brackets, of which each round removes the innermost."""
+    rounds = F.aggregate(F.sequence(F.lit(1), F.greatest(opening, F.lit(1))), c, lambda x, _: F.regexp_replace(x, pattern, ""))
+    return F.when(opening > 0, rounds).otherwise(c)
+
+
+def _times(c: Column, *marks: str) -> Column:
+    """How often the marks occur."""
+    return F.length(c) - F.length(F.translate(c, "".join(marks), ""))
+
 
 
 def ascii_lower(c: Column) -> Column:
@@ -42,9 +50,10 @@ def classify_string(c: Column) -> Column:
     )
 
 
-def strip_generics(c: Column, depth: int = GENERIC_DEPTH) -> Column:
-    """Without <...>, innermost first, up to depth levels."""
-    return reduce(lambda x, _: F.regexp_replace(x, r"<[^<>]*>", ""), range(depth), c)
+def strip_generics(c: str | Column) -> Column:
+    """Without <...>, innermost first, however deep."""
+    c = F.col(c) if isinstance(c, str) else c
+    return _until_none(c, _times(c, "<"), r"<[^<>]*>")
 
 
 def simple_name(c: Column) -> Column:
@@ -65,7 +74,7 @@ def arity(signature: Column, parity: bool = False) -> Column:
     inner = parameter_text(signature)
     if parity:
         return F.floor(F.length(inner) / 2).cast("int")
-    flat = reduce(lambda x, _: F.regexp_replace(x, r"<[^<>]*>|\[[^\[\]]*\]|\([^()]*\)", ""), range(GENERIC_DEPTH), inner)
+    flat = _until_none(inner, _times(inner, "<", "[", "("), r"<[^<>]*>|\[[^\[\]]*\]|\([^()]*\)")
     return F.when(F.trim(inner) == "", 0).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(","), F.lit(""))) + 1).cast("int")
 
 
@@ -74,10 +83,11 @@ _STAGES, _ENDS = "beta alpha pre rc".split(), "new final stable pre beta alpha r
 _VERSION = rf"{_GAP}?(?:v|{'|'.join(_STAGES)})?\d+(?:(?:\.|{_GAP})\d+)*\+?(?:{_GAP}?(?:{'|'.join(_ENDS)}))?$"
 
 
-def normalize_name(c: Column, rounds: int = 6) -> Column:
-    """Folder name to identifier: lower case, dashes for spaces and underscores, version endings stripped; never empty."""
+def normalize_name(c: Column) -> Column:
+    """Folder name to identifier: lower case, dashes for spaces and underscores, version endings stripped until none is left; never empty."""
     start = F.replace(F.lower(F.trim(c)), F.lit(" "), F.lit("-"))
-    bare = reduce(lambda x, _: F.regexp_replace(F.regexp_replace(x, _VERSION, ""), r"[_\- ]+$", ""), range(rounds), start)
+    # each round shortens the name or leaves it, so its length bounds the rounds
+    bare = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(start), F.lit(1))), start, lambda x, _: F.regexp_replace(F.regexp_replace(x, _VERSION, ""), r"[_\- ]+$", ""))
     bare = F.replace(bare, F.lit("_"), F.lit("-"))
     return F.when(bare == "", start).otherwise(bare)
 

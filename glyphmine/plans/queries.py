@@ -68,9 +68,12 @@ def _(spark, d):
     return search.search_properties(index(spark, d), "F_", 25)
 
 
-@query("like_parity_underscore", f"SELECT t.full_name AS type_full, signature, m.start_line, relative_path, s.source_id FROM {_MEMBER.format('methods')} AND {_LOW.format('m.name')} LIKE '%do\\_mach%' ORDER BY t.full_name, m.signature, s.source_id, m.id LIMIT 20")
+# names that hold a backslash, which the parity form takes the escape for; half of them lack the one character after it
+@query("like_parity_underscore", f"SELECT t.full_name AS type_full, signature, m.start_line, relative_path, s.source_id FROM {_MEMBER.format('methods')} AND {_LOW.format(chr(39).join(['replace(m.name, ', 'Do_', ', CASE WHEN m.id % 2 = 0 THEN ', 'Do' + chr(92) + '-', ' ELSE ', 'Do' + chr(92), ' END)']))} LIKE '%do\\_mach%' ORDER BY t.full_name, m.signature, s.source_id, m.id LIMIT 20")
 def _(spark, d):
-    return search.search_methods(index(spark, d), "Do_MACH", parity=True)
+    idx = index(spark, d)
+    idx.tables["methods"] = idx.methods.withColumn("name", F.replace("name", F.lit("Do_"), F.when(F.col("id") % 2 == 0, "Do\\-").otherwise("Do\\")))
+    return search.search_methods(idx, "Do_MACH", parity=True)
 
 
 _CLASS = r"CASE WHEN value = '' THEN 'other' WHEN contains(value, '/') OR contains(value, '\') THEN 'path_like' WHEN regexp_matches(value, '\s') THEN 'localization_like' WHEN regexp_full_match(value, '[a-zA-Z_]\w*') THEN 'possible_identifier' WHEN regexp_full_match(value, '[a-zA-Z0-9][-.\w]*') AND (contains(value, '_') OR contains(value, '.')) THEN 'possible_asset_id' ELSE 'other' END"
@@ -177,9 +180,12 @@ def _(spark, d):
     return graph.derived(index(spark, d), spark.range(9, 10)).select("root", "source_id", "full_name")
 
 
-@query("derived_recursive", f"{_DOWN.format(5)}, least AS (SELECT node, min(depth) AS depth FROM down GROUP BY node) SELECT CAST(5 AS BIGINT) AS root, depth, s.source_id, t.full_name FROM least JOIN m_types t ON t.id = node JOIN m_sources s ON s.id = t.source_id WHERE depth > 0")
+_ORDERED = "e AS (SELECT i.target_type_id AS src, t.id AS dst, row_number() OVER (PARTITION BY i.target_type_id ORDER BY s.source_id, t.full_name, t.id) AS nth FROM m_inheritance i JOIN m_types t ON t.id = i.type_id JOIN m_sources s ON s.id = t.source_id WHERE i.target_type_id IS NOT NULL), walk(node, depth, way) AS (SELECT CAST(5 AS BIGINT), 0, CAST([] AS BIGINT[]) UNION ALL SELECT dst, depth + 1, list_append(way, nth) FROM walk JOIN e ON src = node)"
+
+
+@query("derived_recursive", f"{_ORDERED} SELECT CAST(5 AS BIGINT) AS root, depth, pos, s.source_id, t.full_name FROM (SELECT node, depth, row_number() OVER (ORDER BY depth, way) - 1 AS pos FROM walk) JOIN m_types t ON t.id = node JOIN m_sources s ON s.id = t.source_id WHERE depth > 0")
 def _(spark, d):
-    return graph.derived(index(spark, d), spark.range(5, 6), recursive=True).select("root", "depth", "source_id", "full_name")
+    return graph.derived(index(spark, d), spark.range(5, 6), recursive=True).select("root", "depth", "pos", "source_id", "full_name")
 
 
 @query("derived_cycle", "e AS (SELECT target_type_id AS src, type_id AS dst FROM m_inheritance WHERE target_type_id IS NOT NULL UNION ALL SELECT CAST(21 AS BIGINT), CAST(0 AS BIGINT)), walk(node) AS (SELECT CAST(7 AS BIGINT) UNION SELECT dst FROM walk JOIN e ON src = node) SELECT node FROM walk")
@@ -201,6 +207,14 @@ def _(spark, d):
     return graph.type_chain(index(spark, d)).select("root", "node", "pos")
 
 
+# a second base for every type: diamonds, where the order of bases decides which comes first
+@query("type_chain_diamond", "WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 3 AS dst, 1 AS nth FROM part WHERE p_partkey > 0 UNION ALL SELECT p_partkey, p_partkey // 2, 2 FROM part WHERE p_partkey > 0), walk(root, node, depth, way) AS (SELECT p_partkey, p_partkey, 0, CAST([] AS INTEGER[]) FROM part UNION ALL SELECT root, dst, depth + 1, list_append(way, nth) FROM walk JOIN e ON src = node), first AS (SELECT *, row_number() OVER (PARTITION BY root, node ORDER BY depth, way) AS met FROM walk) SELECT root, node, depth, row_number() OVER (PARTITION BY root ORDER BY depth, way) - 1 AS pos FROM first WHERE met = 1", plain=True)
+def _(spark, d):
+    k = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"))
+    base = lambda by, nth: k.filter("id > 0").select(F.col("id").alias("src"), F.floor(F.col("id") / by).alias("dst"), F.lit(nth).alias("ordinal"))
+    return graph.ordered_reachable(base(3, 1).unionByName(base(2, 2)), k)
+
+
 _OUTSIDE = "outside AS (SELECT DISTINCT type_id FROM m_inheritance WHERE target_type_id IS NULL AND string_split(target_name, '.')[1] = 'UnityEngine')"
 
 
@@ -458,16 +472,17 @@ def _(spark, d):
     return s.select("signature", T.arity(F.col("signature")).alias("arity"), T.arity(F.col("signature"), parity=True).alias("arity_parity"))
 
 
-@query("strip_generics", "SELECT DISTINCT 'A<B<' || p_type || '>,C>.' || p_name AS text, 'A.' || p_name AS stripped FROM part", plain=True)
+@query("strip_generics", "SELECT DISTINCT 'A<B<' || p_type || '>,C>.' || p_name AS text, 'A.' || p_name AS stripped FROM part UNION SELECT 'X' || repeat('<B', p_size) || repeat('>', p_size) || '.' || p_name, 'X.' || p_name FROM part", plain=True)
 def _(spark, d):
-    text = F.concat(F.lit("A<B<"), "p_type", F.lit(">,C>."), "p_name")
-    return spark.read.parquet(f"{d}/part.parquet").select(text.alias("text"), T.strip_generics(text).alias("stripped")).distinct()
+    deep = F.concat(F.lit("X"), F.expr("repeat('<B', p_size)"), F.expr("repeat('>', p_size)"), F.lit("."), "p_name")
+    text = F.explode(F.array(F.concat(F.lit("A<B<"), "p_type", F.lit(">,C>."), "p_name"), deep))
+    return spark.read.parquet(f"{d}/part.parquet").select(text.alias("text")).distinct().select("text", T.strip_generics("text").alias("stripped"))
 
 
-@query("normalize_name", "SELECT DISTINCT p_name || '_v' || p_size || '.2-beta' AS raw, replace(p_name, ' ', '-') AS id FROM part", plain=True)
+@query("normalize_name", "SELECT DISTINCT p_name || '_v' || p_size || '.2-beta' AS raw, replace(p_name, ' ', '-') AS id FROM part UNION SELECT p_name || repeat(' v1.2-rc', p_size % 12 + 1), replace(p_name, ' ', '-') FROM part", plain=True)
 def _(spark, d):
-    raw = F.concat("p_name", F.lit("_v"), "p_size", F.lit(".2-beta"))
-    return spark.read.parquet(f"{d}/part.parquet").select(raw.alias("raw"), T.normalize_name(raw).alias("id")).distinct()
+    raw = F.explode(F.array(F.concat("p_name", F.lit("_v"), "p_size", F.lit(".2-beta")), F.concat("p_name", F.expr("repeat(' v1.2-rc', p_size % 12 + 1)"))))
+    return spark.read.parquet(f"{d}/part.parquet").select(raw.alias("raw")).distinct().select("raw", T.normalize_name(F.col("raw")).alias("id"))
 
 
 @query("logical_keys", "SELECT c.id, CASE WHEN c.resolution_status = 'resolved' THEN 'method:' || s.source_id || ':' || t.full_name || '.' || m.signature ELSE '?' || c.callee_name END AS logical_key FROM m_method_calls c LEFT JOIN m_methods m ON m.id = c.callee_method_id LEFT JOIN m_types t ON t.id = m.type_id LEFT JOIN m_sources s ON s.id = t.source_id")

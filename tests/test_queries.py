@@ -10,7 +10,7 @@ from glyphmine.plans.queries import QUERIES, SQL
 from .compare import SF, same
 
 #: Results that may be empty on the smallest tables.
-MAY_BE_EMPTY = {"duplicate_keys", "outside_domain", "overrides", "catalog_problems", "like_parity_underscore", "search_fields", "search_strings"}
+MAY_BE_EMPTY = {"duplicate_keys", "outside_domain", "overrides", "catalog_problems", "search_fields", "search_strings"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
