@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..stage import write_text
 from .quality import duplicates, missing_keys, outside_domain, symmetric_difference
 
 TIERS, CONFIDENCES, ROLES = ("A", "B", "C"), ("Verified", "Mostly Verified", "Partial"), ("primary", "secondary")
 PATTERN_TIERS, PATTERN_STATUSES = ("S", "A"), ("Inferred", "Mostly Verified", "Strong Verified", "Verified")
+SUMMARY_CHARS = 80
 FLAT = "name tier harmony ui assets persistence".split()
 
 
@@ -38,6 +40,42 @@ def roll_up(rows: DataFrame, by: str, member: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(member)).alias("members"))
 
 
+def candidate_rows(catalog: DataFrame) -> DataFrame:
+    """(pattern_id, goal, system, mod_id, file, symbol, reason, confidence): a row for each of an entry's patterns (id, goal); the reason is the summary's first 80 characters."""
+    sure = F.when(F.col("confidence") == "Verified", "verified").otherwise("inferred")
+    system = F.coalesce(F.try_element_at("primary_systems", F.lit(1)), F.lit("Utility"))
+    rows = catalog.withColumn("p", F.explode("patterns"))
+    return rows.select(
+        F.concat(F.lit("candidate:"), "p.id").alias("pattern_id"), "p.goal", system.alias("system"), F.col("source_id").alias("mod_id"), F.col("profile").alias("file"), F.lit("").alias("symbol"),
+        F.substring("summary", 1, SUMMARY_CHARS).alias("reason"), sure.alias("confidence"),
+    )
+
+
+def write_catalog(catalog: DataFrame, folder: str) -> list[str]:
+    """catalog.json (an array), catalog.csv (lists joined by pipes), system-matrix.csv (sorted by all columns) and pattern-candidates.jsonl, each one file; what was written.
+
+    Rows are joined into texts by Spark in their order, so each file is one cell of one row; a catalog is written by hand and has dozens of entries.
+    """
+    flat, matrix = flat_catalog(catalog), system_matrix(catalog)
+
+    def text(rows: DataFrame, line: Column, order: list[str], head: str = "", between: str = "\n", tail: str = "\n") -> str:
+        lines = rows.select(F.struct(*order, line.alias("__line")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+        return head + lines.select(F.array_join(F.transform("xs", lambda x: x["__line"]), between)).first()[0] + tail
+
+    as_csv = lambda df: F.to_csv(F.struct(*df.columns), {"quoteAll": "false", "escape": '"'})
+    as_json = lambda df: F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    files = {
+        "catalog.json": text(catalog, as_json(catalog), ["source_id"], "[\n", ",\n", "\n]\n"), "catalog.csv": text(flat, as_csv(flat), ["mod_id"], ",".join(flat.columns) + "\n"),
+        "system-matrix.csv": text(matrix, as_csv(matrix), matrix.columns, ",".join(matrix.columns) + "\n"),
+    }
+    if "patterns" in catalog.columns:
+        candidates = candidate_rows(catalog)
+        files["pattern-candidates.jsonl"] = text(candidates, as_json(candidates), ["mod_id", "pattern_id"])
+    for name, body in files.items():
+        write_text(catalog.sparkSession, f"{folder.rstrip('/')}/{name}", body)
+    return sorted(files)
+
+
 def _as_problems(rule: str, rows: DataFrame, column: str) -> DataFrame:
     return rows.select(F.lit(rule).alias("rule"), F.col(column).cast("string").alias("subject"))
 

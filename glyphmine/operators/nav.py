@@ -14,6 +14,7 @@ from ..stage import materialize
 from .graph import reachable
 
 LIMIT = 50
+TREE = "ord long, parent_ord long, level int, call string, status string, location string"
 
 
 def _origin(idx: CodeIndex, from_source: str | None) -> DataFrame:
@@ -107,24 +108,25 @@ def call_tree(idx: CodeIndex, method_id: int, depth: int = 3, limit: int = LIMIT
     bare = F.coalesce("callee_signature_hint", F.concat("callee_name", F.lit("()")))
     named = bare if parity else F.when(F.col("callee_method_id").isNull() & bare.startswith("("), F.concat("callee_name", bare)).otherwise(bare)
     text = F.concat(F.when(F.col("callee_source").isNull(), "").otherwise(F.concat(F.lit("["), "callee_source", F.lit("] "))), F.coalesce("declaring_type_hint", F.lit("?")), F.lit("."), named)
-    rows = calls.select(F.lit(0).alias("g"), F.col("caller_method_id").alias("src"), "nth", F.col("callee_method_id").alias("dst"), text.alias("call"), F.col("resolution_status").alias("status"), "location")
+    # identifiers go as text: pandas would turn a column of long integers and nulls to floats, which lose digits
+    rows = calls.select(F.lit(0).alias("g"), F.col("caller_method_id").cast("string").alias("src"), "nth", F.col("callee_method_id").cast("string").alias("dst"), text.alias("call"), F.col("resolution_status").alias("status"), "location")
 
     def walk(edges: pd.DataFrame) -> pd.DataFrame:
-        below: dict[int, list] = {}
+        below: dict[str, list] = {}
         for r in edges.sort_values(["src", "nth"]).itertuples():
             below.setdefault(r.src, []).append(r)
         out, met = [], set()
 
-        def expand(node: int, level: int, parent: int) -> Iterator[None]:
+        def expand(node: str, level: int, parent: int) -> Iterator[None]:
             if level >= depth or node in met:
                 return
             met.add(node)
             for r in below.get(node, []):
                 out.append((len(out), parent, level, r.call, r.status, r.location))
                 if not pd.isna(r.dst):
-                    expand(int(r.dst), level + 1, len(out) - 1)
+                    expand(r.dst, level + 1, len(out) - 1)
 
-        expand(method_id, 0, -1)
+        expand(str(method_id), 0, -1)
         return pd.DataFrame(out, columns=["ord", "parent_ord", "level", "call", "status", "location"])
 
-    return rows.groupBy("g").applyInPandas(walk, "ord long, parent_ord long, level int, call string, status string, location string")
+    return rows.groupBy("g").applyInPandas(walk, TREE)

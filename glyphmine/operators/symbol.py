@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..model import CodeIndex
@@ -77,16 +77,22 @@ def _member(idx: CodeIndex, owner: Row, member: str, signature: str) -> dict:
     return {"kind": "not_found"}
 
 
-def refs(idx: CodeIndex, spec: str, **how) -> DataFrame:
-    """(location, kind, status, from_source) of the uses of a symbol; how: limit, include_all and from_source as in refs_type."""
-    found = lookup(idx, spec)
+def refs_of(idx: CodeIndex, found: dict, **how) -> DataFrame:
+    """The uses of what lookup() found, a single symbol."""
+    row = found["row"]
     if found["kind"] == "type":
-        return refs_type(idx, found["row"].id, name=found["row"].name, **how)
-    if found["kind"] in ("field", "property"):
-        return refs_member(idx, found["kind"], found["row"].id, name=found["row"].name, **how)
+        return refs_type(idx, row.id, name=row.name, **how)
     if found["kind"] == "method":
-        return refs_method(idx, found["row"].id, name=found["row"].name, **how)
-    raise SymbolError(f"{spec}: {found['kind']} {', '.join(found.get('candidates', []))}")
+        return refs_method(idx, row.id, name=row.name, **how)
+    return refs_member(idx, found["kind"], row.id, name=row.name, **how)
+
+
+def refs(idx: CodeIndex, spec: str, **how) -> DataFrame:
+    """(location, kind, status, from_source) of the uses of a symbol; how: limit, include_all and from_source as in refs_type. An error where there is no single one."""
+    found = lookup(idx, spec)
+    if "row" not in found:
+        raise SymbolError(f"{spec}: {found['kind']} {', '.join(found.get('candidates', []))}")
+    return refs_of(idx, found, **how)
 
 
 def callers_of(idx: CodeIndex, spec: str, **how) -> DataFrame:
@@ -108,7 +114,10 @@ def symbol_cards(idx: CodeIndex, types: DataFrame) -> DataFrame:
         return mine.groupBy(F.col("type_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
 
     direct = idx.inheritance.select(F.col("target_type_id").alias("id"), F.col("type_id").alias("sub")).join(keys, "id", "left_semi")
-    below = direct.join(idx.types.select(F.col("id").alias("sub"), "full_name"), "sub").groupBy("id").agg(F.slice(F.array_sort(F.collect_list("full_name")), 1, MAX_DERIVED).alias("derived"))
+    # Spark keeps the first rows of each group before the shuffle, so a base with millions of subtypes sends a few from each task
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("full_name", "sub"))
+    first = direct.join(idx.types.select(F.col("id").alias("sub"), "full_name"), "sub").withColumn("nth", nth).filter(F.col("nth") <= MAX_DERIVED)
+    below = first.groupBy("id").agg(F.array_sort(F.collect_list("full_name")).alias("derived"))
     card = chosen.withColumnRenamed("source_id", "source_key").join(sources, "source_key").join(files, "file_id")
     for part in (
         gathered(idx.inheritance, "bases", "relation", "target_name"),
@@ -154,11 +163,21 @@ def safe_path(path: str) -> str:
     return clean
 
 
+def place(location: str) -> tuple[str, int]:
+    """(path, line) of path[:line], line 1 where it isn't given; an error for a malformed line or a path that may not be shown."""
+    path, mark, line = location.rpartition(":")
+    if mark and not (line.isascii() and line.isdigit()):
+        raise SymbolError(f"invalid location: {location}")
+    return safe_path((path if mark else location).replace(chr(92), "/").strip().rstrip("/")), min(int(line), (1 << 31) - 1) if mark else 1
+
+
 def show(files: DataFrame, spec: str, context: int = 5) -> DataFrame:
-    """The window of path[:line]."""
-    path, _, line = spec.partition(":")
-    places = files.sparkSession.createDataFrame([(safe_path(path), int(line or 1))], "path string, line int")
-    return window(files, places, context)
+    """The window of path[:line] in files (path, content); an error where there is no such file."""
+    path, line = place(spec)
+    mine = files.filter(F.col("path") == path)
+    if mine.isEmpty():
+        raise SymbolError(f"file not found in snapshot: {path}")
+    return window(mine, files.sparkSession.createDataFrame([(path, line)], "path string, line int"), context)
 
 
 def refs_with_context(idx: CodeIndex, files: DataFrame, spec: str, context: int = 3, **how) -> DataFrame:

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import CodeIndex
+from ..operators import symbol, verbs
 from ..operators.resolve import Rules, type_names
 from ..sources.snapshots import SourceSpec, fingerprinted
 from . import build
 from .queries import query
 
-#: @K is the number of a type, @P that of its base, @N and @M their namespaces, @S a size, @V the number of its method and @W of its base's; ` stands for a backslash.
+#: @K is the number of a type, @P that of its base, @N and @M their namespaces, @S a size, @V the number of its method and @W of its base's, @B the base,
+#: @U a using; @C and @O are a modifier or nothing; ` stands for a backslash.
 TEMPLATE = '''@U
 namespace N@N
 {
@@ -48,7 +50,7 @@ namespace N@N
             this.link.link.f0 = x.Twice(2).Count;
             if (all[0] == (link ?? z)) { checked { z.link--; } }
         }
-        public N@M.T@P Twice(int n) { return n > 1 ? Twice(n - 1) : null; }
+        public @ON@M.T@P Twice(int n) { return n > 1 ? Twice(n - 1) : null; }
         public enum Mode { On, Off }
     }
 }
@@ -64,7 +66,7 @@ def _filled(template: str) -> str:
     text = "'" + template.replace("'", "''").replace("\n", "~") + "'"
     base = "CASE WHEN k = 0 THEN 'Root' ELSE 'N' || CAST(k DIV 3 % 5 AS STRING) || '.T' || CAST(k DIV 3 AS STRING) END"
     values = {
-        "@U": "CASE WHEN k % 2 = 0 THEN 'using UnityEngine;' ELSE 'using N1;' END", "@C": "CASE WHEN k % 7 = 0 THEN 'abstract ' ELSE '' END", "@B": base, "@K": "CAST(k AS STRING)", "@P": "CAST(k DIV 3 AS STRING)", "@N": "CAST(k % 5 AS STRING)",
+        "@U": "CASE WHEN k % 2 = 0 THEN 'using UnityEngine;' ELSE 'using N1;' END", "@O": "CASE WHEN k % 4 = 1 THEN 'override ' ELSE '' END", "@C": "CASE WHEN k % 7 = 0 THEN 'abstract ' ELSE '' END", "@B": base, "@K": "CAST(k AS STRING)", "@P": "CAST(k DIV 3 AS STRING)", "@N": "CAST(k % 5 AS STRING)",
         "@M": "CAST(k DIV 3 % 5 AS STRING)", "@S": "CAST(s AS STRING)", "@V": "CAST(k % 3 AS STRING)", "@W": "CAST(k DIV 3 % 3 AS STRING)", "`": "chr(92)", "~": "chr(10)",
     }
     for mark, value in values.items():
@@ -249,3 +251,34 @@ def _(spark, d):
     idx = built(spark, d)[0]
     files = idx.files.select(F.col("id").alias("from_file_id"), "relative_path")
     return idx.type_references.join(files, "from_file_id").select("relative_path", "line", "reference_kind", "target_name", "resolution_status")
+
+
+_SPECS = {
+    "N0.T0": "type", "game::T1": "type", "other::T1": "not_found", "N1.T1.Mode": "type", "Mode": "ambiguous", "N1.T1.Do1": "method", "N1.T1.Twice(int)": "method", "N1.T1.Twice(string)": "method", "T1.link": "field", "T1.Name": "property", "T1.Nope": "not_found",
+}
+
+
+@query("cs_lookup", "SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{k}')" for s, k in _SPECS.items()) + ") v(spec, kind)", plain=True)
+def _(spark, d):
+    idx = built(spark, d)[0]
+    return spark.createDataFrame([(s, symbol.lookup(idx, s)["kind"]) for s in _SPECS], "spec string, kind string")
+
+
+_FOUND = "'p' || k || '.cs:' || {0} AS location, '{1}' AS kind, 'resolved' AS status, 'game' AS from_source FROM r WHERE p = 0"
+
+
+@query("cs_refs", _union(*(_FOUND.format(line, kind) + (" AND k > 0" if kind == "inherit" else "") for line, kind in (
+    (4, "inherit"), (7, "field_type"), (8, "generic_argument"), (14, "return_type"), (15, "parameter_type"), (23, "instantiate"), (24, "cast"), (25, "type_use"), (25, "as"), (27, "typeof"), (28, "type_use"), (34, "return_type"),
+))), plain=True)
+def _(spark, d):
+    return verbs.refs(built(spark, d)[0], "game::N0.T0")["references"]
+
+
+@query("cs_derived", f"WITH RECURSIVE {_ROWS}, e AS (SELECT p AS src, k AS dst, row_number() OVER (PARTITION BY p ORDER BY me) AS nth FROM r WHERE k > 0), walk(node, depth, way) AS (SELECT CAST(1 AS BIGINT), 0, CAST([] AS BIGINT[]) UNION ALL SELECT dst, depth + 1, list_append(way, nth) FROM walk JOIN e ON src = node) SELECT depth, pos, 'game' AS source_id, me AS full_name FROM (SELECT *, row_number() OVER (ORDER BY depth, way) - 1 AS pos FROM walk) JOIN r ON k = node WHERE depth > 0", plain=True)
+def _(spark, d):
+    return verbs.derived(built(spark, d)[0], "N1.T1", recursive=True)["derived"]
+
+
+@query("cs_overrides", f"WITH {_ROWS} SELECT me AS full_name, 'Twice(int)' AS signature FROM r WHERE k % 4 = 1", plain=True)
+def _(spark, d):
+    return verbs.overrides(built(spark, d)[0], "N0.T0.Twice")["overrides"]

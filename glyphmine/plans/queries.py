@@ -354,6 +354,11 @@ def _(spark, d):
     return registry.diff(old, new, "key", F.col("v"))
 
 
+@query("registry_tally", f"SELECT status, count(*) AS n FROM ({SQL['registry_diff']}) GROUP BY status", plain=True)
+def _(spark, d):
+    return registry.tally(QUERIES["registry_diff"](spark, d))
+
+
 _LOADER = "SELECT s_suppkey AS source_id, CASE s_suppkey % 4 WHEN 0 THEN 'game' WHEN 1 THEN 'assembly' WHEN 2 THEN 'loader' ELSE 'mod' END AS kind, s_name AS h, CASE WHEN s_suppkey % 5 = 0 THEN s_nationkey + 1 ELSE s_nationkey END AS moved, s_nationkey AS kept FROM supplier"
 
 

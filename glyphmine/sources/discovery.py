@@ -199,3 +199,57 @@ def public_manifest(registry: dict[str, Any]) -> dict[str, Any]:
         elif r.get("kind") == "reference-mod":
             out["mods"].append({"id": name, "name": r.get("name"), "git_commit": r.get("commit"), "csharp_file_count": r.get("csharp_file_count", 0)})
     return out
+
+
+def registry_paths(registry: dict[str, Any]) -> list[str]:
+    """All places that a registry records: of a game its folder and assembly, of an assembly its file, of a loader its folder and assemblies, else the folder."""
+    found: list[str | None] = []
+    for r in (registry.get("sources") or {}).values():
+        kind = r.get("kind")
+        found += [(r.get("file") or {}).get("path")] if kind == "assembly" else [r.get("root_path") or r.get("path")]
+        if kind == "game":
+            found.append((r.get("assembly") or {}).get("path"))
+        elif kind == "loader":
+            found += [a.get("path") for a in r.get("assemblies") or []]
+    return [p for p in found if p]
+
+
+def registry_paths_valid(registry: dict[str, Any]) -> bool:
+    """Whether all of them still exist."""
+    return all(Path(p).exists() for p in registry_paths(registry))
+
+
+def discover(explicit: str | None = None, config: Path | None = None, environment: str | None = None, library: Path | None = None, game_folder: str | None = None, ask: Callable[[], str | None] | None = None) -> dict[str, Any]:
+    """root, origin and problems: a game's folder by the first way that gives one that exists.
+
+    The ways: named explicitly; game_root of a JSON configuration; an environment variable; a folder of some name in a library that a library file lists;
+    the answer to a question. A configuration that names no existing folder stays as it is, and the origin says so.
+    """
+    configured = read_json(config) if config else None
+    stale = bool(config and config.is_file()) and not Path((configured or {}).get("game_root") or "/nowhere/at/all").is_dir()
+
+    def in_library() -> str | None:
+        folders = library_folders(library.read_text(errors="replace")) if library and library.is_file() else []
+        return first_source([lambda f=f: os.path.join(f, "steamapps", "common", game_folder) for f in folders]) if game_folder else None
+
+    ways = {"explicit": lambda: explicit, "local-config": lambda: (configured or {}).get("game_root"), "environment": lambda: os.environ.get(environment) if environment else None, "library": in_library, "asked": lambda: ask() if ask else None}
+    for origin, way in ways.items():
+        path = (way() or "").strip().strip('"')
+        if path and Path(path).is_dir():
+            return {"root": path, "origin": origin + ("+stale-config-kept" if stale and origin != "explicit" else ""), "problems": []}
+    return {"root": None, "origin": "none" + ("+stale-config-kept" if stale else ""), "problems": ["game root not found"]}
+
+
+def doctor(found: dict[str, Any], registry: dict[str, Any] | None, loader: dict[str, Any] | None = None, mods: list[dict[str, Any]] | None = None, states: dict[str, str] | None = None) -> tuple[list[tuple[str, str]], bool]:
+    """([(check, state)], whether a game with its assembly is there): what discover(), a registry, the scans and the states of snapshots and indexes say, by name."""
+    game = next((r for r in ((registry or {}).get("sources") or {}).values() if r.get("kind") == "game"), {})
+    assembly = (game.get("assembly") or {}).get("path")
+    rows = [("Config", found["origin"]), ("Game", "OK" if found["root"] else "MISSING"), ("Assembly", "OK" if assembly and os.access(assembly, os.R_OK) else "FAIL (unreadable)" if assembly and Path(assembly).exists() else "MISSING")]
+    rows.append(("Loader", "OK" if loader and (loader.get("path") or loader.get("assemblies")) else "MISSING"))
+    rows.append(("Reference mods", "not configured" if mods is None else f"{len(mods)} detected"))
+    if registry is None:
+        rows.append(("Registry", "MISSING"))
+    else:
+        rows.append(("Registry", f"OK ({len(registry.get('sources') or {})} sources)" if registry_paths_valid(registry) else "STALE (recorded paths invalid)"))
+    rows += [(name, state.replace("OK-EXTRACTOR-CHANGED", "OK")) for name, state in (states or {}).items()]
+    return rows, rows[1][1] == "OK" and rows[2][1] == "OK"

@@ -56,3 +56,14 @@ def discard(*tables: DataFrame) -> None:
         sc = table.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(table.stage_path)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, on whatever file system the path names."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
