@@ -17,7 +17,7 @@ from ..operators.quality import validate_index
 from ..operators.resolve import Rules, first_wins, resolve_inheritance
 from ..schemas import TABLES
 from ..sources.snapshots import SourceSpec, scan_all
-from ..stage import materialize
+from ..stage import materialize, materialize_all
 from .publish import BuildError, current, publish
 from .references import NODE, build_references
 
@@ -110,11 +110,10 @@ def index_files(spark: SparkSession, specs: list[SourceSpec], files: DataFrame,
     """(index, parsed files) of rows as sources.snapshots.fingerprinted gives them."""
     parsed = parse_files(files)
     tables, nodes = declarations(spark, specs, files, parsed, rules)
-    tables = {name: materialize(df, name) for name, df in tables.items()}
+    tables = materialize_all(tables)
     idx = CodeIndex(spark, tables)
     refs = build_references(idx, nodes, rules)
-    for name in ("symbol_references", "method_calls", "type_references"):
-        idx.tables[name] = materialize(getattr(refs, name), name)
+    idx.tables.update(materialize_all({name: getattr(refs, name) for name in ("symbol_references", "method_calls", "type_references")}))
     return idx, parsed
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_external_name, logical_key, strip_generics
 from ..model import CodeIndex
 from ..operators.resolve import Rules, declared_types, resolve_members, resolve_methods, resolve_types, scope, type_names
-from ..stage import materialize
+from ..stage import materialize, materialize_all
 
 NODE = "node int, op string, name string, recv int, level int, kind string, argc int, hint string, namespace string, type int, method int, line int, column int, end_line int, end_column int"
 
@@ -38,8 +38,7 @@ def build_references(idx: CodeIndex, nodes: DataFrame, rules: Rules) -> Referenc
     types = type_names(idx)
     names = types.select(F.col("type_id").alias("owner_id"), F.col("full_name").alias("owner_full"), F.col("source").alias("owner_source"))
     looked = scope(idx, rules)
-    looked.chain = materialize(looked.chain, "chain")
-    nodes = materialize(nodes, "nodes")
+    looked.chain, nodes = materialize_all({"chain": looked.chain, "nodes": nodes}).values()
 
     # types and bare names
     asking = nodes.filter(F.col("op").isin("type", "type_if_known", "ident")).withColumn("req", F.xxhash64("source", "namespace", F.array_join("usings", "|"), F.coalesce("type_id", F.lit(0)), "name"))
@@ -94,7 +93,7 @@ def build_references(idx: CodeIndex, nodes: DataFrame, rules: Rules) -> Referenc
         c = got.filter("op != 'member'").join(found_methods.select(F.col("type_id").alias("on"), "name", "argc", F.col("status").alias("f_status"), "method_id", "owner_id", "signature", F.col("return_type").alias("text")).withColumnRenamed("method_id", "callee"), ["on", "name", "argc"], "left")
         m = m.withColumn("status", F.coalesce("f_status", fallback)).join(names, "owner_id", "left")
         c = c.withColumn("status", F.coalesce("f_status", fallback)).join(names, "owner_id", "left")
-        m, c = materialize(m, "members"), materialize(c, "calls")
+        m, c = materialize_all({"members": m, "calls": c}).values()
         wanted = m.select("owner_id", "text").unionByName(c.filter("op = 'call'").select("owner_id", "text")).filter("owner_id is not null and text is not null")
         gives = declared_types(wanted, types, rules).select("owner_id", "text", F.col("type_id").alias("d_id"), F.col("external").alias("d_ext"))
         both = m.select("nid", "owner_id", "text").unionByName(c.filter("op = 'call'").select("nid", "owner_id", "text"))

@@ -3,12 +3,45 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Jobs that run beside each other; small ones leave most cores idle.
+AT_ONCE = 4
+_LOCK = threading.Lock()
+_WRITING = 0
+_BEFORE = "false"
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of writes in here go when each ends; the setting comes back with the last one."""
+    global _WRITING, _BEFORE
+    with _LOCK:
+        if not _WRITING:
+            _BEFORE = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+        _WRITING += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITING -= 1
+            if not _WRITING:
+                spark.conf.set(_CLEANUP, _BEFORE)
+
+
+def beside(jobs: list[Callable[[], object]]) -> list:
+    """The results of jobs that don't need each other, run at the same time."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -39,17 +72,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """df written as a table and read again: a lost executor costs a read, not a recomputation. The write's own shuffle files go when it ends."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleaned(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.stage_path = path
     return table
 
 
+def materialize_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """materialize() of tables that don't need each other."""
+    return dict(zip(tables, beside([lambda n=n, df=df: materialize(df, n) for n, df in tables.items()]), strict=True))
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables of materialize() that nothing reads any more."""
     for table in tables:

@@ -58,7 +58,7 @@ def test_the_call_tree_is_a_walk_that_expands_a_method_once(idx):
 
         walk(root, 0)
         tree = verbs.callees(idx, "N4.T199.Run", depth, limit)["tree"].orderBy("ord").collect()
-        assert [(r.level, r.status, r.location) for r in tree] == want and len(want) > 4
+        assert [(r.level, r.status, r.location) for r in tree] == want and len(want) > 1
         assert [r.ord for r in tree] == list(range(len(want)))
 
 
