@@ -2,7 +2,7 @@
 
 A document of more than capacity tokens gives full sequences and a rest; nothing is cut away. Rests and short documents are items, and
 an item's length is rounded up to one of `bins` equal steps of the capacity. Patterns are the multisets of up to `depth` steps that fit the
-capacity. A non-negative least-squares fit finds how often each pattern must occur to reproduce the histogram of all items, with a row that
+capacity and leave at most SLACK of it, by default nothing, unused: sequences that small items could still fill are left to the residual. A non-negative least-squares fit finds how often each pattern must occur to reproduce the histogram of all items, with a row that
 charges unused steps; the counts are rounded down, fitted again on what is left, and the residual histogram
 is packed best fit, largest first, again as patterns with counts. The plan's size depends on bins alone, so the driver
 holds only a histogram and a few hundred patterns at any input size.
@@ -34,6 +34,8 @@ CAPACITY, BINS, DEPTH = 2048, 64, 4
 GROUP_DOCS = 50_000
 #: Weight of an unused step against a miscounted item, and fits before the residual is packed.
 WASTE, FITS = 0.05, 4
+#: Share of the capacity that a pattern may leave unused.
+SLACK = 0.0
 
 
 def patterns(bins: int, depth: int) -> np.ndarray:
@@ -80,6 +82,7 @@ def plan(histogram: np.ndarray, depth: int = DEPTH, waste: float = WASTE, fits:
     bins = len(histogram)
     left = np.array(histogram, np.int64)
     table = patterns(bins, depth)
+    table = table[table @ np.arange(1, bins + 1) >= (1 - SLACK) * bins]
     charge = waste * (bins - table @ np.arange(1, bins + 1))
     system = np.vstack([table.T, charge[None, :]]).astype(float)
     packs: list[tuple[int, list[int]]] = []

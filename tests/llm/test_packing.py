@@ -45,6 +45,56 @@ def test_plan_takes_every_item_once(histogram):
     assert taken == Counter({k + 1: n for k, n in enumerate(histogram) if n})
 
 
+def fewest(items: tuple[int, ...], capacity: int) -> int:
+    """The least number of sequences for a few items, by trying every place for each."""
+    best = len(items)
+
+    def place(k: int, room: tuple[int, ...]) -> None:
+        nonlocal best
+        if len(room) >= best:
+            return
+        if k == len(items):
+            best = len(room)
+            return
+        for at in {r: j for j, r in enumerate(room) if r >= items[k]}.values():
+            place(k + 1, tuple(sorted(room[:at] + (room[at] - items[k],) + room[at + 1 :])))
+        place(k + 1, tuple(sorted((*room, capacity - items[k]))))
+
+    place(0, ())
+    return best
+
+
+def first_fit_decreasing(items: list[int], capacity: int) -> int:
+    room: list[int] = []
+    for x in sorted(items, reverse=True):
+        for j, r in enumerate(room):
+            if r >= x:
+                room[j] -= x
+                break
+        else:
+            room.append(capacity - x)
+    return len(room)
+
+
+def test_plan_against_all_packings_of_a_few_items():
+    draw, over = random.Random(7), 0
+    for _ in range(150):
+        items = tuple(sorted((draw.randrange(1, 17) for _ in range(draw.randrange(1, 10))), reverse=True))
+        packs = sum(repeat for repeat, _ in packing.plan(np.bincount(items, minlength=17)[1:], depth=3))
+        least = fewest(items, 16)
+        assert least <= packs <= least + 1, items
+        over += packs > least
+    assert over <= 7
+
+
+def test_plan_is_about_as_good_as_first_fit_decreasing():
+    draw = random.Random(8)
+    for kind in (lambda: draw.randrange(1, 33), lambda: draw.choice([3, 5, 11, 16, 21]), lambda: min(32, 1 + int(draw.expovariate(0.15)))):
+        items = [kind() for _ in range(4000)]
+        packs = sum(repeat for repeat, _ in packing.plan(np.bincount(items, minlength=33)[1:], depth=4))
+        assert packs <= 1.01 * first_fit_decreasing(items, 32) + 1
+
+
 def test_nnls_meets_its_optimality_conditions():
     draw = np.random.default_rng(0)
     for _ in range(20):
