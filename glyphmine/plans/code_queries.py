@@ -5,13 +5,19 @@ The twins never see the text: they say from the rows what its declarations, call
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import CodeIndex
 from ..operators import symbol, verbs
 from ..operators.resolve import Rules, type_names
+from ..sources import snapshots
 from ..sources.snapshots import SourceSpec, fingerprinted
+from ..stage import file_system, materialize, shared_path
 from . import build
 from .queries import query
 
@@ -74,17 +80,46 @@ def _filled(template: str) -> str:
     return text
 
 
+#: Of each kind of file its path, its template and which parts have one.
+_KINDS = (("'p' || CAST(k AS STRING) || '.cs'", TEMPLATE, "true"), ("'z/again' || CAST(k AS STRING) || '.cs'", AGAIN, "k % 10 = 3"), ("'z/half' || CAST(k AS STRING) || '.cs'", HALF, "k % 100 = 4"), ("'z/nothing' || CAST(k AS STRING) || '.cs'", NOTHING, "k % 100 = 5"))
+
+
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_id, relative_path, filename, extension, size, sha256, line_count, content) of the rendered files."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
-    rows = part.selectExpr("'p' || CAST(k AS STRING) || '.cs' AS path", f"{_filled(TEMPLATE)} AS text")
-    rows = rows.unionByName(part.filter("k % 10 = 3").selectExpr("'z/again' || CAST(k AS STRING) || '.cs' AS path", f"{_filled(AGAIN)} AS text"))
-    rows = rows.unionByName(part.filter("k % 100 = 4").selectExpr("'z/half' || CAST(k AS STRING) || '.cs' AS path", f"{_filled(HALF)} AS text"))
-    rows = rows.unionByName(part.filter("k % 100 = 5").selectExpr("'z/nothing' || CAST(k AS STRING) || '.cs' AS path", f"{_filled(NOTHING)} AS text"))
+    rows = reduce(DataFrame.unionByName, (part.filter(which).selectExpr(f"{path} AS path", f"{_filled(text)} AS text") for path, text, which in _KINDS))
     content = F.col("text").cast("binary")
     return fingerprinted(rows.select(F.lit("game").alias("source_id"), F.col("path").alias("relative_path"), F.octet_length("text").cast("long").alias("size"), content.alias("content")))
 
 
+def write_sources(files: DataFrame, folder: str) -> int:
+    """Write rows (relative_path, content) as files below a folder, each task its own; how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = file_system(folder)
+        for batch in batches:
+            for path, content in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+                fs.create_dir(f"{root}/{path}".rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{root}/{path}") as out:
+                    out.write(content)
+            yield pa.record_batch([batch[0]], names=["path"])
+
+    return materialize(files.select("relative_path", "content").mapInArrow(run, "path string"), "sources").count()
+
+
+_FOLDERS: dict[tuple[str, str], str] = {}
+
+
+def source_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder that holds the rendered files, written once for a session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _FOLDERS:
+        folder = shared_path(spark, "snapshot")
+        write_sources(source_files(spark, sf_dir), folder)
+        _FOLDERS[key] = folder
+    return _FOLDERS[key]
+
+
 _BUILT: dict[tuple[str, str], tuple[CodeIndex, DataFrame]] = {}
 
 
@@ -282,3 +317,16 @@ def _(spark, d):
 @query("cs_overrides", f"WITH {_ROWS} SELECT me AS full_name, 'Twice(int)' AS signature FROM r WHERE k % 4 = 1", plain=True)
 def _(spark, d):
     return verbs.overrides(built(spark, d)[0], "N0.T0.Twice")["overrides"]
+
+
+_DUCKDB_TEXTS = "t AS (" + " UNION ALL ".join(f"SELECT {path} AS path, {_filled(text)} AS text FROM (SELECT p_partkey AS k, p_size AS s FROM part) WHERE {which}" for path, text, which in _KINDS).replace(" DIV ", " // ") + ")"
+
+
+@query("cs_scan", f"WITH {_DUCKDB_TEXTS} SELECT 'game' AS source_id, path AS relative_path, string_split(path, '/')[-1] AS filename, '.cs' AS extension, strlen(text) AS size, sha256(text) AS sha256, length(text) - length(replace(text, chr(10), '')) + 1 AS line_count FROM t", plain=True)
+def _(spark, d):
+    return snapshots.scan(spark, SourceSpec("game", source_folder(spark, d))).drop("content")
+
+
+@query("cs_fingerprint", f"WITH {_DUCKDB_TEXTS} SELECT count(*) AS file_count, CAST(sum(strlen(text)) AS BIGINT) AS total_size, count(*) AS csharp_file_count, 0 AS project_files, 0 AS assembly_files FROM t", plain=True)
+def _(spark, d):
+    return snapshots.fingerprint(spark, source_folder(spark, d)).drop("latest_mtime")

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -101,3 +102,16 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
+
+
+_open = pyarrow.fs.FileSystem.from_uri
+
+
+def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder that Hadoop names, and the path in it; tasks use it for files of their own."""
+    scheme, _, rest = uri.partition(":")
+    if scheme in ("s3a", "s3n"):
+        return _open(f"s3:{rest}")
+    if scheme == "dbfs":
+        return pyarrow.fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    return _open(uri)

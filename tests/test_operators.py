@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 from collections import deque
 
 from pyspark.sql import functions as F
 
+from glyphmine import stage
 from glyphmine.functions import text as T
 from glyphmine.model import CodeIndex
 from glyphmine.operators import catalog, graph, quality, symbol
@@ -104,3 +106,17 @@ def test_extractions_need_a_type_of_the_loader(spark):
     assert not found.ok and found.problems == ["empty sample F00.cs", "binary content in sample F10.cs", "no C# syntax in sample F20.cs"]
     none = quality.validate_extraction(spark.createDataFrame([], "relative_path string, content binary"), True).first()
     assert not none.ok and none.problems == ["no .cs files produced", "no NeoModLoader-namespace types found in output"] and none.total_bytes == 0
+
+
+def test_tables_are_written_side_by_side_and_dropped(spark):
+    before = spark.conf.get(stage._CLEANUP, "false")
+    tables = stage.materialize_all({f"t{k}": spark.range(k * 10).repartition(3) for k in range(6)})
+    assert {n: t.count() for n, t in tables.items()} == {f"t{k}": k * 10 for k in range(6)} and spark.conf.get(stage._CLEANUP, "false") == before
+    stage.discard(tables["t1"])
+    folder = stage.file_system(tables["t2"].stage_path)[1]
+    assert Path(folder).is_dir() and not Path(stage.file_system(tables["t1"].stage_path)[1]).exists()
+
+
+def test_names_of_file_systems(monkeypatch):
+    monkeypatch.setattr(stage, "_open", lambda uri: (None, uri))
+    assert [stage.file_system(u)[1] for u in ("s3a://bucket/x", "hdfs://name/x", "dbfs:/tmp/x")] == ["s3://bucket/x", "hdfs://name/x", "/dbfs/tmp/x"]
