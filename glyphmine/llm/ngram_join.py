@@ -12,6 +12,10 @@ size ranges, prunes by the sum of coordinate minima, and the pairs that survive
 are cut into blocks of bounded bytes, and a part of the postings that outgrows a task is split into pairs of blocks, so none is held whole. There is
 no cap on partners, cells or candidates.
 
+Near copies of one text meet in most of its n-grams, so their pairs would be listed a hundred times. Such kin is found by a base, the n-grams that half of
+a group in a sample of rows hold; a class belongs to the base it is most like. Pairs of one kin are counted together, as products of
+incidence matrices over blocks of classes, and left out of the cells. The sample decides only which way a pair is counted: every pair is of one kin or isn't.
+
 Exact but for chance collisions: 64-bit n-gram hashes, 64 bits and the size for a class, and for each met pair four comparisons of 32-bit tags (one
 pair in 10^9 might be dropped).
 
@@ -41,6 +45,10 @@ TABLE, _CHUNKS = 1 << 21, 64
 #: Postings of a part on average, and from how many on it is split; grams (and 256 for each set) of a block of a cell.
 PART, PART_LIMIT, BLOCK = 1 << 19, 1 << 21, 1 << 19
 _LEAF, _FULL, _WAYS = 16, 65_535, 4
+#: Rows of the sample that kin is found in, of how many n-grams one is looked at, and members of the sample that make a kin.
+SAMPLE, ONE_OF, LEAST_KIN = 1 << 14, 4, 4
+#: Classes and n-grams of a block of kin; rows of its matrix at once, n-grams multiplied at once, and the share of classes from which on an n-gram is multiplied.
+KIN, KIN_GRAMS, _ROWS, _COLUMNS, _DENSE = 1 << 12, 1 << 21, 512, 512, 0.04
 _SEEN, _FLUSH, _MEETS = 1 << 20, 1 << 20, 1 << 20
 
 
@@ -141,10 +149,76 @@ def _planes(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
 
 
-_SURVEY = pa.schema([("id", pa.int64()), ("x", pa.int64()), ("n", pa.int32()), ("counts", pa.binary()), ("chunk", pa.int32()), ("tally", pa.binary())])
+def _some(grams: np.ndarray) -> np.ndarray:
+    return grams[grams % np.uint64(ONE_OF) == 0]
+
+
+class Kin:
+    """Bases of kin over a part of all n-grams; of() gives a class its number, 0 where it is like none."""
+
+    def __init__(self, bases: list[np.ndarray]):
+        self.sizes = np.array([0, *map(len, bases)], np.int64)
+        grams = np.concatenate([np.empty(0, np.uint64), *bases])
+        order = np.argsort(grams, kind="stable")
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)[order]
+        self.grams, self.first, self.held = np.unique(grams[order], return_index=True, return_counts=True)
+
+    def of(self, grams: np.ndarray) -> int:
+        mine = _some(grams)
+        if not len(mine) or not len(self.grams):
+            return 0
+        at = np.minimum(np.searchsorted(self.grams, mine), len(self.grams) - 1)
+        at = at[self.grams[at] == mine]
+        if len(at) * 2 < len(mine):
+            return 0
+        counts = self.held[at]
+        hits = np.bincount(self.owner[np.arange(counts.sum()) + np.repeat(self.first[at] - np.cumsum(counts) + counts, counts)], minlength=len(self.sizes))
+        like = hits / (len(mine) + self.sizes - hits)
+        best = int(np.argmax(like))
+        return best if like[best] >= 0.5 else 0
+
+
+def find_kin(sets: list[np.ndarray], least: int = LEAST_KIN) -> list[np.ndarray]:
+    """Bases of the kin among sampled sets: groups with an equal minimum hash, largest first."""
+    sets = list({s.tobytes(): s for s in sets if len(s)}.values())
+    if not sets:
+        return []
+    grams, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+    starts, who = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sets)), sizes)
+    groups = []
+    for seed in range(4):
+        least_hash = np.minimum.reduceat(text.mix(grams ^ np.uint64(0x9E3779B97F4A7C15 >> seed)), starts)
+        order = np.argsort(least_hash, kind="stable")
+        cuts = np.flatnonzero(np.diff(least_hash[order])) + 1
+        groups += [g for g in np.split(order, cuts) if len(g) >= least]
+    bases, free = [], np.ones(len(sets), bool)
+    for group in sorted(groups, key=len, reverse=True):
+        group = group[free[group]]
+        if len(group) < least:
+            continue
+        some = group[:64]
+        found, counts = np.unique(np.concatenate([sets[k] for k in some]), return_counts=True)
+        base = found[2 * counts >= len(some)]
+        hits = np.bincount(who[np.isin(grams, base)], minlength=len(sets))
+        near = hits >= 0.5 * (sizes + len(base) - hits)
+        if len(base) and near[group].sum() >= least and not Kin(bases).of(base):
+            bases.append(base)
+            free &= ~near
+    return bases
+
+
+def _sampled(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text.slices(batches):
+            yield pa.record_batch([pa.array([_some(g).tobytes() for g in gram_sets(batch[0], n)], pa.binary())], names=["grams"])
+
+    return run
+
+
+_SURVEY = pa.schema([("id", pa.int64()), ("x", pa.int64()), ("n", pa.int32()), ("kin", pa.int32()), ("counts", pa.binary()), ("chunk", pa.int32()), ("tally", pa.binary())])
 
 
-def _survey(n: int, groups: int, table: int):
+def _survey(n: int, groups: int, table: int, kin: Broadcast):
     """Class and point of each row; after a task's rows, its tally of n-grams in the order's table, in chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +232,7 @@ def _survey(n: int, groups: int, table: int):
             out = []
             for id_, grams in zip(batch[0].to_pylist(), gram_sets(batch[1], n), strict=True):
                 if len(grams):
-                    out.append((id_, _identity(grams), len(grams), pack_counts(group_counts(grams, n_groups(len(grams), groups))), None, None))
+                    out.append((id_, _identity(grams), len(grams), kin.value.of(grams), pack_counts(group_counts(grams, n_groups(len(grams), groups))), None, None))
                     held.append(grams)
                     size += len(grams)
             if size > _FLUSH:
@@ -169,7 +243,7 @@ def _survey(n: int, groups: int, table: int):
         add()
         if tally.any():
             parts = np.array_split(tally, min(_CHUNKS, table))
-            out = [(None, None, None, None, k, _planes(p)) for k, p in enumerate(parts)]
+            out = [(None, None, None, None, None, k, _planes(p)) for k, p in enumerate(parts)]
             yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), _SURVEY, strict=True)], schema=_SURVEY)
 
     return run
@@ -198,8 +272,8 @@ def gram_ranks(survey: DataFrame, table: int) -> np.ndarray:
 
 
 _POSTINGS = pa.schema([("part", pa.int64()), ("side", pa.int32()), ("blob", pa.binary())])
-#: Fields of a posting: tag of the n-gram, tags of the two before it, size of the set, place in the order, class.
-_FIELDS = np.dtype([("tag", "<u4"), ("one", "<u4"), ("two", "<u4"), ("n", "<i4"), ("at", "<i4"), ("x", "<i8")])
+#: Fields of a posting: tag of the n-gram, tags of the two before it, size of the set, place in the order, class, and its kin or 0.
+_FIELDS = np.dtype([("tag", "<u4"), ("one", "<u4"), ("two", "<u4"), ("n", "<i4"), ("at", "<i4"), ("x", "<i8"), ("kin", "<i4")])
 _OWN = ("tag", "one", "two", "at")
 
 
@@ -208,7 +282,7 @@ def _pack(postings: np.ndarray) -> bytes:
     first = np.flatnonzero(np.concatenate([[True], (postings["x"][1:] != postings["x"][:-1]) | (postings["n"][1:] != postings["n"][:-1])]))
     counts = np.diff(np.append(first, len(postings))).astype("<i4")
     head = np.array([len(postings), len(first)], "<i8").tobytes() + np.ascontiguousarray(postings["x"][first]).tobytes()
-    return head + _planes(postings["n"][first]) + _planes(counts) + b"".join(_planes(postings[f]) if f == "at" else np.ascontiguousarray(postings[f]).tobytes() for f in _OWN)
+    return head + _planes(postings["n"][first]) + _planes(postings["kin"][first]) + _planes(counts) + b"".join(_planes(postings[f]) if f == "at" else np.ascontiguousarray(postings[f]).tobytes() for f in _OWN)
 
 
 def _count(blob: bytes) -> int:
@@ -227,27 +301,27 @@ def _unpack(blobs: list[bytes]) -> np.ndarray:
             at += len(raw)
             return np.ascontiguousarray(raw.reshape(-1, n).T).view(kind).ravel() if planes and n else raw.view(kind)
 
-        x, n, counts = take(classes, "<i8", False), take(classes, "<i4"), take(classes, "<i4")
-        out["x"], out["n"] = np.repeat(x, counts), np.repeat(n, counts)
+        x, n, kin, counts = take(classes, "<i8", False), take(classes, "<i4"), take(classes, "<i4"), take(classes, "<i4")
+        out["x"], out["n"], out["kin"] = np.repeat(x, counts), np.repeat(n, counts), np.repeat(kin, counts)
         for f in _OWN:
             out[f] = take(size, _FIELDS[f].str, f == "at")
         found.append(out)
     return np.concatenate(found) if found else np.empty(0, _FIELDS)
 
 
-def prefix(grams: np.ndarray, x: int, ranks: np.ndarray, t: float) -> np.ndarray:
+def prefix(grams: np.ndarray, x: int, kin: int, ranks: np.ndarray, t: float) -> np.ndarray:
     """Postings, with the full n-gram in a field of its own, for the rarest n-grams of a set."""
     size = len(grams)
     order = grams[np.argsort(ranks[(grams % np.uint64(len(ranks))).astype(np.int64)], kind="stable")[: size - int(np.ceil(t * size - 1e-9)) + 1]]
     out = np.empty(len(order), [("gram", "<u8"), *((f, _FIELDS[f]) for f in _FIELDS.names)])
     tags = (order >> np.uint64(32)).astype(np.uint32)
     none = np.array([x & 0xFFFFFFFF, (x >> 32) & 0xFFFFFFFF], np.uint32)
-    out["gram"], out["tag"], out["n"], out["at"], out["x"] = order, tags, size, np.arange(len(order)), x
+    out["gram"], out["tag"], out["n"], out["at"], out["x"], out["kin"] = order, tags, size, np.arange(len(order)), x, kin
     out["one"], out["two"] = np.concatenate([none[:1], tags])[: len(order)], np.concatenate([none, tags])[: len(order)]
     return out
 
 
-def _postings(n: int, ranks: Broadcast, parts: int, t: float):
+def _postings(n: int, kin: Broadcast, ranks: Broadcast, parts: int, t: float):
     """Postings of every class of a task, by part; a class of many rows is given once."""
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -270,7 +344,7 @@ def _postings(n: int, ranks: Broadcast, parts: int, t: float):
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(key)
-                held.append(prefix(grams, key[0], ranks.value, t))
+                held.append(prefix(grams, key[0], kin.value.of(grams), ranks.value, t))
                 size += len(held[-1])
                 if size >= _FLUSH:
                     yield flush(held)
@@ -293,24 +367,27 @@ def _scramble(*columns) -> np.ndarray:
 
 
 def meets(postings: np.ndarray, side: np.ndarray, part: int, t: float, block: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(cell, ax, an, bx, bn) of the pairs that meet in a part and may reach the threshold; sides 1 and 2 meet each other, 0 all."""
+    """(cell, ax, an, bx, bn) of the pairs that meet in a part, are not of one kin and may reach the threshold; sides 1 and 2 meet each other, 0 all."""
     order = np.lexsort((postings["n"], postings["x"], side, postings["tag"]))
     p, side = postings[order], side[order]
     again = np.zeros(len(p), bool)
     again[1:] = (p["tag"][1:] == p["tag"][:-1]) & (p["x"][1:] == p["x"][:-1]) & (p["n"][1:] == p["n"][:-1]) & (side[1:] == side[:-1])
     p, side = p[~again], side[~again]
+    order = np.lexsort((p["kin"], p["tag"]))
+    p, side = p[order], side[order]
     starts = np.flatnonzero(np.diff(p["tag"].astype(np.int64), prepend=-1))
     lengths = np.diff(np.append(starts, len(p)))
     shared = np.repeat(lengths > 1, lengths)
     p, side = p[shared], side[shared]
     lengths = lengths[lengths > 1]
     first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    before = np.arange(len(p)) - first
+    other = np.concatenate([[True], (p["tag"][1:] != p["tag"][:-1]) | (p["kin"][1:] != p["kin"][:-1]) | (p["kin"][1:] == 0)])[: len(p)]
+    before = np.maximum.accumulate(np.where(other, np.arange(len(p)), 0)) - first
     cost = np.cumsum(p["n"].astype(np.int64) + 256)
     blocks = (cost - (cost[first] if len(p) else 0)) // block
     cut = np.searchsorted(np.cumsum(before), np.arange(0, int(before.sum()) + _MEETS, _MEETS), side="left") if len(p) else []
     edges = sorted({0, len(p), *(min(int(c) + 1, len(p)) for c in cut)})
-    tag, one, two, n, at, x = (np.ascontiguousarray(p[f]) for f in _FIELDS.names)
+    tag, one, two, n, at, x, _ = (np.ascontiguousarray(p[f]) for f in _FIELDS.names)
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         count = before[lo:hi]
         b = np.repeat(np.arange(lo, hi), count)
@@ -523,6 +600,105 @@ def _link(t: float):
     return run
 
 
+def near(sets: list[np.ndarray], left: int, t: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row, column, shared, similar) for stretches of all pairs of the first left sets with the others, or of all sets where left is their number.
+
+    row and column are the sets of a matrix's first entry. N-grams of many sets are multiplied as matrices, those of few added pair by pair.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    who = np.repeat(np.arange(len(sets)), sizes)
+    _, gram, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    dense = count > max(1, _DENSE * len(sets))
+    number, many = np.cumsum(dense) - 1, dense[gram]
+    held = np.zeros((len(sets), int(dense.sum())), np.uint8)
+    held[who[many], number[gram[many]]] = 1
+    few = (~dense & (count > 1))[gram]
+    keys = np.sort(gram[few].astype(np.int64) * len(sets) + who[few])
+    grams, owners = np.divmod(keys, len(sets))
+    for lo in range(0, left, _ROWS):
+        hi, begin = min(left, lo + _ROWS), lo if left == len(sets) else left
+        shared = np.zeros((hi - lo, len(sets) - begin), np.float32)
+        for c in range(0, held.shape[1], _COLUMNS):
+            shared += held[lo:hi, c : c + _COLUMNS].astype(np.float32) @ held[begin:, c : c + _COLUMNS].astype(np.float32).T
+        mine = np.flatnonzero((owners >= lo) & (owners < hi))
+        start, end = np.searchsorted(keys, grams[mine] * len(sets) + begin), np.searchsorted(keys, (grams[mine] + 1) * len(sets))
+        reach = np.cumsum(end - start)
+        edges = [0, *(np.searchsorted(reach, np.arange(_MEETS, int(reach[-1]), _MEETS)) + 1).tolist(), len(mine)] if len(mine) else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            counts = (end - start)[a:b]
+            partner = np.arange(counts.sum()) + np.repeat(start[a:b] - np.cumsum(counts) + counts, counts)
+            np.add.at(shared.reshape(-1), (np.repeat(owners[mine[a:b]], counts) - lo) * shared.shape[1] + owners[partner] - begin, np.float32(1))
+        whole = shared.astype(np.float64)
+        similar = whole >= t * (sizes[lo:hi, None] + sizes[None, begin:] - whole) - 1e-12
+        if begin == lo:
+            similar &= np.arange(lo, hi)[:, None] < np.arange(begin, len(sets))[None]
+        yield lo, begin, shared, similar
+
+
+def kin_links(sets: list[np.ndarray], copies: np.ndarray, left: int, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of near() the documents it is linked to, and the least set it is connected with."""
+    links, root = np.zeros(len(sets)), np.arange(len(sets))
+    for lo, begin, _, similar in near(sets, left, t):
+        links[lo : lo + len(similar)] += similar @ copies[begin:].astype(np.float64)
+        links[begin:] += copies[lo : lo + len(similar)].astype(np.float64) @ similar
+        for i, row in enumerate(similar, lo):
+            reached = root[begin:][row]
+            if (reached != root[i]).any():
+                all_ = np.unique(np.append(reached, root[i]))
+                root[np.isin(root, all_)] = all_[0]
+    return links.astype(np.int64), root
+
+
+def _kin_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, int]], list[np.ndarray], np.ndarray, int]]:
+    """(classes, sets, copies, left) of pairs of blocks, for rows (kin, low, high, side, x, n, copies, grams) sorted by the first three."""
+    now, sides = None, ({}, {})
+
+    def cell() -> tuple:
+        found = [(k, *v) for side in sides for k, v in sorted(side.items())]
+        return [f[0] for f in found], [np.frombuffer(f[2], "<u8") for f in found], np.array([f[1] for f in found], np.int64), len(sides[0])
+
+    for batch in batches:
+        kin, low, high, side, x, n, copies = (batch[k].to_pylist() for k in range(7))
+        for k, key in enumerate(zip(kin, low, high, strict=True)):
+            if key != now:
+                if sides[0] and (sides[1] or now[1] == now[2]):
+                    yield cell()
+                now, sides = key, ({}, {})
+            sides[side[k]][x[k], n[k]] = (copies[k], batch[7][k].as_py())
+    if sides[0] and (sides[1] or now[1] == now[2]):
+        yield cell()
+
+
+def _kin_link(t: float):
+    """Rows as those of _link, for each class that is similar to another one of a pair of blocks."""
+    schema = pa.schema([("x", pa.int64()), ("n", pa.int32()), ("links", pa.int64()), ("rx", pa.int64()), ("rn", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for classes, sets, copies, left in _kin_cells(batches):
+            links, root = kin_links(sets, copies, left, t)
+            out = [(*classes[k], int(links[k]), *classes[root[k]]) for k in np.flatnonzero(links).tolist()]
+            if out:
+                yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _kin_verify(t: float):
+    """Rows as those of _verify, for each similar pair of a pair of blocks."""
+    schema = pa.schema([("ax", pa.int64()), ("an", pa.int32()), ("bx", pa.int64()), ("bn", pa.int32()), ("shared", pa.int64()), ("total", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for classes, sets, _, left in _kin_cells(batches):
+            x, n = (np.array(c, np.int64) for c in zip(*classes, strict=True))
+            for lo, begin, shared, similar in near(sets, left, t):
+                i, j = np.nonzero(similar)
+                s = shared[i, j].astype(np.int64)
+                a, b = i + lo, j + begin
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip((x[a], n[a].astype(np.int32), x[b], n[b].astype(np.int32), s, n[a] + n[b] - s), schema, strict=True)], schema=schema)
+
+    return run
+
+
 def _taken(pairs: DataFrame) -> DataFrame:
     """(cell, x, n) of the classes of each cell's pairs."""
     return pairs.select("cell", F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("an").alias("n")), F.struct(F.col("bx").alias("x"), F.col("bn").alias("n")))).alias("who")).select("cell", "who.x", "who.n").distinct()
@@ -537,19 +713,23 @@ def _bring(pairs: DataFrame, taken: DataFrame, data: DataFrame, name: str) -> Da
 
 
 class Join:
-    """The classes of docs, (x, n, id, copies) with the least id of each, their rows (id, x, n), and the pairs that survive the R-trees."""
+    """The classes of docs, (x, n, kin, id, copies) with the least id of each, their rows (id, x, n), and the pairs not of one kin that survive the R-trees."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int = N, threshold: float = THRESHOLD, groups: int = GROUPS, table: int = TABLE, part: int = PART, limit: int = PART_LIMIT, block: int = BLOCK):
-        self.n, self.t = n, threshold
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int = N, threshold: float = THRESHOLD, groups: int = GROUPS, table: int = TABLE, part: int = PART, limit: int = PART_LIMIT, block: int = BLOCK, sample: int = SAMPLE, kin: int = KIN):
+        self.n, self.t, self.kin = n, threshold, kin
         self.source = common.tuned(docs).select(common.whole(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
         spark = docs.sparkSession
-        survey = common.materialize(self.source.mapInArrow(common.lean(_survey(n, groups, table)), "id long, x long, n int, counts binary, chunk int, tally binary"), "survey")
+        share = min(1.0, sample / max(1, docs.count()))
+        sampled = self.source.select("text").sample(share, 1).mapInArrow(common.lean(_sampled(n)), "grams binary").collect()
+        bases = spark.sparkContext.broadcast(Kin(find_kin([np.frombuffer(bytes(r.grams), np.uint64) for r in sampled])))
+        del sampled
+        survey = common.materialize(self.source.mapInArrow(common.lean(_survey(n, groups, table, bases)), "id long, x long, n int, kin int, counts binary, chunk int, tally binary"), "survey")
         self.rows = survey.filter("chunk is null").select("id", "x", "n")
-        self.classes = self.rows.distinct().groupBy("x", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+        self.classes = survey.filter("chunk is null").select("id", "x", "n", "kin").distinct().groupBy("x", "n", "kin").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
         ranks = spark.sparkContext.broadcast(gram_ranks(survey, table))
         total = survey.agg(F.sum("n")).first()[0] or 0
         parts = max(1, -(-int(total * (1 - threshold)) // part))
-        placed = self.source.select("text").mapInArrow(common.lean(_postings(n, ranks, parts, threshold)), "part long, side int, blob binary")
+        placed = self.source.select("text").mapInArrow(common.lean(_postings(n, bases, ranks, parts, threshold)), "part long, side int, blob binary")
         met_schema = "cell long, ax long, an int, bx long, bn int, part long, side int, blob binary"
         found, tables = None, []
         while True:
@@ -571,17 +751,32 @@ class Join:
     def _sets(self) -> DataFrame:
         """Rows for _cells with the full sets of the survivors' classes, each read from one document of its class."""
         taken = common.materialize(_taken(self.survivors), "taken")
-        owners = common.materialize(self.classes.join(taken.select("x", "n").distinct(), ["x", "n"]), "owners")
+        owners = common.materialize(self.classes.join(taken.select("x", "n").distinct(), ["x", "n"]).select("x", "n", "id", "copies"), "owners")
+        return _bring(self.survivors, taken, self._read(owners), "grams")
+
+    def _read(self, owners: DataFrame) -> DataFrame:
+        """owners, a written table, with the full sets of their classes."""
         readers = common.materialize(owners.select("id").distinct(), "readers")
         sets = common.join_checked(self.source, readers, ["id"], "left_semi", 8).select("text").mapInArrow(common.lean(_grams(self.n)), "x long, n int, grams binary")
-        return _bring(self.survivors, taken, common.join_checked(sets, owners.select("x", "n", "copies"), ["x", "n"], "inner", 20), "grams")
+        return common.join_checked(sets, owners.drop("id"), ["x", "n"], "inner", 24)
+
+    def _kin_sets(self) -> DataFrame:
+        """Rows for _kin_cells: each class of a kin, once for each pair of blocks that its own is in."""
+        owners = common.materialize(self.classes.filter("kin > 0"), "kin")
+        ways = owners.groupBy("kin").agg(F.greatest(F.ceil(F.count("*") / self.kin), F.ceil(F.sum("n") / KIN_GRAMS)).cast("int").alias("ways"))
+        mine = self._read(owners).join(F.broadcast(ways), "kin").withColumn("mine", F.pmod(F.xxhash64("x"), "ways").cast("int"))
+        spread = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+        cells = spread.select("kin", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "x", "n", "copies", "grams")
+        return cells.repartition("kin", "low", "high").sortWithinPartitions("kin", "low", "high")
 
     def pairs(self) -> DataFrame:
-        return common.materialize(self._sets().mapInArrow(common.lean(_verify(self.t)), _VERIFIED), "verified")
+        kin = common.materialize(self._kin_sets().mapInArrow(common.lean(_kin_verify(self.t)), _VERIFIED), "verified")
+        return kin.unionByName(common.materialize(self._sets().mapInArrow(common.lean(_verify(self.t)), _VERIFIED), "verified"))
 
     def links(self) -> DataFrame:
         """(x, n, links, rx, rn), several rows for a class."""
-        return common.materialize(self._sets().mapInArrow(common.lean(_link(self.t)), _LINKS), "links")
+        kin = common.materialize(self._kin_sets().mapInArrow(common.lean(_kin_link(self.t)), _LINKS), "links")
+        return kin.unionByName(common.materialize(self._sets().mapInArrow(common.lean(_link(self.t)), _LINKS), "links"))
 
     def groups(self, links: DataFrame) -> DataFrame:
         """(x, n, rx, rn): the root of each class that is connected with another one, by links or by an id in both."""

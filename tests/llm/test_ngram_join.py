@@ -206,6 +206,51 @@ def test_large_group_of_near_copies(spark):
     assert result(ngram_join.similar_documents(cases.table(spark, rows))) == {k: (0, 299) for k in range(300)}
 
 
+@pytest.mark.parametrize("left", [0, 70])
+def test_kin_is_counted_as_all_pairs_are(monkeypatch, left):
+    for name, value in (("_ROWS", 32), ("_COLUMNS", 16), ("_MEETS", 50), ("_DENSE", 0.2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = edited(random.Random(8), 3, 50, 60) + [(150 + k, f"lone w{k} w{k + 1}", None, None, None) for k in range(9)]
+    sets = [np.unique(s) for s in ngram_join.gram_sets(__import__("pyarrow").array([r[1] for r in rows]), 3)]
+    left = left or len(sets)
+    want = {p: j for p, j in brute(rows).items() if left == len(sets) or p[0] < left <= p[1]}
+    found = {}
+    for lo, begin, shared, similar in ngram_join.near(sets, left, 0.6):
+        for i, j in zip(*np.nonzero(similar), strict=True):
+            a, b, s = int(i) + lo, int(j) + begin, float(shared[i, j])
+            assert (a, b) not in found
+            found[a, b] = s / (len(sets[a]) + len(sets[b]) - s)
+    assert found == pytest.approx(want) and len(want) > 100
+    copies = np.arange(len(sets)) % 3 + 1
+    links, root = ngram_join.kin_links(sets, copies, left, 0.6)
+    assert links.tolist() == [sum(copies[q if p == k else p] for p, q in want if k in (p, q)) for k in range(len(sets))]
+    assert root.tolist() == list(roots(range(len(sets)), want).values())
+
+
+def test_cells_leave_out_pairs_of_one_kin():
+    draw = np.random.default_rng(6)
+    p = np.zeros(200, ngram_join._FIELDS)
+    p["tag"], p["n"], p["x"], p["kin"] = draw.integers(0, 3, 200), 10, np.arange(200), draw.integers(0, 4, 200)
+    p["one"], p["two"] = draw.integers(0, 2**32, 200), draw.integers(0, 2**32, 200)
+    want = {(a, b) for a, b in combinations(range(200), 2) if p["tag"][a] == p["tag"][b] and not p["kin"][a] == p["kin"][b] > 0}
+    found = Counter()
+    for _, ax, _, bx, _ in ngram_join.meets(p, np.zeros(200, np.int8), 7, 0.6, 4000):
+        found.update(zip(ax.tolist(), bx.tolist(), strict=True))
+    assert found == Counter(dict.fromkeys(want, 1))
+
+
+def test_near_copies_of_a_text_make_no_rows_of_pairs(spark):
+    draw = random.Random(12)
+    rows = edited(draw, 2, 150) + [(300 + k, " ".join(f"w{draw.randrange(9000)}" for _ in range(80)), None, None, None) for k in range(100)]
+    rows += [(400, rows[0][1], None, None, None), (401, rows[7][1], None, None, None)]
+    docs = cases.table(spark, rows)
+    want = brute(rows)
+    assert ngram_join.Join(docs, "doc_id", "text").survivors.count() < len(want) / 50
+    for how in ({"kin": 40}, {"sample": 30}):
+        assert result(ngram_join.similar_documents(docs, **how)) == expected(rows)
+    assert {(r.doc_id_a, r.doc_id_b) for r in ngram_join.similar_pairs(docs, kin=40).collect()} == set(unlike(rows, want))
+
+
 def test_empty_table(spark):
     assert ngram_join.similar_documents(cases.empty(spark)).count() == 0
     assert ngram_join.similar_pairs(cases.empty(spark)).count() == 0
