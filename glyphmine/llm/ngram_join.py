@@ -3,11 +3,12 @@
 Every text becomes its set of hashed word n-grams; texts with equal sets are one class, known by a 64-bit sum of the set and its size.
 The n-grams of a class are hashed into at least half as many groups, and its group counts are a point; points of unlike numbers of groups are compared in the lesser one. One tree over all points can't be searched in less
 than all pairs: points of unrelated texts lie equally far apart, so the maxima of a node of 16 of them bound the overlap with anything by nearly its
-size. So trees are built in cells, and a class goes to the cells of its n - ceil(t n) + 1 rarest n-grams: two sets that reach the threshold t share one of
-these, whichever order is used (prefix filter), so no link is lost. The order is by counts of all n-grams of all rows in a table of fixed size.
+size. So trees are built in cells, and a class goes to the cells of its n - ceil(t n) + m rarest n-grams: two sets that reach the threshold t share m of
+these, whichever order is used (prefix filter), so no link is lost. m is 2 where t is above 0.5, as different sets with one n-gram in common are half alike at most, and else 1:
+unrelated texts meet by chance once, and a pair must meet m times. The order is by counts of all n-grams of all rows in a table of fixed size.
 
-In a cell, pairs whose sizes or places in the order rule out the threshold are dropped, and so are those that share one of the two n-grams
-before: they have met already. Each remaining pair is taken in one cell. There an R-tree over the points, whose nodes store coordinate maxima and
+In a cell, pairs whose sizes or places in the order rule out the threshold are dropped, and so are those that share both n-grams
+before: they have met twice already. Each remaining pair is taken in one cell. There an R-tree over the points, whose nodes store coordinate maxima and
 size ranges, prunes by the sum of coordinate minima, and the pairs that survive are verified on their full n-gram sets. Cells
 are cut into blocks of bounded bytes, and a part of the postings that outgrows a task is split into pairs of blocks, so none is held whole. There is
 no cap on partners, cells or candidates.
@@ -16,8 +17,8 @@ Near copies of one text meet in most of its n-grams, so their pairs would be lis
 a group in a sample of rows hold; a class belongs to the base it is most like. Pairs of one kin are counted together, as products of
 incidence matrices over blocks of classes, and left out of the cells. The sample decides only which way a pair is counted: every pair is of one kin or isn't.
 
-Exact but for chance collisions: 64-bit n-gram hashes, 64 bits and the size for a class, and for each met pair four comparisons of 32-bit tags (one
-pair in 10^9 might be dropped).
+Exact but for chance collisions: 64-bit n-gram hashes, 64 bits and the size for a class, and 32-bit tags, of which two must coincide to drop a meeting
+(a pair is lost where two of a class's few hundred tags in a part do so).
 
 Defined results: a null text, or one without words, has no n-grams and no partner; a text of fewer than n words has one
 n-gram, all of it; rows with null id are left out; an id that occurs in several rows counts once in a
@@ -309,10 +310,15 @@ def _unpack(blobs: list[bytes]) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, _FIELDS)
 
 
+def meetings(t: float) -> int:
+    """In how many cells a pair must meet; different sets that share one n-gram have a similarity of at most 0.5."""
+    return 2 if t > 0.5 + 1e-9 else 1
+
+
 def prefix(grams: np.ndarray, x: int, kin: int, ranks: np.ndarray, t: float) -> np.ndarray:
     """Postings, with the full n-gram in a field of its own, for the rarest n-grams of a set."""
     size = len(grams)
-    order = grams[np.argsort(ranks[(grams % np.uint64(len(ranks))).astype(np.int64)], kind="stable")[: size - int(np.ceil(t * size - 1e-9)) + 1]]
+    order = grams[np.argsort(ranks[(grams % np.uint64(len(ranks))).astype(np.int64)], kind="stable")[: size - int(np.ceil(t * size - 1e-9)) + meetings(t)]]
     out = np.empty(len(order), [("gram", "<u8"), *((f, _FIELDS[f]) for f in _FIELDS.names)])
     tags = (order >> np.uint64(32)).astype(np.uint32)
     none = np.array([x & 0xFFFFFFFF, (x >> 32) & 0xFFFFFFFF], np.uint32)
@@ -393,8 +399,8 @@ def meets(postings: np.ndarray, side: np.ndarray, part: int, t: float, block: in
         b = np.repeat(np.arange(lo, hi), count)
         a = np.arange(len(b)) - np.repeat(np.cumsum(count) - count, count) + first[b]
         k = np.minimum(n[a], n[b]) >= t * np.maximum(n[a], n[b]) - 1e-9
-        k &= (np.minimum(n[a] - at[a], n[b] - at[b])) * (1 + t) >= t * (n[a].astype(np.int64) + n[b]) - 1e-6
-        k &= (one[a] != one[b]) & (one[a] != two[b]) & (two[a] != one[b]) & (two[a] != two[b])
+        k &= (np.minimum(n[a] - at[a], n[b] - at[b]) + meetings(t) - 1) * (1 + t) >= t * (n[a].astype(np.int64) + n[b]) - 1e-6
+        k &= (one[a] != one[b]) | (two[a] != two[b])
         k &= (side[a] == 0) | (side[a] != side[b])
         a, b = a[k], b[k]
         same = (x[a] == x[b]) & (n[a] == n[b])
@@ -740,7 +746,7 @@ class Join:
             placed = met.filter("part is not null").select("part", "side", "blob")
             if placed.select("part").isEmpty():
                 break
-        candidates = common.materialize(found.groupBy("ax", "an", "bx", "bn").agg(F.min("cell").alias("cell")), "candidates")
+        candidates = common.materialize(found.groupBy("ax", "an", "bx", "bn").agg(F.min("cell").alias("cell"), F.count("*").alias("met")).filter(F.col("met") >= meetings(threshold)).drop("met"), "candidates")
         common.discard(*tables)
         taken = common.materialize(_taken(candidates), "taken")
         asked = common.materialize(taken.select("x", "n").distinct(), "asked")

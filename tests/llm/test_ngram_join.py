@@ -251,6 +251,24 @@ def test_near_copies_of_a_text_make_no_rows_of_pairs(spark):
     assert {(r.doc_id_a, r.doc_id_b) for r in ngram_join.similar_pairs(docs, kin=40).collect()} == set(unlike(rows, want))
 
 
+def test_similar_pairs_meet_twice_and_chance_ones_do_not():
+    rows = edited(random.Random(3), 12, 6, 50) + [(72 + k, " ".join(f"u{k}x{j}" for j in range(40)) + " one same end", None, None, None) for k in range(30)]
+    sets = [np.unique(s) for s in ngram_join.gram_sets(__import__("pyarrow").array([r[1] for r in rows]), 3)]
+    name = {ngram_join._identity(s): k for k, s in reversed(list(enumerate(sets)))}
+    for seed in range(5):
+        ranks = np.random.default_rng(seed).integers(0, 255, 512).astype(np.uint8)
+        full = np.concatenate([ngram_join.prefix(sets[k], x, 0, ranks, 0.6) for x, k in name.items()])
+        p = np.empty(len(full), ngram_join._FIELDS)
+        for f in ngram_join._FIELDS.names:
+            p[f] = full[f]
+        met = Counter()
+        for _, ax, _, bx, _ in ngram_join.meets(p, np.zeros(len(p), np.int8), 7, 0.6, 4000):
+            met.update(tuple(sorted((name[a], name[b]))) for a, b in zip(ax.tolist(), bx.tolist(), strict=True))
+        twice = {q for q, c in met.items() if c >= ngram_join.meetings(0.6)}
+        assert set(unlike(rows, brute(rows))) <= twice and not any(a >= 72 for a, _ in twice)
+    assert ngram_join.meetings(0.5) == 1
+
+
 def test_empty_table(spark):
     assert ngram_join.similar_documents(cases.empty(spark)).count() == 0
     assert ngram_join.similar_pairs(cases.empty(spark)).count() == 0
