@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..model import CodeIndex
@@ -146,13 +146,22 @@ def string_search(idx: CodeIndex, value: str, limit: int = 20, exact: bool = Fal
     return search_strings(idx, value, limit, exact=exact).select("value", "classification", "relative_path", "start_line")
 
 
+def lines_of(content: Column) -> Column:
+    """The lines of a text, as Python's splitlines has them."""
+    parts = F.split(content, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]")
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
+def around(rows: DataFrame, context: int = 5) -> DataFrame:
+    """(path, line, no, text): of each of rows (path, line, parts) the context lines around its line; lines beyond the ends are clamped. Rows of one path stay apart."""
+    at = rows.withColumn("at", F.greatest(F.lit(1), F.least(F.col("line"), F.size("parts")))).withColumn("first", F.greatest(F.col("at") - context, F.lit(1)))
+    shown = F.slice("parts", F.col("first"), F.col("at") + context + 1 - F.col("first"))
+    return at.select("path", "line", "first", F.posexplode(shown).alias("k", "text")).select("path", "line", (F.col("first") + F.col("k")).alias("no"), "text")
+
+
 def window(files: DataFrame, places: DataFrame, context: int = 5) -> DataFrame:
     """(path, line, no, text): context lines around each of places (path, line) in files (path, content); lines beyond the ends are clamped."""
-    text = files.select("path", F.split("content", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]").alias("parts"))
-    text = text.withColumn("parts", F.when(F.element_at("parts", -1) == "", F.slice("parts", 1, F.size("parts") - 1)).otherwise(F.col("parts")))
-    at = places.join(text, "path").withColumn("at", F.greatest(F.lit(1), F.least(F.col("line"), F.size("parts"))))
-    rows = at.select("path", "line", "at", F.posexplode("parts").alias("k", "text"))
-    return rows.withColumn("no", F.col("k") + 1).filter(F.col("no").between(F.col("at") - context, F.col("at") + context)).select("path", "line", "no", "text")
+    return around(places.join(files, "path").select("path", "line", lines_of(F.col("content")).alias("parts")), context)
 
 
 def safe_path(path: str) -> str:
