@@ -93,6 +93,22 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a few numbers that one task takes. Spark sizes tasks and broadcasts by compressed bytes, of which sorted keys have next to none.
+ROWS_AT_ONCE = 500_000
+#: Rows of a written table that may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def spread(rows: int) -> int:
+    """Into how many partitions rows go; adaptive execution leaves a number that is given."""
+    return max(1, -(-rows // ROWS_AT_ONCE))
+
+
+def shuffled(table: DataFrame, rows: int) -> DataFrame:
+    """A table that a join may broadcast only if it has few rows, however small its file is."""
+    return table if rows <= BROADCAST_ROWS else table.hint("merge")
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file, on whatever file system the path names."""
     sc = spark.sparkContext
