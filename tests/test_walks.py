@@ -6,9 +6,10 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmine import stage
-from glyphmine.operators import graph
+from glyphmine.operators import graph, resolve
 
 
 def walked(edges, roots):
@@ -62,3 +63,19 @@ def test_rounds_broadcast_few_rows(spark, monkeypatch):
     edges = [(k // 3, k, k) for k in range(1, 50)]
     assert graph.ordered_reachable(*frames(spark, edges, [0])).count() == 50
     assert plans and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_resolution_is_spread_by_rows(spark, monkeypatch):
+    """Sorted keys have next to no compressed bytes, by which adaptive execution would give all rows to one task."""
+    from glyphmine.views import index
+
+    from .compare import SF
+
+    monkeypatch.setattr(stage, "ROWS_AT_ONCE", 200, raising=False)
+    idx = index(spark, SF)
+    rules = resolve.Rules()
+    asked = idx.types.select(F.col("id").alias("type_id")).crossJoin(idx.methods.select("name").distinct())
+    looked = resolve.scope(idx, rules)
+    for found in (resolve.resolve_members(asked, idx, looked), resolve.resolve_methods(asked.withColumn("argc", F.lit(1)), idx, looked, rules)):
+        counts = found.select("type_id").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert sum(counts) == asked.count() and max(counts) < 600
