@@ -102,9 +102,13 @@ def write_sources(files: DataFrame, folder: str) -> int:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
+        made: set[str] = set()
         for batch in batches:
             for path, content in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                fs.create_dir(f"{root}/{path}".rpartition("/")[0], recursive=True)
+                above = f"{root}/{path}".rpartition("/")[0]
+                if above not in made:
+                    fs.create_dir(above, recursive=True)
+                    made.add(above)
                 with fs.open_output_stream(f"{root}/{path}") as out:
                     out.write(content)
             yield pa.record_batch([batch[0]], names=["path"])
